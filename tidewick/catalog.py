@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidewick.queries import formulas
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+MODULES = (formulas,)
+QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
+flagship = formulas.entry_frame
