@@ -24,8 +24,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folders import shared_folder
+
 TEMPER: Mapping[str, float] = {"source": 0.5, "lang": 0.7, "topic": 0.9}
 ROUNDS = 12
+PLAN_ROUNDS = 12
 KEEP_SHARE = 0.5
 SALT = "mix-1"
 ONE_TASK_CELLS = 1_000_000
@@ -55,7 +58,10 @@ def rake(cells: DataFrame, targets: DataFrame | None = None, rounds: int = ROUND
             given = targets.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("share").alias("_given"))
             out = out.join(given, d, "left").withColumn(f"_goal_{d}", F.coalesce("_given", f"_goal_{d}")).drop("_given")
         goals.append(f"_goal_{d}")
-    for _ in range(rounds):
+    for r in range(rounds):
+        if r and r % PLAN_ROUNDS == 0:  # else the plan grows too deep
+            shared_folder(cells.sparkSession)
+            out = out.checkpoint()
         for d in DIMENSIONS:
             out = out.withColumn("weight", F.col("weight") * F.col(f"_goal_{d}") / F.sum("weight").over(Window.partitionBy(d)))
     return out.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(1)))).drop(*goals)
