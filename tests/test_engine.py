@@ -94,6 +94,12 @@ def test_null_prefix_is_the_lookback(many):
         assert got == [True] * n + [False] * (len(got) - n), t
 
 
+def test_blocks_give_the_same(many):
+    names = {f"v{i}": t for i, t in enumerate(f for f in FORMULAS if "ema" not in f)}
+    whole, cut = (evaluate(many, names, block=b).orderBy("ts").select("ts", *names).collect() for b in (None, 50))
+    assert whole == cut
+
+
 def test_a_prefix_of_the_bars_gives_a_prefix_of_the_values(many):
     cut = many.orderBy("ts").limit(400)
     names = {f"v{i}": t for i, t in enumerate(FORMULAS)}

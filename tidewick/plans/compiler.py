@@ -4,6 +4,10 @@ Window functions cannot nest, so the distinct windowed subtrees of all formulas
 are put in stages: a stage adds every windowed column whose inputs are ready.
 All stages share one partitioning and order, so the bars are shuffled and sorted
 once. Everything that is not windowed stays an expression in whole-stage code.
+
+A window over one series is one task. ``evaluate(..., block=n)`` cuts each series into blocks of n bars, gives every
+block the ``lookback`` bars before it as well, evaluates blocks in parallel and drops the lent bars again; values are
+the same. Formulas with an ema need all that came before and stay whole.
 """
 
 from __future__ import annotations
@@ -14,32 +18,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewick.functions import scalar as s
-from tidewick.plans.formula import MarketDataError, Node, check_shape, minutes, parse
-
-BY, AT = "series", "ts"
-
+from tidewick.plans.formula import WINDOWED, MarketDataError, Node, check_shape, lookback, minutes, parse
 
-def order():
-    return Window.partitionBy(BY).orderBy(AT)
+BY, AT, BLOCK = "series", "ts", "_block"
+SERIES_KEY = (BY,)
 
 
-def rows(w: int):
-    return order().rowsBetween(-(w - 1), 0)
-
+def windowed(n: Node, x: Column, by: tuple[str, ...] = SERIES_KEY) -> Column:
+    op, w = n.op, n.args[1]
 
-def full(x: Column, w: int, value: Column) -> Column:
-    return F.when(F.count(x).over(rows(w)) == w, value)
+    def order():
+        return Window.partitionBy(*by).orderBy(AT)
 
+    def rows(w: int):
+        return order().rowsBetween(-(w - 1), 0)
 
-def deviation(x: Column, w: int) -> Column:
-    """Sample deviation; exactly 0 for one row or equal rows."""
-    if w == 1:
-        return F.lit(0.0)
-    return F.when(F.max(x).over(rows(w)) == F.min(x).over(rows(w)), 0.0).otherwise(F.stddev_samp(x).over(rows(w)))
+    def full(x: Column, w: int, value: Column) -> Column:
+        return F.when(F.count(x).over(rows(w)) == w, value)
 
+    def deviation(x: Column, w: int) -> Column:
+        """Sample deviation; exactly 0 for one row or equal rows."""
+        if w == 1:
+            return F.lit(0.0)
+        return F.when(F.max(x).over(rows(w)) == F.min(x).over(rows(w)), 0.0).otherwise(F.stddev_samp(x).over(rows(w)))
 
-def windowed(n: Node, x: Column) -> Column:
-    op, w = n.op, n.args[1]
     if op == "lag":
         return F.lag(x, w).over(order())
     if op == "delta":
@@ -80,14 +82,15 @@ def ema(df: DataFrame, x: str, w: int, out: str) -> DataFrame:
 
     size = max(1, int(250 / -math.log10(g)))
     n, i, block, part, end = (f"{out}_{k}" for k in ("n", "i", "block", "part", "end"))
-    upto = order().rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(BY).orderBy(AT)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn(n, F.count(x).over(upto))
     df = df.withColumn(block, F.floor((F.col(n) - 1) / size)).withColumn(i, (F.col(n) - 1) % size)
     weight = F.when(F.col(n) == 1, 1.0).otherwise(a)
     inside = Window.partitionBy(BY, block).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
     scale = F.pow(F.lit(g), F.col(i).cast("double"))
     df = df.withColumn(part, F.sum(weight * F.col(x) / scale).over(inside) * scale)
-    before = order().rowsBetween(Window.unboundedPreceding, -1)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn(end, F.last(F.when(F.col(i) == size - 1, F.col(part)), ignorenulls=True).over(before))
     carry = F.when(F.col(block) > 0, F.col(end) * scale * g).otherwise(0.0)
     return df.withColumn(out, F.when(F.col(n) >= w, F.col(part) + carry)).drop(n, i, block, part, end)
@@ -119,17 +122,31 @@ def plain(n: Node, done: Mapping[Node, str], columns: set[str]) -> Column:
 
 
 def needs_window(n: Node) -> bool:
-    from tidewick.plans.formula import WINDOWED
-
     return n.op in WINDOWED or n.op == "minutes_since_open"
 
 
-def evaluate(bars: DataFrame, formulas: Mapping[str, str | Node]) -> DataFrame:
-    """bars with a column for each formula; equal subtrees are computed once."""
+def in_blocks(bars: DataFrame, block: int, halo: int) -> DataFrame:
+    """bars with BLOCK and _lent: each bar in its block, and lent to the blocks that look back to it."""
+    from tidewick.operators.prep import positions
+
+    placed = positions(bars if "day" in bars.columns else bars.withColumn("day", F.to_date(AT)))
+    own = F.floor(F.col("pos") / block)
+    last = F.floor((F.col("pos") + halo) / block)
+    out = placed.withColumn("_own", own).withColumn(BLOCK, F.explode(F.sequence(own, last)))
+    return out.withColumn("_lent", F.col(BLOCK) != F.col("_own")).drop("_own", *({"pos", "day"} - set(bars.columns)))
+
+
+def evaluate(bars: DataFrame, formulas: Mapping[str, str | Node], block: int | None = None) -> DataFrame:
+    """bars with a column for each formula; equal subtrees are computed once. block: see above."""
     trees = {k: parse(f) if isinstance(f, str) else f for k, f in formulas.items()}
     for t in trees.values():
         check_shape(t)
-    columns = set(bars.columns)
+    columns, by, cut = set(bars.columns), SERIES_KEY, False
+    if block and not any(n.op == "ema" for t in trees.values() for n in t.walk()):
+        if any(n.op == "minutes_since_open" for t in trees.values() for n in t.walk()):
+            minute = s.minute_of_day(F.col(AT))
+            bars = bars.withColumn("_since_open", (minute - F.min(minute).over(Window.partitionBy(BY, F.to_date(AT))) + 1).cast("double"))
+        bars, by, cut = in_blocks(bars, block, max(map(lookback, trees.values()))), (BY, BLOCK), True
     level: dict[Node, int] = {}
 
     def place(n: Node) -> int:
@@ -146,11 +163,13 @@ def evaluate(bars: DataFrame, formulas: Mapping[str, str | Node]) -> DataFrame:
         bars = bars.withColumns({inputs[n]: plain(n.args[0], done, columns) for n in inputs})
         ready = {}
         for n in new:
-            if n.op == "minutes_since_open":
+            if n.op == "minutes_since_open" and cut:
+                ready[names[n]] = F.col("_since_open")
+            elif n.op == "minutes_since_open":
                 minute = s.minute_of_day(F.col(AT))
                 ready[names[n]] = (minute - F.min(minute).over(Window.partitionBy(BY, F.to_date(AT))) + 1).cast("double")
             elif n.op != "ema":
-                ready[names[n]] = windowed(n, F.col(inputs[n]))
+                ready[names[n]] = windowed(n, F.col(inputs[n]), by)
         bars = bars.withColumns(ready)
         for n in new:
             if n.op == "ema":
@@ -158,4 +177,6 @@ def evaluate(bars: DataFrame, formulas: Mapping[str, str | Node]) -> DataFrame:
         bars = bars.drop(*inputs.values())
         done |= names
     bars = bars.withColumns({k: plain(t, done, columns) for k, t in trees.items()})
+    if cut:
+        bars = bars.where(~F.col("_lent")).drop("_lent", BLOCK, "_since_open")
     return bars.drop(*done.values())

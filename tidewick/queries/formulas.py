@@ -116,9 +116,16 @@ def batch(spark, sf_dir):
     return out.selectExpr("date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS ts", f"stack({len(BATCH)}, {pairs}) AS (formula, value)").withColumn("value", F.round("value", 6))
 
 
+def formula_spread_blocks(spark, sf_dir):
+    """The spread again, in parallel blocks of 500 bars that are lent the bars that they look back to."""
+    out = evaluate(bars.build_frame(bars.lineitem_bars(spark, sf_dir)), {"value": CORE}, block=500)
+    return out.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.round("value", 6).alias("value"))
+
+
 def entry_frame(spark, sf_dir):
     return value_of("L", CORE)(spark, sf_dir)
 
 
-QUERIES = {name: value_of(view, formula) for name, (view, formula, _) in CASES.items()} | {"formula_batch_shared": batch}
+QUERIES = {name: value_of(view, formula) for name, (view, formula, _) in CASES.items()} | {"formula_batch_shared": batch, "formula_spread_blocks": formula_spread_blocks}
 ORACLE_SQL = {name: f"{L if view == 'L' else E} {sql}" for name, (view, _, sql) in CASES.items()}
+ORACLE_SQL["formula_spread_blocks"] = ORACLE_SQL["formula_spread"]
