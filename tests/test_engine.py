@@ -252,3 +252,53 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 408
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 100
+
+
+def test_research_rules(spark, tmp_path):
+    from tidewick.operators import research as r
+
+    assert r.families(spark).count() == 8 and [x.name for x in r.families(spark, r.STARTERS).orderBy("place").collect()] == list(r.STARTERS)
+    with pytest.raises(r.SettingError):
+        r.families(spark, ("NOPE",))
+    assert r.duration_minutes("PT1H30M") == 90 and r.duration_text(90.5) == "PT1H30M30S"
+    c = fl.Constraints(max_depth=4, max_window=9)
+    assert r.tightened(c, "TOO_COMPLEX", 3, 10)[0].max_depth == 3 and r.tightened(c, "UNSTABLE_ACROSS_FOLDS", 3, 10)[0].max_window == 4
+    assert r.tightened(c, "COST_DOMINATED", 3, 10)[1] == 5 and r.tightened(c, "COST_DOMINATED", 8, 10)[1] == 10
+    assert "zscore" in r.without_root(c, fl.parse("zscore(close(),3)")).forbidden and r.without_root(c, fl.parse("close()")) == c
+    text = "prose MAX_TRIALS: 1\n```\nmin_total_trades: 400\nmin_trades_per_path: 30\nmin_active_days: 120\nmax_trade_concentration: 0,25\nmax_sign_flip_frac: 0.30\nmax_pbo: 0.2 # share\nmin_dsr: 0.95\nMAX_TRIALS: 3.000\nn_grupos: 8\nk_teste: 2\nembargo_mult: 3.0\ncaminhos: 28\n```\n"
+    assert r.read_preregistration(text) == gate.LIMITS
+    for bad in (text.replace("0.95", "<<< DECIDIR >>>"), text.replace("caminhos: 28", "caminhos: 7"), text.replace("min_dsr: 0.95", "max_pbo: 0.1")):
+        with pytest.raises(r.SettingError):
+            r.read_preregistration(bad)
+    h = tmp_path / "h.yaml"
+    h.write_text("id: h\nfamily: F\nclaim: c\nwho_pays: w\nobservable: o\ndirection: LONG_ON_HIGH\nhorizon: PT3M\nsession_window: {start: '10:30', end: '16:30'}\nkill_condition: {metric: lag_ms}\ndsl_constraints: {allowed_ops: [ZSCORE, RET], forbidden_ops: [RANK_TS], max_window: 120, max_depth: 4, max_nodes: 12, max_free_params: 3, required_refs: [ES]}\n")
+    got = r.load_hypothesis(str(h))
+    assert got["horizon_min"] == 3 and got["constraints"].required_symbols == {"ES"} and "close" in r.permitted(got["constraints"])
+
+
+def test_saved_frame_and_calendar(spark, many, tmp_path):
+    frame = many.withColumn("day", F.to_date("ts"))
+    files.save_frame(frame, str(tmp_path / "f"))
+    back = files.load_frame(spark, str(tmp_path / "f"))
+    assert back.select(sorted(frame.columns)).exceptAll(frame.select(sorted(frame.columns))).count() == 0 and back.count() == frame.count()
+    files.write_calendar(prep.calendar(frame), str(tmp_path / "c"))
+    assert files.read_calendar(spark, str(tmp_path / "c")).agg(F.sum("bars_expected")).first()[0] == frame.count()
+
+
+def test_cli(spark, tmp_path):
+    from tidewick import cli
+
+    rng, lines = np.random.default_rng(3), {"WIN": ["datetime,open,high,low,close,volume"], "ES": ["datetime,open,high,low,close,volume"]}
+    p = 1000.0
+    for month in range(1, 5):
+        for m in range(200):
+            p += float(rng.normal())
+            t = dt.datetime(2026, month, 5, 9, 0) + dt.timedelta(minutes=m)
+            for s, x in (("WIN", p), ("ES", p / 20)):
+                lines[s].append(f"{t:%Y-%m-%d %H:%M},{x},{x + 1},{x - 1},{x},5")
+    for s, x in lines.items():
+        (tmp_path / f"{s}.csv").write_text("\n".join(x) + "\n")
+    argv = ["data", "--win", str(tmp_path / "WIN.csv"), "--ref", f"ES={tmp_path / 'ES.csv'}", "--holdout-months", "1", "--out", str(tmp_path / "out")]
+    assert cli.main(argv) == 0
+    assert files.load_frame(spark, str(tmp_path / "out/research")).count() == 600
+    assert cli.main([*argv[:2], str(tmp_path / "none.csv"), *argv[3:]]) == 2

@@ -104,3 +104,12 @@ def append_alerts(alerts: DataFrame, path: str) -> None:
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
+
+
+def save_frame(frame: DataFrame, path: str) -> None:
+    """Aligned bars, a folder for each day."""
+    frame.repartition("day").sortWithinPartitions("day", "ts").write.mode("overwrite").partitionBy("day").parquet(path)
+
+
+def load_frame(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
