@@ -32,7 +32,8 @@ BLOCK_ITEMS = 10_000
 
 
 def words(buf: np.ndarray) -> np.ndarray:
-    return tn.hashed_words(buf, tn.ALNUM_WORDS)
+    low = buf.tobytes().decode("utf-8", "replace").lower().encode()
+    return tn.hashed_words(np.frombuffer(low, dtype=np.uint8), tn.ALNUM_WORDS, tn.ASIS)
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
