@@ -175,3 +175,23 @@ def round_trip_points(costs: dict, factor: float = 1.0) -> float:
 
 def fees(costs: dict, contracts: Column, sides: int = 2, factor: float = 1.0) -> Column:
     return contracts * F.lit(float(sides * factor * (costs["exchange_fee"] + costs["brokerage"])))
+
+
+def noise_trades(spark, strategies: int = 1000, paths: int = 28, trades: int = 12) -> DataFrame:
+    """Trades of strategies without any edge, from arithmetic on their numbers: trial, path_id, day, seq, gross, cost, holding_s."""
+    i = spark.range(strategies * paths * trades)
+    n = F.col("id")
+    trial, path, k = F.floor(n / (paths * trades)), F.floor(n / trades) % paths, n % trades
+    mixed = ((trial * 7919 + path * 104729 + k * 1299709 + trial * path * 31 + path * k * 17) % 10007).cast("double")
+    return i.select(
+        trial.alias("trial"), path.cast("int").alias("path_id"), F.date_add(F.lit("2026-01-01").cast("date"), (path * trades + k).cast("int")).alias("day"), k.alias("seq"),
+        (mixed / 10007.0 - 0.5).alias("gross"), F.lit(0.01).alias("cost"), F.lit(60.0).alias("holding_s"),
+    )
+
+
+def calibration(folds: DataFrame, limits: dict) -> DataFrame:
+    """verdict, n: what the gate says of worthless strategies."""
+    rows = aggregate_folds(folds, ["trial"])
+    rows = rows.withColumn("star", F.lit(sr_star(0.001, 3000)))
+    rows = deflated_sharpe(rows, "sr", "star", "n_obs", "skew", "kurtosis").withColumns({"pbo": F.lit(0.0), "robust": F.lit(True)})
+    return collapse(rows, limits).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))

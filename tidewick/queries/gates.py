@@ -187,6 +187,26 @@ def gate_costs(spark, d):
     )
 
 
+SMALL = {**gate.LIMITS, "min_total_trades": 5, "min_trades_per_path": 5, "min_active_days": 5}
+
+
+def gate_calibration(spark, d):
+    """1,000 strategies of noise through the gate with limits for short samples."""
+    folds_ = gate.fold_metrics(gate.noise_trades(spark), ["trial", "path_id"])
+    return gate.calibration(folds_, SMALL)
+
+
+CALIBRATION_SQL = f"""
+t AS MATERIALIZED (
+  SELECT trial, path_id, k, ((trial * 7919 + path_id * 104729 + k * 1299709 + trial * path_id * 31 + path_id * k * 17) % 10007) / 10007.0::DOUBLE - 0.5 AS gross, 0.01::DOUBLE AS cost
+  FROM (SELECT i // 336 AS trial, (i // 12) % 28 AS path_id, i % 12 AS k FROM range(336000) r(i))
+), x AS (SELECT *, gross - cost AS net, avg(gross - cost) OVER (PARTITION BY trial, path_id) AS m FROM t),
+folds AS MATERIALIZED (
+  SELECT trial, path_id, count(*) AS n_trades, sum(gross) AS gross_pnl_points, sum(cost) AS cost_points, sum(net) AS net_pnl_points, avg(net) / stddev_samp(net) * {math.sqrt(252.0)!r} AS sharpe,
+    avg((net - m) ** 3) / pow(avg((net - m) ** 2), 1.5) AS skew, avg((net - m) ** 4) / pow(avg((net - m) ** 2), 2) AS kurtosis, count(*) AS active_days, 1.0 / count(*) AS max_day_share FROM x GROUP BY 1, 2
+)"""
+
+
 def cpcv_partitions(spark, d):
     groups = cv.day_groups(frame_e(spark, d), 8)
     return cv.partitions(spark).join(groups, "grp").groupBy("path_id").agg(F.count(F.lit(1)).alias("test_days"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"))
@@ -216,7 +236,7 @@ rl AS (SELECT pt.path_id, s.ts, CASE WHEN s.grp IN (pt.a, pt.c) THEN 'test'
 QUERIES = {
     f.__name__: f
     for f in (
-        sim_fold_metrics, gate_aggregate, gate_aggregate_paths, gate_sr_star, gate_dsr, gate_var_sr, gate_pbo, gate_robustness, gate_collapse, gate_validate_outcome, gate_costs,
+        sim_fold_metrics, gate_aggregate, gate_aggregate_paths, gate_sr_star, gate_dsr, gate_var_sr, gate_pbo, gate_robustness, gate_collapse, gate_validate_outcome, gate_costs, gate_calibration,
         cpcv_partitions, cpcv_purge_embargo, cpcv_roles,
     )
 }
@@ -242,3 +262,5 @@ ORACLE_SQL = {
     "cpcv_purge_embargo": f"{ROLES_SQL} SELECT path_id, role, count(*) AS samples FROM rl GROUP BY 1, 2",
     "cpcv_roles": f"{ROLES_SQL} SELECT path_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, role FROM rl",
 }
+ORACLE_SQL["gate_calibration"] = f"""WITH {CALIBRATION_SQL}, {ROWS_SQL.replace(FOLDS_SQL + ",", "")}, {DSR_SQL}
+SELECT CASE WHEN gross_points <= cost_points THEN 'COST_DOMINATED' WHEN sign_flip_frac > 0.3 THEN 'UNSTABLE_ACROSS_FOLDS' WHEN dsr < 0.95 THEN 'FAILED_GATE' ELSE 'ACCEPTED' END AS verdict, count(*) AS n FROM ds GROUP BY 1"""
