@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
+from .folders import shared_folder
 
 K = 64
 K_LISTS = 512
@@ -80,22 +81,39 @@ def key_of(h: np.ndarray) -> tuple[int, int]:
     return int(np.int64(one.view(np.int64))), int(np.int64(two.view(np.int64)))
 
 
-def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, hashes (ascending)."""
+FILTER_BITS = 1 << 24
+
+
+def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of hashed doc_ids, of fixed size: no id of ids is missed, some others may pass."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits"))
+    out = np.zeros(bits // 32, dtype=np.uint32)
+    for r in words.toLocalIterator():  # bits / 32 rows at most
+        out[r.word] = r.bits
+    return out
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, hashes (ascending) of the docs among ids; the texts are read where they lie, not shuffled."""
+    may = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches):
         for b in batches:
+            at = b.column("at").to_numpy()
+            b = b.filter(pa.array((may.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
             sets = [np.unique(tn.shingles(v, words) >> np.uint64(1)).astype(np.int64) for v in tn.views(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "hashes"])
 
-    return docs.mapInArrow(run, "doc_id long, hashes array<long>")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    return docs.where("doc_id is not null").withColumn("at", at).mapInArrow(run, "doc_id long, hashes array<long>").join(ids, "doc_id", "left_semi")
 
 
 def survivors(classes: DataFrame, percent: int, k: int = K) -> DataFrame:
     """The classes of which enough retained values are retained by another."""
-    values = classes.select("doc_id", "n", F.explode("sketch").alias("v"))
+    values = classes.select("doc_id", F.explode("sketch").alias("v"))
     shared = values.groupBy("v").count().where("count > 1").select("v")
-    held = values.join(shared, "v").groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("m"))
+    held = values.join(shared, "v").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).join(classes.select("doc_id", "n"), "doc_id")
     return held.where(F.col("m") >= needed(F.col("n"), k, percent)).select("doc_id")
 
 
@@ -118,18 +136,36 @@ def sized(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, k: int = K) -> DataFrame:
+def reachable(percent: int, k: int = K_LISTS) -> Column:
+    """Where two that meet in a list as their first can be similar at all; later meetings that are cut by it are no loss while the first stays."""
+    share = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100.0 + percent) - 1e-9)
+    return (F.col("n_a") > k) | (F.col("n_b") > k) | (F.least("left_a", "left_b") >= share)
+
+
+def candidates(meetings: DataFrame, percent: int, k: int = K_LISTS) -> DataFrame:
+    """Pairs (a, b) of meetings (a, b, n_a, n_b, left_a, left_b), a row for each list in which the two meet, that may still be similar.
+
+    What they share is what they have met in, and at most what is left behind the last of it in the common order.
+    """
+    met = meetings.where(sized(F.col("n_a"), F.col("n_b"), percent)).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("met"), F.min("left_a").alias("left_a"), F.min("left_b").alias("left_b"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")
+    )
+    whole = (F.col("n_a") <= k) & (F.col("n_b") <= k)
+    share = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100.0 + percent) - 1e-9)
+    least = F.when(whole, share).otherwise(F.least(needed(F.col("n_a"), k, percent), needed(F.col("n_b"), k, percent)))
+    return met.where(F.col("met") + F.least("left_a", "left_b") - 1 >= least).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, k: int = K) -> DataFrame:
     """Of pairs (a, b), those that the union sketch does not rule out and the full sets confirm."""
-    sketch = lambda x: classes.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(sketch("a"), "a").join(sketch("b"), "b")
-    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
-    same = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    floor = F.floor(F.size(union) * binomial_floor(k, percent / 100) / F.lit(float(k)))
-    likely = both.where(same >= floor).select("a", "b")
     full = lambda x: sets.select(F.col("doc_id").alias(x), F.col("hashes").alias(f"h{x}"))
-    tested = likely.join(full("a"), "a").join(full("b"), "b")
+    both = pairs.join(full("a"), "a").join(full("b"), "b")
+    sa, sb = F.slice("ha", 1, k), F.slice("hb", 1, k)
+    union = F.slice(F.sort_array(F.array_union(sa, sb)), 1, k)
+    likely = F.size(F.array_intersect(F.array_intersect(sa, sb), union)) >= F.floor(F.size(union) * binomial_floor(k, percent / 100) / F.lit(float(k)))
     inter = F.size(F.array_intersect("ha", "hb"))
-    return tested.where(inter * 100 >= (F.size("ha") + F.size("hb") - inter) * percent).select("a", "b").distinct()
+    exact = inter * 100 >= (F.size("ha") + F.size("hb") - inter) * percent
+    return both.where(F.when(likely, exact).otherwise(False)).select("a", "b").distinct()
 
 
 def two_ways(edges: DataFrame) -> DataFrame:
@@ -154,13 +190,6 @@ def components(edges: DataFrame) -> DataFrame:
     return one.union(one.select("component_id", "component_id").distinct())
 
 
-def shared_folder(spark) -> None:
-    """checkpoint() writes where the cluster says; only where it says nothing, to a folder of this process."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-
-
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; a row for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -172,28 +201,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     first = linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     classes = linkable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x")).select("x.*").persist()
     live = survivors(classes, percent).persist()
-    sets = full_sets(docs.join(live, "doc_id", "left_semi"), words).persist()
+    sets = full_sets(docs, live, words).persist()
     lists = inverted_lists(sets, percent).persist()
 
-    hubs = lists.groupBy("v").agg(F.max(F.struct("centre", "doc_id", "n")).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    star = lists.join(hubs, "v").where((F.col("doc_id") != F.col("h.doc_id")) & sized(F.col("n"), F.col("h.n"), percent))
-    star = star.select(F.least("doc_id", "h.doc_id").alias("a"), F.greatest("doc_id", "h.doc_id").alias("b")).distinct().persist()
-    near = verified(star, classes, sets, percent).checkpoint()
+    hub = lists.groupBy("v").agg(F.max(F.struct("centre", "doc_id", "n")).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    star = lists.join(hub, "v").where((F.col("doc_id") != F.col("h.doc_id")) & sized(F.col("n"), F.col("h.n"), percent))
+    star = star.select(F.col("h.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    near = verified(star, sets, percent).checkpoint()
 
     label = two_ways(near).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("doc_id"), F.least("u", "m").alias("group"))
     label = label.join(label.select(F.col("doc_id").alias("group"), F.col("group").alias("above")), "group", "left").select("doc_id", F.coalesce("above", "group").alias("group"))
     marked = lists.join(label, "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id")).drop("centre").persist()
     apart = marked.groupBy("v").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 <> g2").select("v")
     open_lists = marked.join(apart, "v")
-    x = open_lists.select("v", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "left", "group")])
-    y = open_lists.select("v", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "left", "group")])
-    whole = (F.col("n_a") <= K_LISTS) & (F.col("n_b") <= K_LISTS)
-    least = F.when(whole, F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100.0 + percent) - 1e-9)).otherwise(F.least(needed(F.col("n_a"), K_LISTS, percent), needed(F.col("n_b"), K_LISTS, percent)))
-    apart_pairs = x.join(y, "v").where(
-        (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("group_a") != F.col("group_b")) & sized(F.col("n_a"), F.col("n_b"), percent) & (F.least("left_a", "left_b") >= least)
-    )
-    rest = apart_pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = near.union(verified(rest, classes, sets, percent))
+    x = open_lists.select("v", F.col("doc_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "left", "group")])
+    y = open_lists.select("v", F.col("doc_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "left", "group")])
+    meet = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")) & sized(F.col("n_a"), F.col("n_b"), percent) & reachable(percent))
+    links = near.union(verified(candidates(meet, percent), sets, percent))
 
     found = components(links)
     named = every.join(first, ["k1", "k2"], "left").join(found.withColumnRenamed("doc_id", "rep").withColumnRenamed("component_id", "c"), "rep", "left")
