@@ -14,7 +14,7 @@ from tidewick.llm import textnum as tn
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, topic string, copies long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, dropped string, copies long"
 AWKWARD = [
     (1, None, "en", "s1", None, "x", 7),
     (2, "", None, None, 0, "x", 7),

@@ -52,14 +52,14 @@ def spread_hits(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """docs with text cleaned, and the counts line_count and lines_removed (blank lines count in neither)."""
-    drop = spread_hits(docs, min_sites).where("doc_id <> keeper").groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("dropped"))
-    drop = drop.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "dropped")
-    joined = docs.join(drop, (docs["doc_id"] == drop["_id"]) & (F.xxhash64(docs["text"]) == drop["_key"]), "left")
+    drop = spread_hits(docs, min_sites).where("doc_id <> keeper").groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("_ld_gone"))
+    drop = drop.select(F.col("doc_id").alias("_ld_id"), F.col("text_key").alias("_ld_key"), "_ld_gone")
+    joined = docs.join(drop, (docs["doc_id"] == drop["_ld_id"]) & (F.xxhash64(docs["text"]) == drop["_ld_key"]), "left")
     lines = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.transform("dropped", lambda p: p + 1))
-    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.concat_ws("\n", F.transform(stay, lambda p: F.element_at(lines, p))))
+    stay = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.transform("_ld_gone", lambda p: p + 1))
+    text = F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", F.transform(stay, lambda p: F.element_at(lines, p))))
     full = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.filter(lines, lambda x: F.trim(x) != "")))
     return joined.select(
         *[c for c in docs.columns if c not in ("text", "line_count", "lines_removed")],
-        text.alias("text"), full.cast("long").alias("line_count"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("lines_removed"),
+        text.alias("text"), full.cast("long").alias("line_count"), F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long").alias("lines_removed"),
     )

@@ -82,9 +82,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame | None = None, keep_share: f
         cells = cells.coalesce(1)
     raked = rake(cells, targets, rounds)
     budget = F.sum("tokens").over(Window.partitionBy(F.lit(1))) * F.lit(keep_share)
-    rates = raked.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], (budget * F.col("weight") / F.col("tokens")).alias("weight")).persist()
+    rates = raked.select(*[F.col(d).alias(f"_mix_{d}") for d in DIMENSIONS], (budget * F.col("weight") / F.col("tokens")).alias("weight")).persist()
     n = rates.count()
     rates = F.broadcast(rates) if n <= 100_000 else rates  # a cell takes under 200 bytes
-    hit = marked.join(rates, [F.coalesce(marked[d], F.lit("")) == rates[f"_{d}"] for d in DIMENSIONS], "inner").drop(*[f"_{d}" for d in DIMENSIONS])
+    hit = marked.join(rates, [F.coalesce(marked[d], F.lit("")) == rates[f"_mix_{d}"] for d in DIMENSIONS], "inner").drop(*[f"_mix_{d}" for d in DIMENSIONS])
     copies = F.floor("weight") + F.when(uniform() < F.col("weight") - F.floor("weight"), 1).otherwise(0)
     return hit.where("tokens > 0").withColumn("copies", copies.cast("long")).where("copies >= 1")
