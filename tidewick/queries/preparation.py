@@ -131,6 +131,33 @@ HASH_SQL = f"""{L}, d AS (SELECT day, sha256(string_agg({TS} || '|' || {" || '|'
 SELECT sha256(string_agg(h, chr(10) ORDER BY day)) AS data_hash FROM d"""
 
 
+def prep_report_ok(spark, d):
+    """One row for each view: the counts of the report and whether the frame may be used."""
+    out = None
+    for name, frame, minutes in (("lineitem", frame_l(spark, d), prep.MAX_GAP_MINUTES), ("events", frame_e(spark, d), 60)):
+        lags = prep.alignment(frame, "ES").unionByName(prep.alignment(frame, "WDO")).agg(F.collect_list(F.struct("lag", "corr")).alias("lags"))
+        row = prep.quality(frame).join(prep.gaps(frame, minutes).agg(F.count(F.lit(1)).alias("gaps"))).join(lags)  # one row each
+        row = row.select(F.lit(name).alias("view"), "bars", "gaps", "duplicated", prep.report_ok(F.col("gaps"), F.col("duplicated"), F.col("lags")).alias("ok"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def ok_sql() -> str:
+    """Out of step is a best lag other than 0 with a correlation of 0.05 or more."""
+    def best(view: str) -> str:
+        parts = []
+        for r in ("ES", "WDO"):
+            rows = [f"SELECT {k} AS lag, corr(x, r) AS c, count(*) AS n FROM (SELECT {'lead' if k >= 0 else 'lag'}(m, {abs(k)}) OVER (ORDER BY ts) AS x, r FROM (SELECT * FROM (SELECT ts, ln(close / lag(close) OVER (ORDER BY ts)) AS m, ln(ref_{r} / lag(ref_{r}) OVER (ORDER BY ts)) AS r FROM {view}) WHERE m IS NOT NULL)) WHERE x IS NOT NULL" for k in range(-3, 4)]
+            parts.append(f"SELECT coalesce(arg_max(lag, row(c, -lag)), 0) AS lag, coalesce(max(c), 0) AS c FROM ({' UNION ALL '.join(rows)}) WHERE n >= 100")
+        return f"(SELECT count(*) FROM ({' UNION ALL '.join(parts)}) WHERE lag <> 0 AND abs(c) >= 0.05)"
+
+    le = L.replace(" b AS", " bl AS").replace("\nb AS", "\nbl AS")
+    ee = E.replace("\nb AS", "\nbe AS").replace("WITH ", "", 1)
+    gaps = "(SELECT count(*) FROM (SELECT ts, lag(ts) OVER (PARTITION BY day ORDER BY ts) AS p, tod > {lo} AND tod <= {hi} AS i, lag(tod > {lo} AND tod <= {hi}) OVER (PARTITION BY day ORDER BY ts) AS pi FROM {v}) WHERE i AND pi AND date_diff('minute', p, ts) > {m})"
+    one = lambda name, v, lo, hi, m: f"SELECT '{name}' AS view, (SELECT count(*) FROM {v}) AS bars, {gaps.format(v=v, lo=lo, hi=hi, m=m)} AS gaps, 0::BIGINT AS duplicated, {best(v)} AS off"
+    return f"{le}, {ee} SELECT view, bars, gaps, duplicated, gaps = 0 AND off = 0 AS ok FROM ({one('lineitem', 'bl', 0, 1440, 3)} UNION ALL {one('events', 'be', 540, 1050, 60)})"
+
+
 def prep_bars_per_day(spark, d):
     b = bars.event_bars(spark, d)
     return b.groupBy("symbol", F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("bars"))
@@ -140,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         prep_resample_bars, prep_build_frame, prep_dropped, prep_stitch, prep_alignment_lag, prep_gaps, prep_quality, prep_zero_volume, prep_calendar, prep_holdout,
-        prep_frame_invariants, prep_positions, prep_slice, prep_data_hash, prep_bars_per_day,
+        prep_frame_invariants, prep_positions, prep_slice, prep_data_hash, prep_bars_per_day, prep_report_ok,
     )
 }
 ORACLE_SQL = {
@@ -158,5 +185,6 @@ ORACLE_SQL = {
     "prep_positions": f"{E} SELECT {TS} AS ts, row_number() OVER (ORDER BY ts) - 1 AS pos FROM b",
     "prep_slice": f"{E} SELECT * FROM (SELECT {TS} AS ts, row_number() OVER (ORDER BY ts) - 1 AS pos, round(close, 6) AS close FROM b) WHERE pos >= 100 AND pos < 200",
     "prep_data_hash": HASH_SQL,
+    "prep_report_ok": ok_sql(),
     "prep_bars_per_day": f"WITH {EVENT_BARS} SELECT symbol, ts::DATE::VARCHAR AS day, count(*) AS bars FROM eb GROUP BY 1, 2",
 }
