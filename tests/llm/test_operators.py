@@ -128,10 +128,9 @@ def test_quality_rules_score_is_the_mean_log_ratio(spark):
     for d, x in ids.items():
         raw.update(x.tolist())
         target.update(x.tolist() if d < 5 else [])
-    b = quality_rules.BUCKETS
-    one = lambda c, i: np.log((c[i] + 1) / (sum(c.values()) + b))
+    k, share = quality_rules.PSEUDO, sum(target.values()) / sum(raw.values())
     for d, x in ids.items():
-        assert got[d] == pytest.approx(np.mean([one(target, i) - one(raw, i) for i in x.tolist()]))
+        assert got[d] == pytest.approx(np.mean([np.log(target[i] + k) - np.log(raw[i] * share + k) for i in x.tolist()]))
     assert min(got[d] for d in range(10)) > max(got[d] for d in range(10, 20))
 
 

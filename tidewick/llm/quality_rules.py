@@ -23,6 +23,7 @@ from . import textnum as tn
 
 BUCKETS = 1 << 16
 THRESHOLD = -0.1
+PSEUDO = 10.0
 #: Trusted documents used, those with the lowest hash of doc_id; the raw corpus is counted whole.
 MAX_TRUSTED = 100_000
 MIN_WORDS = 50
@@ -85,14 +86,14 @@ def count_features(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return part.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
 
 
-def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    target, raw = np.ones(buckets), np.ones(buckets)
+def log_ratios(counts: DataFrame, buckets: int = BUCKETS, pseudo: float = PSEUDO) -> np.ndarray:
+    """log p(target) - log p(raw) of each bucket. Both counts, the raw one scaled to the target's total, get `pseudo` more, so what is rare counts little either way."""
+    target, raw = np.zeros(buckets), np.zeros(buckets)
     for row in counts.toLocalIterator():  # at most `buckets` rows
-        target[row.bucket] += row.target
-        raw[row.bucket] += row.raw
-    if target.sum() == buckets:
+        target[row.bucket], raw[row.bucket] = row.target, row.raw
+    if not target.sum():
         return np.zeros(buckets)
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    return np.log(target + pseudo) - np.log(raw * (target.sum() / raw.sum()) + pseudo)
 
 
 def apply_quality_rules(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED) -> DataFrame:
