@@ -129,3 +129,24 @@ def entry_frame(spark, sf_dir):
 QUERIES = {name: value_of(view, formula) for name, (view, formula, _) in CASES.items()} | {"formula_batch_shared": batch, "formula_spread_blocks": formula_spread_blocks}
 ORACLE_SQL = {name: f"{L if view == 'L' else E} {sql}" for name, (view, _, sql) in CASES.items()}
 ORACLE_SQL["formula_spread_blocks"] = ORACLE_SQL["formula_spread"]
+
+
+def ema_sql(x: str, w: int) -> str:
+    seen = f"list_filter(list({x}) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING), lambda v: v IS NOT NULL)"
+    return f"CASE WHEN len({seen}) >= {w} THEN list_reduce({seen}, lambda e, v: e * ({w - 1}.0::DOUBLE / {w + 1}) + v * (2.0::DOUBLE / {w + 1})) END"
+
+
+BATCH_SQL = f"""{L}, s1 AS (
+  SELECT *, {ret('close', 1)} AS r1, {ret('close', 2)} AS r2, {ret('close', 3)} AS r3, {ret('ref_ES', 2)} AS e2, {ret('ref_WDO', 5)} AS w5, {full('close', 21, std('close', 21))} AS s21, {full('high', 13, f'max(high) {roll(13)}')} AS mx,
+    {full('low', 13, f'min(low) {roll(13)}')} AS mn, vwap - lag(vwap, 5) {O} AS dv, high - low AS hl, {full('close', 21, f'avg(close) {roll(21)}')} AS m21, {ema_sql('close', 34)} AS e34 FROM b
+), s2 AS (
+  SELECT *, {z('e2', 55)} AS ze, {z('r2', 55)} AS zc, {z('r2', 21)} AS z21, {z('s21', 55)} AS vol, {z('close', 144)} AS level, mx / mn AS q, {z('w5', 55)} AS zw, {z('hl', 21)} AS zh, {full('r3', 13, f'avg(r3) {roll(13)}')} AS m3,
+    {full('r1', 144, std('r1', 144))} AS long_vol, list(dv) {roll(34)} AS dl, count(dv) {roll(34)} AS dn FROM s1
+), s3 AS (SELECT *, {z('q', 89)} AS zq, CASE WHEN z21 IS NOT NULL THEN least(greatest(z21, -1.0), 1.0) END AS c21, {ema_sql('m3', 21)} AS em FROM s2
+), s4 AS (SELECT *, {z('c21', 21)} AS saturated, {z('em', 89)} AS smooth FROM s3
+), s5 AS (
+  SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, ze - zc AS spread, vol, saturated, level, CASE WHEN zq IS NOT NULL THEN least(greatest(zq, -2.0), 2.0) END AS ratio,
+    CASE WHEN dn = 34 THEN 2.0 * (len(list_filter(dl, lambda v: v < dv)) + 0.5 * (len(list_filter(dl, lambda v: v = dv)) - 1)) / 33 - 1 END AS "rank", zw * zh AS "range", smooth, (m21 > e34)::INT::DOUBLE AS "cross", long_vol FROM s4
+)
+{' UNION ALL '.join(f"SELECT ts, '{k}' AS formula, round({chr(34)}{k}{chr(34)}, 6) AS value FROM s5" for k in BATCH)}"""
+ORACLE_SQL["formula_batch_shared"] = BATCH_SQL
