@@ -2,9 +2,9 @@
 
 Each text becomes a vector of transformed statistics. The moments of both
 classes (count, sum, sum of outer products) are added up over all labelled rows
-in tasks; the driver gets two small matrices for each partition's merge, shrinks the
-class covariances towards their diagonal and the pooled covariance, and caches
-their Cholesky factors. A score is the logistic of the tempered difference of
+in tasks and merged by a shuffle; the driver gets their sums, shrinks the class
+covariances towards their diagonal and the pooled covariance, and caches their
+Cholesky factors. A score is the logistic of the tempered difference of
 the two log densities plus the log prior ratio.
 
 Defined results: null and empty texts have the vector of a text without words and
