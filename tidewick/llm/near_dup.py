@@ -220,6 +220,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     links = near.union(verified(candidates(meet, percent), sets, percent))
 
     found = components(links)
+    for done in (classes, live, sets, lists, marked):  # what is found lies in a checkpoint
+        done.unpersist()
     named = every.join(first, ["k1", "k2"], "left").join(found.withColumnRenamed("doc_id", "rep").withColumnRenamed("component_id", "c"), "rep", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("c", "rep")).otherwise(F.col("doc_id"))
     out = named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
