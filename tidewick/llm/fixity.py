@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folders import shared_folder
+
 FAN_OUT = 64
 LEVELS = 4
 FILE_RECORDS = 4096
@@ -43,32 +45,37 @@ def leaves(pages: DataFrame) -> DataFrame:
 
 
 def tree(rows: DataFrame, levels: int = LEVELS, fan_out: int = FAN_OUT) -> list[DataFrame]:
-    """Level 1 to levels, each (node, hash); level 1 hashes records in order, the others the nodes below."""
-    below = rows.select("record", F.struct("record", "copy", F.concat_ws(":", "size", "hash").alias("hash")).alias("item")).withColumn("node", F.floor(F.col("record") / fan_out).cast("long"))
+    """Level 1 to levels, each (side, node, hash); level 1 hashes records in order, the others the nodes below. Each is written, so that none is made twice."""
+    below = rows.select("side", F.struct("record", "copy", F.concat_ws(":", "size", "hash").alias("hash")).alias("item"), node_of("record", fan_out).alias("node"))
     out = []
     for _ in range(levels):
-        level = below.groupBy("node").agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("item")), lambda x: x["hash"])), 256).alias("hash"))
+        level = below.groupBy("side", "node").agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("item")), lambda x: x["hash"])), 256).alias("hash")).checkpoint()
         out.append(level)
-        below = level.select(F.struct("node", "hash").alias("item"), F.floor(F.col("node") / fan_out).cast("long").alias("node"))
+        below = level.select("side", F.struct("node", "hash").alias("item"), node_of("node", fan_out).alias("node"))
     return out
 
 
-def differ(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    other = b.select(*keys, F.col("hash").alias("_hash"))
-    return a.join(other, keys, "full").where(~F.col("hash").eqNullSafe(F.col("_hash"))).select(*keys)
+def node_of(c: str, fan_out: int) -> Column:
+    return F.floor(F.col(c) / fan_out).cast("long")
+
+
+def differing(level: DataFrame) -> DataFrame:
+    """The nodes that one side lacks or that the sides hash differently."""
+    both = level.groupBy("node").agg(F.count("hash").alias("n"), F.min("hash").alias("lo"), F.max("hash").alias("hi"))
+    return both.where("n < 2 or lo <> hi").select("node")
 
 
 def audit(primary: DataFrame, replica: DataFrame, levels: int = LEVELS, fan_out: int = FAN_OUT) -> DataFrame:
-    """record, copy, file, begin, size, primary_hash, replica_hash: the records that differ."""
-    a, b = leaves(primary).persist(), leaves(replica).persist()
-    ta, tb = tree(a, levels, fan_out), tree(b, levels, fan_out)
-    bad = differ(ta[-1], tb[-1], ["node"])
-    for x, y in zip(ta[-2::-1], tb[-2::-1], strict=True):
-        parent = bad.withColumnRenamed("node", "parent")
-        under = lambda t: t.withColumn("parent", F.floor(F.col("node") / fan_out).cast("long")).join(parent, "parent", "left_semi").drop("parent")  # noqa: E731, B023
-        bad = differ(under(x), under(y), ["node"])
-    under = lambda t: t.withColumn("node", F.floor(F.col("record") / fan_out).cast("long")).join(bad, "node", "left_semi").drop("node")
-    left = under(a).withColumnRenamed("hash", "primary_hash")
-    right = under(b).select("record", "copy", F.col("file").alias("_file"), F.col("begin").alias("_begin"), F.col("size").alias("_size"), F.col("hash").alias("replica_hash"))
-    both = left.join(right, ["record", "copy"], "full").where(~F.col("primary_hash").eqNullSafe(F.col("replica_hash")))
-    return both.select("record", "copy", F.coalesce("file", "_file").alias("file"), F.coalesce("begin", "_begin").alias("begin"), F.coalesce("size", "_size").alias("size"), "primary_hash", "replica_hash")
+    """record, copy, file, begin, size, primary_hash, replica_hash: the records that differ; places are the primary's where it has the record."""
+    shared_folder(primary.sparkSession)
+    rows = leaves(primary).withColumn("side", F.lit(0)).unionByName(leaves(replica).withColumn("side", F.lit(1))).checkpoint()
+    trees = tree(rows, levels, fan_out)
+    bad = differing(trees[-1])
+    for level in trees[-2::-1]:
+        parents = bad.select(F.col("node").alias("parent"))
+        bad = differing(level.withColumn("parent", node_of("node", fan_out)).join(parents, "parent", "left_semi"))
+    found = rows.withColumn("node", node_of("record", fan_out)).join(bad, "node", "left_semi")
+    side = lambda k: F.max(F.when(F.col("side") == k, F.col("hash")))
+    place = F.min(F.struct("side", "file", "begin", "size"))
+    both = found.groupBy("record", "copy").agg(place.alias("place"), side(0).alias("primary_hash"), side(1).alias("replica_hash"))
+    return both.where(~F.col("primary_hash").eqNullSafe(F.col("replica_hash"))).select("record", "copy", "place.file", "place.begin", "place.size", "primary_hash", "replica_hash")
