@@ -26,6 +26,7 @@ nothing and kept; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .folders import shared_folder
+from .folders import forget, shared_folder, written
 
 K = 64
 K_LISTS = 512
@@ -174,18 +175,20 @@ def two_ways(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """doc_id, component_id (the smallest doc_id that edges (a, b) reach): a row for each doc_id in an edge."""
+    known = lambda x: x.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(greatest(a, b), least(a, b)))")).first()
     e = edges.where("a <> b").distinct().checkpoint()
+    before = known(e)
     while True:
         w = two_ways(e)
         least = w.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = w.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "m").where("x <> m").union(low.select("a", "m"))
-        new = small.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct().checkpoint()
-        sums = [x.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(greatest(a, b), least(a, b)))")).first() for x in (e, new)]
-        e = new
-        if sums[0] == sums[1]:
+        e = small.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct().checkpoint()
+        now = known(e)
+        if now == before:
             break
+        before = now
     one = e.select(F.col("a").alias("doc_id"), F.col("b").alias("component_id"))
     return one.union(one.select("component_id", "component_id").distinct())
 
@@ -194,15 +197,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     """doc_id, n_shingles, component_id, kept; a row for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     tn.small_batches(spark)
-    shared_folder(spark)
+    folder = f"{shared_folder(spark)}/near-dup-{uuid.uuid4().hex}"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = sketch_sets(docs, K, words).persist()
     linkable = every.where("n > 0 and doc_id is not null")
     first = linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     classes = linkable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x")).select("x.*").persist()
-    live = survivors(classes, percent).persist()
+    live = written(survivors(classes, percent), f"{folder}/live")  # tables, not caches of caches: else every plan holds all plans before it
+    classes.unpersist()
     sets = full_sets(docs, live, words).persist()
-    lists = inverted_lists(sets, percent).persist()
+    lists = written(inverted_lists(sets, percent), f"{folder}/lists")
 
     hub = lists.groupBy("v").agg(F.max(F.struct("centre", "doc_id", "n")).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1")
     star = lists.join(hub, "v").where((F.col("doc_id") != F.col("h.doc_id")) & sized(F.col("n"), F.col("h.n"), percent))
@@ -211,7 +215,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
 
     label = two_ways(near).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("doc_id"), F.least("u", "m").alias("group"))
     label = label.join(label.select(F.col("doc_id").alias("group"), F.col("group").alias("above")), "group", "left").select("doc_id", F.coalesce("above", "group").alias("group"))
-    marked = lists.join(label, "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id")).drop("centre").persist()
+    marked = written(lists.join(label, "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id")).drop("centre"), f"{folder}/marked")
     apart = marked.groupBy("v").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 <> g2").select("v")
     open_lists = marked.join(apart, "v")
     x = open_lists.select("v", F.col("doc_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "left", "group")])
@@ -220,8 +224,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     links = near.union(verified(candidates(meet, percent), sets, percent))
 
     found = components(links)
-    for done in (classes, live, sets, lists, marked):  # what is found lies in a checkpoint
-        done.unpersist()
+    sets.unpersist()  # what is found lies in a checkpoint
+    forget(spark, folder)
     named = every.join(first, ["k1", "k2"], "left").join(found.withColumnRenamed("doc_id", "rep").withColumnRenamed("component_id", "c"), "rep", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("c", "rep")).otherwise(F.col("doc_id"))
     out = named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
