@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 MIN_SITES = 10
 LG_K = 12
+SALTS = 16
 MARGIN = 0.06  # more than three standard errors of a sketch of 2 ** LG_K registers
 
 
@@ -32,22 +33,28 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return lines.where(line != "").select("doc_id", "text_key", "site", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
 
 
+def dealt(lines: DataFrame) -> DataFrame:
+    """Each of the lines once for every salt, to meet the rows of a frequent line in as many tasks."""
+    return lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+
+
 def spread_hits(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """The rows of line_rows whose line stands on min_sites sites or more, with the keeper's doc_id."""
-    rows = line_rows(docs)
+    rows = line_rows(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)))
     suspects = (
         rows.groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("first"), F.max("site").alias("last"), F.min("doc_id").alias("keeper"))
         .where((F.col("n") >= min_sites) & ((F.col("first") != F.col("last")) | (F.lit(min_sites) < 2)))
         .select("h1", "h2", "keeper")
     )
-    hits = rows.join(suspects, ["h1", "h2"]).persist()
-    sketched = hits.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
+    hits = rows.join(dealt(suspects), ["h1", "h2", "salt"]).persist()
+    parts = hits.groupBy("h1", "h2", "salt").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
+    sketched = parts.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("sites"))
     sure, doubt = min_sites * (1 + MARGIN) + 1, min_sites * (1 - MARGIN) - 1
     near = sketched.where((F.col("sites") >= doubt) & (F.col("sites") <= sure)).select("h1", "h2")
-    exact = hits.join(near, ["h1", "h2"]).groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
+    exact = hits.join(dealt(near), ["h1", "h2", "salt"]).groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
     spread = sketched.where(F.col("sites") > sure).select("h1", "h2").unionByName(exact.select("h1", "h2"))
-    return hits.join(spread, ["h1", "h2"])
+    return hits.join(dealt(spread), ["h1", "h2", "salt"])
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
