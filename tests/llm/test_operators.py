@@ -254,6 +254,25 @@ def test_decontamination_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id, r.score) for r in decontaminate.find_leaks(df, bench).collect()} == {(i, i, 1.0) for i in range(7)}
 
 
+@pytest.mark.parametrize("verbatim", [False, True])
+def test_decontamination_finds_edited_copies(spark, verbatim):
+    rng = random.Random(11)
+    item = [f"w{i}" for i in range(40)]
+    rows = [(k, [f"new{i}" if i % k == k - 1 else x for i, x in enumerate(item)]) for k in (4, 5)]
+    rows.append((2, [x for i, x in enumerate(item) for x in ([x, f"more{i}"] if i % 2 else [x])]))
+    for i in range(200):
+        gone = set(rng.sample(range(40), 8 + i % 5))
+        rows.append((100 + i, [f"new{j}" if j in gone else x for j, x in enumerate(item)]))
+    rows = [(d, ["before"] * rng.randrange(9) + w + ["after"] * 5) for d, w in rows] + ([(1, item)] if verbatim else [])
+    number = {x: i for i, x in enumerate({x for _, w in rows for x in w})}
+    code = lambda w: [number[x] for x in w]
+    want = {(d, s) for d, w in rows if (s := align_brute(code(item), code(w)) / 40) >= 0.5}
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    assert {(r.doc_id, r.score) for r in decontaminate.find_leaks(df, bench).collect()} == want and {2, 4, 5} <= {d for d, _ in want}
+    assert {r.doc_id for r in decontaminate.clean_documents(df, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
 def test_fixity_audit(spark):
     rows = [(i, f"http://h/{i}", f"<p>{i}</p>" * (i % 7)) for i in range(9000)] + [(None, None, None), (17, "again", "x")]
     a = spark.createDataFrame(rows, "page_id long, url string, html string")

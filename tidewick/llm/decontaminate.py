@@ -2,20 +2,27 @@
 
 Words are lower-cased runs of letters and digits. Benchmark items are taken in
 blocks of ``BLOCK_ITEMS``, so that what tasks share has a fixed bound. For a
-block, the first pass counts in how many documents each three-word gram of the
-items stands, over ALL documents. Each item keeps the rarest gram of each of its
-``SEEDS`` segments. The second pass finds those seeds in the documents and aligns
-the item with the words around them (Smith-Waterman: match 1, mismatch and gap
--1). A document is contaminated by an item if the best score reaches
-``THRESHOLD`` of the item's length.
-
-Defined results: null and empty texts and items meet nothing; items of fewer words
-than a seed must stand whole; repeated rows are each judged; an empty benchmark
+block, the first pass counts in how many documents each two-word gram of the
+items stands, over ALL documents. Each item keeps its rarest grams as seeds. The
+second pass finds the seeds in the documents and aligns the item with the words
+around them (Smith-Waterman: match 1, mismatch and gap -1). A document is
+contaminated by an item if the best score reaches ``THRESHOLD`` of the item's
+length.
+
+No such document is missed. An alignment of score s has s more matches than
+edits, and the edits cut the matches into at most one run more than there are
+edits, so at least s - 1 grams of the item stand in it. Of an item with g grams
+any g - s + 2 then hold one of them: so many are its seeds, and where fewer than
+s - 1 grams are shared nothing is aligned.
+
+Defined results: null and empty texts and items meet nothing; items of one or two
+words must stand whole, and of others two adjacent words at least; repeated rows are each judged; an empty benchmark
 contaminates nothing; extra columns pass through ``clean_documents``.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -25,8 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 
-SEED_WORDS = 3
-SEEDS = 10
+SEED_WORDS = 2
 THRESHOLD = 0.5
 BLOCK_ITEMS = 10_000
 
@@ -69,32 +75,48 @@ class Block:
             hit.append(at[self.grams[at] == g])
         return np.unique(np.concatenate(hit))
 
-    def choose(self, df: np.ndarray) -> Block:
-        """Fixes the seeds: of each item the rarest gram of each segment."""
+    def choose(self, df: np.ndarray, threshold: float) -> Block:
+        """Fixes the seeds: of each item the rarest grams, as many as an alignment that reaches the threshold can't all avoid."""
         seeds = defaultdict(list)
+        self.parts = []
         for k, (_, w) in enumerate(self.items):
             g = tn.grams(w, min(SEED_WORDS, len(w)))
+            need = max(1, math.ceil(threshold * len(w) - 1e-9) - 1)
+            self.parts.append((*np.unique(g, return_counts=True), need))
             n = df[np.searchsorted(self.grams, g)]
-            for part in np.array_split(np.arange(len(g)), min(SEEDS, len(g))):
-                at = int(part[np.argmin(n[part])])
+            for at in np.argsort(n, kind="stable")[: max(0, len(g) - need + 1)].tolist():
                 seeds[int(g[at])].append((k, at))
+        self.slack = [len(w) - math.ceil(threshold * len(w) - 1e-9) + 2 for _, w in self.items]
         self.seeds = dict(seeds)
         self.keys = np.array(sorted(self.seeds), dtype=np.uint64)
         return self
 
+    def enough(self, k: int, g: np.ndarray) -> bool:
+        """Whether sorted grams share as many with an item as the threshold takes."""
+        own, n, need = self.parts[k]
+        here = np.searchsorted(g, own, "right") - np.searchsorted(g, own)
+        return int(np.minimum(here, n).sum()) >= need
+
     def search(self, w: np.ndarray) -> list[tuple[int, float, int]]:
         """(item_id, score, end word) of the items found in a document."""
         windows = defaultdict(list)
+        grams = {}
         for n in self.sizes:
-            g = tn.grams(w, n)
+            grams[n] = g = tn.grams(w, n)
             if not len(g) or not len(self.keys):
                 continue
             at = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
-            for p in np.flatnonzero(self.keys[at] == g):
+            hits = np.flatnonzero(self.keys[at] == g)
+            if not len(hits):
+                continue
+            whole, may = np.sort(g), {}
+            for p in hits.tolist():
                 for k, q in self.seeds[int(g[p])]:
-                    size = len(self.items[k][1])
-                    slack = size // 2 + 2
-                    windows[k].append((int(p) - q - slack, int(p) - q + size + slack))
+                    if k not in may:
+                        may[k] = self.enough(k, whole)
+                    if may[k]:
+                        size, slack = len(self.items[k][1]), self.slack[k]
+                        windows[k].append((p - q - slack, p - q + size + slack))
         out = []
         for k, spans in windows.items():
             item_id, item = self.items[k]
@@ -108,16 +130,19 @@ class Block:
             best, end = 0, 0
             for lo, hi in merged:
                 lo = max(lo, 0)
+                if not self.enough(k, np.sort(grams[min(SEED_WORDS, len(item))][lo : hi - 1])):
+                    continue
                 score, e = align(item, w[lo:hi])
                 if score > best:
                     best, end = score, lo + e
                 if best == len(item):
                     break
-            out.append((item_id, best / len(item), end))
+            if best:
+                out.append((item_id, best / len(item), end))
         return out
 
 
-def blocks_of(benchmark: DataFrame, docs: DataFrame):
+def blocks_of(benchmark: DataFrame, docs: DataFrame, threshold: float):
     """The benchmark in blocks whose seeds are chosen by counts over all docs."""
     spark = docs.sparkSession
     held: list[tuple[int, np.ndarray]] = []
@@ -136,7 +161,7 @@ def blocks_of(benchmark: DataFrame, docs: DataFrame):
         df = np.zeros(len(block.grams), dtype=np.int64)
         for r in docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
             df[r.gram] = r.n  # a row for each gram of the block
-        return spark.sparkContext.broadcast(block.choose(df))
+        return spark.sparkContext.broadcast(block.choose(df, threshold))
 
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
         held.append((row.item_id, words(np.frombuffer((row.text or "").encode(), dtype=np.uint8))))
@@ -152,7 +177,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     tn.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, end_word long")
-    for block in blocks_of(benchmark, docs):
+    for block in blocks_of(benchmark, docs, threshold):
 
         def run(batches, block=block):
             for b in batches:
@@ -168,7 +193,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     """The rows of docs that hold no benchmark item."""
     tn.small_batches(docs.sparkSession)
     out = docs
-    for block in blocks_of(benchmark, docs):
+    for block in blocks_of(benchmark, docs, threshold):
 
         def run(batches, block=block):
             for b in batches:
