@@ -320,6 +320,21 @@ def test_html(spark):
     assert all(len(r.text) == r.n_chars for r in got.values())
 
 
+def test_html_names_of_layout_and_subject():
+    inner = "<h1>Title</h1><p>" + "word " * 60 + "<p>last words of it"
+    want = "Title " + "word " * 60 + "last words of it"
+    article, tree = f"<article>{inner}</article>", html_text.train()
+    long = "<p>" + "reply " * 90
+    for page in (
+        f'<div class="site has-sidebar">{article}</div>', f'<div class="content-with-sidebar">{article}</div>', f'<article class="post category-social tag-share">{inner}</article>',
+        f'<div class="right-sidebar"><main>{inner}</main><div class="sidebar">{long}</div></div>', f'<div class="layout no_banner"><div id="social-page">{article}</div></div>',
+        f'<div class="right-sidebar">{article}</div><div class="sidebar"><article>{"<p>few of them"}</article></div>',
+        f'{article}<section id="comments"><article class="comment-body">{long}</article><article>{long}</article></section><div class="site-footer">{long}</div>',
+        f'<article>{inner.replace("<p>last", "<p><svg class=i /><math/>last")}</article>', f"<div><svg width='1'/></div>{article}<p class=ad><svg></svg>",
+    ):
+        assert html_text.main_text(page, tree) == want, page
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     from html import unescape

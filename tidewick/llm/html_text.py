@@ -4,6 +4,8 @@ A page is cut into blocks at block-level tags. Each block gets its word count
 and link density, those of its neighbours, and three flags (inside an article,
 inside boilerplate markup, heading). A decision tree, trained on the labelled
 table below, keeps or drops each block; kept blocks are joined in page order.
+A name of class, id or role marks its element and what is below as boilerplate,
+but not where the element holds the page's main or, without a main, its article.
 
 Defined results: null and empty pages give an empty text; unclosed tags end with
 their container; an unclosed comment or script hides the rest; repeated rows are
@@ -60,6 +62,9 @@ LABELLED = [
     (3, 0.00, 40, 0.0, 38, 0.0, 0, 0, 0, 1), (40, 0.00, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
 ]
 
+#: Words of a class or id after which a name tells of the page's layout or subject.
+QUALIFIERS = frozenset("has with without no not category categories cat tag tags topic format type template layout".split())
+
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
     """A binary tree by Gini impurity: a leaf is its label, a node (feature, cut, below, above)."""
@@ -91,24 +96,35 @@ def decide(tree, row) -> int:
     return tree
 
 
-def bad_element(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in BAD_TAGS or tag == "header" and not in_article:
-        return True
-    if not attributes:
+def bad_tag(tag: str, attributes: str, in_article: bool) -> bool:
+    return tag in BAD_TAGS or tag == "header" and not in_article or bool(attributes and HIDDEN.search(attributes))
+
+
+def bad_name(tag: str, attributes: str) -> bool:
+    if not attributes or tag in ("body", "html", "main"):
         return False
-    if HIDDEN.search(attributes):
-        return True
     for m in CLASSES.finditer(attributes):
-        if not BAD_NAMES.isdisjoint(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())) and tag not in ("body", "html", "main"):
-            return True
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            for part in re.split(r"[^a-z]+", name)[: 1 if tag == "article" else None]:
+                if part in QUALIFIERS:
+                    break
+                if part in BAD_NAMES:
+                    return True
     return False
 
 
+def self_closed(attributes: str) -> bool:
+    """Whether a tag ends with a slash that is no part of an unquoted value."""
+    return attributes.endswith("/") and "=" not in attributes[max(attributes.rfind(c) for c in " \t\r\n\f\"'") + 1 :]
+
+
 def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
     """(text, words, link density, in article, in boilerplate, heading) of each block with text."""
-    out: list[tuple[str, int, float, int, int, int]] = []
+    out: list[tuple[str, int, float, int, bool, int, int]] = []
     text: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open elements: name, boilerplate here or above
+    stack: list[tuple[str, bool, int, int]] = []  # open elements: name, boilerplate by a tag here or above, the nearest mark by a name, the main or article
+    marks = [0]  # of each mark by a name, the one above
+    bodies = [("", 0, 0)]  # mains and articles that may be the page's: tag, the mark above, words
     is_open: dict[str, int] = {}
     links = 0
 
@@ -120,7 +136,9 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
                 n = len(whole.split())
                 linked = len(unescape(" ".join(t for t, a in text if a)).split())
                 article = is_open.get("article", 0) > 0 or is_open.get("main", 0) > 0
-                out.append((whole, n, min(1.0, linked / n), int(article), int(bool(stack) and stack[-1][1]), int(any(is_open.get(h) for h in HEADINGS))))
+                _, bad, mark, body = stack[-1] if stack else ("", False, 0, 0)
+                out.append((whole, n, min(1.0, linked / n), int(article), bad, mark, int(any(is_open.get(h) for h in HEADINGS))))
+                bodies[body] = (*bodies[body][:2], bodies[body][2] + n)
             text = []
 
     at = 0
@@ -136,6 +154,8 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
         if not tag:
             continue
         if tag in RAW and not m[1]:
+            if tag in ("svg", "math") and self_closed(m[3]):
+                continue
             close = re.compile(f"</{tag}[^>]*>", re.I).search(html, at)
             at = close.end() if close else len(html)
             continue
@@ -152,19 +172,33 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
         if m[1]:
             if is_open.get(tag):
                 while True:
-                    name, _ = stack.pop()
+                    name = stack.pop()[0]
                     is_open[name] -= 1
                     if name == tag:
                         break
             continue
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
             is_open[stack.pop()[0]] -= 1  # its end tag may be left out
-        above = bool(stack) and stack[-1][1]
-        inside = is_open.get("article", 0) > 0
-        stack.append((tag, above or bad_element(tag, m[3], inside)))
+        _, bad, mark, body = stack[-1] if stack else ("", False, 0, 0)
+        bad = bad or bad_tag(tag, m[3], is_open.get("article", 0) > 0)
+        if bad_name(tag, m[3]):
+            marks.append(mark)
+            mark = len(marks) - 1
+        elif not bad and (tag == "main" or tag == "article" and not body):
+            bodies.append((tag, mark, 0))
+            body = len(bodies) - 1
+        stack.append((tag, bad, mark, body))
         is_open[tag] = is_open.get(tag, 0) + 1
     flush()
-    return out
+    found = [x for x in bodies if x[0] == "main" and x[2]]
+    if not found and (found := [x for x in bodies if x[0] and x[2]]):
+        found = [max(found, key=lambda x: (not x[1], x[2]))]  # an article that is not marked, if there is one
+    excused = {0}
+    for _, mark, _ in found:
+        while mark not in excused:
+            excused.add(mark)
+            mark = marks[mark]
+    return [(*x[:4], int(x[4] or x[5] not in excused), x[6]) for x in out]
 
 
 def main_text(html: str | None, tree) -> str:
