@@ -164,6 +164,14 @@ def test_personal_data(docs, spark):
     assert "iban:5:27" in by_text["IBAN DE89370400440532013000 ok"] and "card_short" in by_text[made[400]] and "phone_local" in by_text["call (743) 555-3824 now"]
 
 
+def test_bank_accounts_end_before_the_next_word():
+    for account, after in (("DE89370400440532013000", " BIC COBADEFFXXX"), ("DE89 3704 0044 0532 0130 00", " 2024 paid"), ("DE89370400440532013000", " EUR 250"), ("GB82 WEST 1234 5698 7654 32", ""), ("NO9386011117947", " SEPA"), ("DE89370400440532013000", " GB82WEST12345698765432")):
+        text = f"IBAN: {account}{after}"
+        assert ("iban", 6, 6 + len(account)) in pii.extra_spans(text, []), text
+    assert ("iban", 22, 44) in pii.extra_spans("IBAN RF12 ABCD EFGH K DE89370400440532013000", []) and ("iban", 29, 51) in pii.extra_spans("IBAN: DE89370400440532013000 GB82WEST12345698765432", [])
+    assert pii.extra_spans("IBAN DE88370400440532013000 EUR 250", []) == []
+
+
 def test_quality_classifier_holds_out_and_separates(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

@@ -6,7 +6,8 @@ numbers; each starts from the prior of its pattern, rises when the checksum
 holds and when a context word stands near, and is reported from ``threshold``.
 
 Defined results: null and empty texts have no spans; overlapping kinds are all
-reported; repeated rows each give a row; extra columns are ignored. Offsets are
+reported; a bank account is as long as its country's are, that of another code
+ends where mod-97 holds, the longest first; repeated rows each give a row; extra columns are ignored. Offsets are
 code points, ends exclusive. Every search is linear in the text.
 """
 
@@ -32,6 +33,11 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of a bank account, by country.
+IBAN_LENGTHS = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FO,GL,NL 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,TL "
+    "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC"
+).split()) for c in cs.split(",")}
 LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 CONTEXT = {
@@ -56,6 +62,19 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def account_end(text: str, start: int, end: int) -> int | None:
+    """Where the account in a match of IBAN ends: an end of a word at which mod-97 holds."""
+    size = IBAN_LENGTHS.get(text[start : start + 2])
+    while end > start:
+        account = text[start:end].replace(" ", "")
+        if len(account) < (size or 15):
+            break
+        if size in (None, len(account)) and mod97(account):
+            return end
+        end = text.rfind(" ", start, end)
+    return None
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     out, free, at = [], 0, text.find("@")
     while at >= 0:
@@ -92,11 +111,18 @@ def extra_spans(text: str, taken: list[tuple[str, int, int]], threshold: float =
         return []
     found = []
     for kind, pattern in (("iban", IBAN), ("card_short", CARD), ("phone_local", LOCAL_PHONE), ("ssn", SSN)):
-        for m in pattern.finditer(text):
+        at = 0
+        while m := pattern.search(text, at):
             s, e = m.span()
+            at = e
             score = PRIOR[kind]
             if kind == "iban":
-                score += 0.5 if mod97(m[0].replace(" ", "")) else -0.3
+                held = account_end(text, s, e)
+                score += -0.3 if held is None else 0.5
+                if held is None:  # an account may begin at its next word
+                    at = s + len(m[0].split(" ", 1)[0])
+                else:
+                    at = e = held
             elif kind == "card_short":
                 if e - s > 29:
                     continue
