@@ -316,6 +316,16 @@ def test_licenses(spark, docs, awkward):
     assert licenses.scan_licenses(awkward).count() == len(AWKWARD)
 
 
+def test_licenses_in_shortened_notices(spark):
+    short = "permission is hereby granted free of charge to any person obtaining a copy"
+    other = "this program is free software you can redistribute it under the terms of the gnu general public license"
+    rows = [(0, f"a b c {short} d e"), (1, f"{short} and so on {'x ' * 50} redistribution and use in source and binary forms with or without modification"), (2, "permission is hereby granted"), (3, other.replace("redistribute it", "redistribute it and or modify it"))]
+    rows += [(10 + i, "words of other texts in the corpus") for i in range(20)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(4)] == ["mit", "bsd,mit", "", "gpl"] and got[0].score == pytest.approx(13 / 20) and got[3].score == 1
+    assert all(got[10 + i].labels == "" for i in range(20))
+
+
 def test_html(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies on this site for you</div>
     <article><h1>A &amp; B</h1><p>One <b>two</b>&nbsp;three<br>four<p>Be.</p><script>if (a<b) {"</p>"}</script><!-- <p>no</p> --><p>Short</article>

@@ -1,17 +1,18 @@
-"""License notices by a positional index of rare words.
+"""License notices by a positional index of words.
 
-The templates below are short public notices. Their words are ranked by inverse
-document frequency, measured over ALL documents. A template's ``RARE`` rarest
-words form its postings (word -> template, position). A file looks up the words
-it holds; each occurrence votes for the place where the template would start,
-and a template is a candidate where enough rare words agree on that place
-within ``SLACK`` words. A candidate counts if its mandatory phrases stand in the
-window. Base phrases are found by exact word match and keep their labels.
+The templates below are short public notices. All their words are posted (word ->
+template, position) and ranked by inverse document frequency, measured over ALL
+documents. A file looks up the words it holds. Of each template of which it holds
+enough, its own highest-IDF words, as many as a match can't all avoid, give the
+places where the template may start; around those, all of the template's words
+vote. A template is a candidate where ``SHARE`` of its words agree on a place
+within ``SLACK`` words, and counts if its mandatory phrases stand in the window.
+Base phrases are found by exact word match and keep their labels.
 
 Defined results: null and empty texts have no words, no labels and score 0;
 ties between places go to the first; repeated rows are each scanned; extra
 columns are ignored. Score: 1 where a base phrase stands, else the matched share
-of the best candidate's rare words.
+of the best candidate's words.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from . import textnum as tn
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
-RARE = 6
 SLACK = 3
 SHARE = 0.6
 
@@ -66,20 +66,19 @@ def places(words: list[str], phrase: list[str], at: dict[str, list[int]]) -> lis
 
 
 class Index:
-    """Postings of each template's rarest words."""
+    """Postings of the templates' words."""
 
     def __init__(self, df: dict[str, int], documents: int):
         self.phrases = [(p.split(), label) for p, label in BASE]
         self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
         self.sizes = []
-        idf = lambda w: math.log((documents + 1) / (df.get(w, 0) + 1))
+        vocabulary = {w for _, text, _ in TEMPLATES for w in text.split()}
+        self.idf = {w: math.log((documents + 1) / (df.get(w, 0) + 1)) for w in vocabulary}
         for t, (_, text, _) in enumerate(TEMPLATES):
             ws = text.split()
-            top = sorted(set(ws), key=lambda w: (-idf(w), w))[:RARE]
-            self.sizes.append(sum(w in top for w in ws))
+            self.sizes.append(len(ws))
             for q, w in enumerate(ws):
-                if w in top:
-                    self.postings[w].append((t, q))
+                self.postings[w].append((t, q))
         self.must = [[m.split() for m in must] for _, _, must in TEMPLATES]
         self.length = [len(text.split()) for _, text, _ in TEMPLATES]
         self.seen = {*self.postings, *(w for p, _ in self.phrases for w in p), *(w for ms in self.must for m in ms for w in m)}
@@ -94,16 +93,21 @@ class Index:
             found = places(words, phrase, at)
             base += found
             labels |= {label} if found else set()
-        votes: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for w in at.keys() & self.postings.keys():
+        held: dict[int, list[tuple[str, int]]] = defaultdict(list)
+        for w in sorted(at.keys() & self.postings.keys(), key=lambda w: (-self.idf[w], w)):
             for t, q in self.postings[w]:
-                votes[t] += [(p - q, q) for p in at[w]]
+                held[t].append((w, q))
         every, score = set(labels), float(bool(base))
-        for t, got in votes.items():
-            if len({q for _, q in got}) < SHARE * self.sizes[t]:
+        for t, own in held.items():
+            need = math.ceil(SHARE * self.sizes[t] - 1e-9)
+            if len(own) < need:
                 continue
-            got.sort()
             musts = [places(words, m, at) for m in self.must[t]]
+            if not all(musts):
+                continue
+            starts = {p - q for w, q in own[: len(own) - need + 1] for p in at[w]}
+            starts = {x + d for x in starts for d in range(-SLACK, SLACK + 1)}
+            got = sorted((p - q, q) for w, q in own for p in at[w] if p - q in starts)
             near = lambda ps, start, t=t: (k := bisect_left(ps, start - SLACK)) < len(ps) and ps[k] <= start + self.length[t] + SLACK
             j, best = 0, 0
             inside: dict[int, int] = defaultdict(int)
@@ -117,7 +121,7 @@ class Index:
                     j += 1
                 if len(inside) > best and all(near(ps, start) for ps in musts):
                     best = len(inside)
-            if best >= SHARE * self.sizes[t]:
+            if best >= need:
                 every.add(TEMPLATES[t][0])
                 score = max(score, min(1.0, best / self.sizes[t]))
         return len(base), min(base, default=None), max(base, default=None), ",".join(sorted(labels)), ",".join(sorted(every)), score
