@@ -96,6 +96,18 @@ def test_near_duplicates_awkward(awkward):
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} >= {(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (None, 3, None, True), (4, 3, 4, True), (5, 0, 5, True)}
 
 
+def test_drop_near_duplicates_keeps_one_of_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "b"), (1, text, "a"), (1, text, "b"), (2, text, "a"), (3, "other words", None), (3, "other words", None), (4, "one text", "x"), (4, "another text of it", "x"), (4, "", "x"), (4, "", "x")]
+    rows += [(None, text, "n"), (None, text, "n"), (5, None, "n"), (5, None, "n"), (6, " \n", "n"), (6, " \n", "n"), (7, "alone", "z")]
+    want = [(1, text, "a"), (3, "other words", None), *rows[6:]]
+    for repartitioned in (1, 7):
+        got = near_dup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(repartitioned))
+        assert collections.Counter(map(tuple, got.collect())) == collections.Counter(want)
+    only = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    assert collections.Counter(map(tuple, near_dup.drop_near_duplicates(only).collect())) == collections.Counter(x[:2] for x in want)
+
+
 def base_brute(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]

@@ -233,7 +233,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
-    """docs without those that another document of their group stands for; repeated rows become one."""
-    gone = near_duplicates(docs, percent, words).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return left
+    """docs without those that another document of their group stands for; repeated rows (equal doc_id and text, with words) become one."""
+    near = near_duplicates(docs, percent, words).where("doc_id is not null")
+    marks = near.groupBy("doc_id").agg(F.bool_or(~F.col("kept")).alias("_gone"), (F.count_if(F.col("n_shingles") > 0) > 1).alias("_again")).where("_gone or _again").persist()
+    left = docs.join(marks.where("_gone"), "doc_id", "left_anti").join(marks.where("not _gone").select("doc_id", "_again"), "doc_id", "left")
+    again = F.coalesce(F.col("_again") & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rest = F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("_none")])
+    one = left.where(again).groupBy("doc_id", "text").agg(F.min_by(rest, F.to_json(rest)).alias("_rest")).select("doc_id", "text", "_rest.*")
+    return left.where(~again).select(docs.columns).unionByName(one.select(docs.columns))
