@@ -84,6 +84,34 @@ def test_near_duplicates_equal_brute_force(spark, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_of_long_near_misses(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for n in (600, 900, 2500, 20_000):
+        base, passage = rng.choices(vocabulary, k=n), rng.choices(vocabulary, k=n // 2)
+        for share in (0.006, 0.009, 0.010, 0.011, 0.012, 0.013, 0.014, 0.020):  # each edit breaks five shingles: similarities around the threshold
+            w = list(base)
+            for i in rng.sample(range(n), int(share * n)):
+                w[i] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(w)))
+        for k in range(6):  # unlike texts around a shared passage
+            rows.append((len(rows), " ".join(rng.choices(vocabulary, k=n // (4 + k)) + passage)))
+    want = brute_components(rows, 80)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert 1 < len({c for _, c in want.values()}) < len(rows)
+
+
+def test_near_duplicates_of_a_large_class_and_an_empty_table(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HOT_CLASSES", 4)
+    text = [" ".join(f"{k}w{i}" for i in range(30)) for k in range(9)]
+    rows = [(i, text[0] if i % 3 == 0 else text[1] if i % 5 == 0 else text[i % 9]) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df).collect()} == brute_components(rows, 80)
+    assert near_dup.near_duplicates(df.where("false")).count() == 0 and near_dup.drop_near_duplicates(df.where("false")).count() == 0
+
+
 def test_near_duplicates_on_documents(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, 85).collect()}

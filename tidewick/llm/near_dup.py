@@ -6,21 +6,26 @@ Every document is the set of its distinct five-word shingles, as 63-bit hashes.
 2. Each class keeps the ``K`` smallest hashes. Two sets of similarity s share a
    binomial number of them, so fewer than ``needed`` have a chance below
    ``MISS``; classes with fewer values that another class retains drop out.
-3. The others get inverted lists over their ``K_LISTS`` smallest hashes (whole
-   sets, nearly always): values are ordered by how many classes hold them, rarest
-   first, and a class enters the lists of its first values only, as many as
-   any partner must meet at least once.
+3. The others get inverted lists over their whole sets: values are ordered by how
+   many classes hold them, rarest first, and a class enters the lists of its
+   first values only, as many as any partner must meet at least once.
 4. Round one compares each list's members with one hub, the member whose values
    are the most widely held. Round two compares members of a list that the hubs
-   left apart, where the positions of the shared value still allow the
-   similarity. Candidates pass a union-sketch estimate, then exact Jaccard of
-   the full sets decides.
+   left apart. In both, a pair meets only where what both sets have left in the
+   common order still allows the similarity, and of two sets the smaller one
+   enters fewer lists than the larger. Candidates pass a union-sketch estimate,
+   then exact Jaccard of the full sets decides.
 5. Links give connected components by alternating stars over checkpoints.
 
+Frequent values and hubs are keys of joins below which no aggregation needs a key
+together, so adaptive execution splits them; the rows of a large class of equal
+texts get their component by a broadcast of at most ``HOT_CLASSES`` classes.
+
 Defined results: null and empty texts have no shingles and stand alone; a text of
 fewer words than the shingle is one shingle; repeated rows share a class; rows of
 equal doc_id with different texts are one node; a null doc_id is linked with
-nothing and kept; an empty table gives no rows; extra columns are ignored.
+nothing and kept; an empty table gives no rows; extra columns are ignored. The
+narrow table of sketches stays in the shared folder, as the result reads it.
 """
 
 from __future__ import annotations
@@ -37,9 +42,13 @@ from . import textnum as tn
 from .folders import forget, shared_folder, written
 
 K = 64
-K_LISTS = 512
-MISS = 1e-9
+MISS = 1e-12
 WORDS = 5
+HOT_CLASSES = 10_000
+
+
+def ceil_div(a: Column, b: int) -> Column:
+    return F.ceil(a / F.lit(float(b)))
 
 
 def binomial_floor(k: int, p: float, miss: float = MISS) -> int:
@@ -55,7 +64,7 @@ def binomial_floor(k: int, p: float, miss: float = MISS) -> int:
 def needed(n: Column, k: int, percent: int) -> Column:
     """Retained values that a set of n shingles shares with any partner, at least."""
     most = binomial_floor(k, percent / 100)
-    whole = F.ceil(n * percent / F.lit(100.0) - 1e-9)  # a partner of such a set is retained whole too
+    whole = ceil_div(n * percent, 100)  # a partner of such a set is retained whole too
     part = F.floor(F.least(n, F.lit(k)) * most / F.lit(float(k)))
     return F.greatest(F.lit(1), F.when(n * 100 <= k * percent, whole).otherwise(part)).cast("int")
 
@@ -118,43 +127,47 @@ def survivors(classes: DataFrame, percent: int, k: int = K) -> DataFrame:
     return held.where(F.col("m") >= needed(F.col("n"), k, percent)).select("doc_id")
 
 
-def inverted_lists(sets: DataFrame, percent: int, k: int = K_LISTS) -> DataFrame:
-    """v, doc_id, n, left (values from this one on in the sketch), centre: a class's entries in the lists."""
-    kept = sets.select("doc_id", F.size("hashes").alias("n"), F.slice("hashes", 1, k).alias("kept"))
-    values = kept.select("doc_id", "n", F.explode("kept").alias("v"))
+def inverted_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """v, doc_id, n, left (values from this one on in the common order), centre: a class's entries in the lists."""
+    values = sets.select("doc_id", F.size("hashes").alias("n"), F.explode("hashes").alias("v"))
     df = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = values.join(df, "v").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("order"), F.avg(F.log("df")).alias("centre"))
-    s = F.least("n", F.lit(k))
-    ranked = ranked.withColumn("alone", s - F.size("order"))  # values that no other class has come first
-    take = s - needed(F.col("n"), k, percent) + 1 - F.col("alone")
-    ranked = ranked.where(take > 0).withColumn("centre", F.col("centre") * F.size("order") / s)
-    return ranked.select("doc_id", "n", "centre", "alone", F.posexplode(F.slice("order", F.lit(1), take)).alias("at", "x")).select(
-        F.col("x.v").alias("v"), "doc_id", "n", "centre", (F.least("n", F.lit(k)) - F.col("alone") - F.col("at")).alias("left")
-    )
+    ranked = ranked.withColumn("alone", F.col("n") - F.size("order"))  # values that no other class has come first
+    take = (F.col("n") - ceil_div(F.col("n") * percent, 100) + 1 - F.col("alone")).cast("int")
+    ranked = ranked.where(take > 0).withColumn("centre", F.col("centre") * F.size("order") / F.col("n"))
+    entries = ranked.select("doc_id", "n", "centre", "alone", F.posexplode(F.slice("order", F.lit(1), take)).alias("at", "x"))
+    return entries.select(F.col("x.v").alias("v"), "doc_id", "n", "centre", (F.col("n") - F.col("alone") - F.col("at")).alias("left"))
 
 
 def sized(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def reachable(percent: int, k: int = K_LISTS) -> Column:
-    """Where two that meet in a list as their first can be similar at all; later meetings that are cut by it are no loss while the first stays."""
-    share = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100.0 + percent) - 1e-9)
-    return (F.col("n_a") > k) | (F.col("n_b") > k) | (F.least("left_a", "left_b") >= share)
+def share(n_a: Column, n_b: Column, percent: int) -> Column:
+    """Values that sets of n_a and n_b have in common, at least, if they are similar."""
+    return ceil_div((n_a + n_b) * percent, 100 + percent)
 
 
-def candidates(meetings: DataFrame, percent: int, k: int = K_LISTS) -> DataFrame:
-    """Pairs (a, b) of meetings (a, b, n_a, n_b, left_a, left_b), a row for each list in which the two meet, that may still be similar.
+def candidates(meetings: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of meetings (a, b, n_a, n_b, left), a row for each list in which the two meet, that may still be similar.
 
     What they share is what they have met in, and at most what is left behind the last of it in the common order.
     """
-    met = meetings.where(sized(F.col("n_a"), F.col("n_b"), percent)).groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("met"), F.min("left_a").alias("left_a"), F.min("left_b").alias("left_b"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")
-    )
-    whole = (F.col("n_a") <= k) & (F.col("n_b") <= k)
-    share = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100.0 + percent) - 1e-9)
-    least = F.when(whole, share).otherwise(F.least(needed(F.col("n_a"), k, percent), needed(F.col("n_b"), k, percent)))
-    return met.where(F.col("met") + F.least("left_a", "left_b") - 1 >= least).select("a", "b")
+    met = meetings.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("left").alias("left"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    return met.where(F.col("met") + F.col("left") - 1 >= share(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+
+
+def meetings(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of a list (v, doc_id, n, left, group), of different groups, that may be similar.
+
+    The first value that two similar sets have in common leaves them ``share`` values each, so the smaller set, which lacks
+    less of it, meets others only in the lists of its very first values. A pair whose first meeting is cut is not similar.
+    """
+    one = lists.where(F.col("left") >= share(F.col("n"), F.col("n"), percent)).select("v", F.col("doc_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "left", "group")])
+    other = lists.select("v", F.col("doc_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "left", "group")])
+    n_a, n_b, left = F.col("n_a"), F.col("n_b"), F.least("left_a", "left_b")
+    fit = (F.struct("n_a", "a") < F.struct("n_b", "b")) & (F.col("group_a") != F.col("group_b")) & sized(n_a, n_b, percent) & (left >= share(n_a, n_b, percent))
+    return one.join(other, "v").where(fit).select("a", "b", "n_a", "n_b", left.alias("left"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, k: int = K) -> DataFrame:
@@ -193,42 +206,53 @@ def components(edges: DataFrame) -> DataFrame:
     return one.union(one.select("component_id", "component_id").distinct())
 
 
+def with_components(every: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, n, component of every row (doc_id, n, k1, k2), from its class (k1, k2, component, size); null where it has none.
+
+    Classes of more rows than the share of ``HOT_CLASSES`` are as many at most; they are broadcast, the others joined.
+    """
+    bound = every.count() // HOT_CLASSES
+    hot = F.broadcast(classes.where(F.col("size") > bound).select("k1", "k2", F.col("component").alias("hot")))
+    rows = every.join(hot, ["k1", "k2"], "left")
+    cold = rows.where("hot is null").join(classes.where(F.col("size") <= bound).select("k1", "k2", "component"), ["k1", "k2"], "left")
+    return rows.where("hot is not null").select("doc_id", "n", F.col("hot").alias("component")).unionByName(cold.select("doc_id", "n", "component"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; a row for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     tn.small_batches(spark)
     folder = f"{shared_folder(spark)}/near-dup-{uuid.uuid4().hex}"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = sketch_sets(docs, K, words).persist()
+    every = written(sketch_sets(docs, K, words), f"{folder}/every")  # tables, not caches of caches: else every plan holds all plans before it
     linkable = every.where("n > 0 and doc_id is not null")
-    first = linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     classes = linkable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x")).select("x.*").persist()
-    live = written(survivors(classes, percent), f"{folder}/live")  # tables, not caches of caches: else every plan holds all plans before it
+    live = written(survivors(classes, percent), f"{folder}/work/live")
     classes.unpersist()
     sets = full_sets(docs, live, words).persist()
-    lists = written(inverted_lists(sets, percent), f"{folder}/lists")
+    lists = written(inverted_lists(sets, percent), f"{folder}/work/lists")
 
-    hub = lists.groupBy("v").agg(F.max(F.struct("centre", "doc_id", "n")).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    star = lists.join(hub, "v").where((F.col("doc_id") != F.col("h.doc_id")) & sized(F.col("n"), F.col("h.n"), percent))
+    hub = lists.groupBy("v").agg(F.max(F.struct("centre", "doc_id", "n", "left")).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    fit = sized(F.col("n"), F.col("h.n"), percent) & (F.least("left", "h.left") >= share(F.col("n"), F.col("h.n"), percent))
+    star = lists.join(hub, "v").where((F.col("doc_id") != F.col("h.doc_id")) & fit)
     star = star.select(F.col("h.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     near = verified(star, sets, percent).checkpoint()
 
     label = two_ways(near).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("doc_id"), F.least("u", "m").alias("group"))
     label = label.join(label.select(F.col("doc_id").alias("group"), F.col("group").alias("above")), "group", "left").select("doc_id", F.coalesce("above", "group").alias("group"))
-    marked = written(lists.join(label, "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id")).drop("centre"), f"{folder}/marked")
+    marked = written(lists.join(label, "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id")).drop("centre"), f"{folder}/work/marked")
     apart = marked.groupBy("v").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 <> g2").select("v")
-    open_lists = marked.join(apart, "v")
-    x = open_lists.select("v", F.col("doc_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "left", "group")])
-    y = open_lists.select("v", F.col("doc_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "left", "group")])
-    meet = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")) & sized(F.col("n_a"), F.col("n_b"), percent) & reachable(percent))
-    links = near.union(verified(candidates(meet, percent), sets, percent))
+    apart = written(marked.join(apart, "v"), f"{folder}/work/apart")
+    links = near.union(verified(candidates(meetings(apart, percent), percent), sets, percent))
 
     found = components(links)
     sets.unpersist()  # what is found lies in a checkpoint
-    forget(spark, folder)
-    named = every.join(first, ["k1", "k2"], "left").join(found.withColumnRenamed("doc_id", "rep").withColumnRenamed("component_id", "c"), "rep", "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("c", "rep")).otherwise(F.col("doc_id"))
-    out = named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    forget(spark, f"{folder}/work")
+    first = linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
+    named = first.join(found.select(F.col("doc_id").alias("rep"), "component_id"), "rep", "left").select("k1", "k2", F.coalesce("component_id", "rep").alias("component"), "size")
+    rows = with_components(every.select("doc_id", "n", "k1", "k2"), named)
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
