@@ -204,12 +204,96 @@ def test_personal_data(docs, spark):
     assert "iban:5:27" in by_text["IBAN DE89370400440532013000 ok"] and "card_short" in by_text[made[400]] and "phone_local" in by_text["call (743) 555-3824 now"]
 
 
+def extra(text, base=(), threshold=pii.THRESHOLD):
+    return {x[:3] for x in pii.extra_spans(text, list(base), threshold)}
+
+
 def test_bank_accounts_end_before_the_next_word():
-    for account, after in (("DE89370400440532013000", " BIC COBADEFFXXX"), ("DE89 3704 0044 0532 0130 00", " 2024 paid"), ("DE89370400440532013000", " EUR 250"), ("GB82 WEST 1234 5698 7654 32", ""), ("NO9386011117947", " SEPA"), ("DE89370400440532013000", " GB82WEST12345698765432")):
+    for account, after in (
+        ("DE89370400440532013000", " BIC COBADEFFXXX"), ("DE89 3704 0044 0532 0130 00", " 2024 paid"), ("DE89370400440532013000", " EUR 250"), ("GB82 WEST 1234 5698 7654 32", ""), ("NO9386011117947", " SEPA"),
+        ("DE89370400440532013000", " GB82WEST12345698765432"), ("DE89370400440532013000", " PLEASE PAY"), ("DE89 3704 0044 0532 0130 00", " BY MONDAY"), ("de89370400440532013000", " please pay"), ("gb82-west-1234-5698-7654-32", " thanks"),
+    ):
         text = f"IBAN: {account}{after}"
-        assert ("iban", 6, 6 + len(account)) in pii.extra_spans(text, []), text
-    assert ("iban", 22, 44) in pii.extra_spans("IBAN RF12 ABCD EFGH K DE89370400440532013000", []) and ("iban", 29, 51) in pii.extra_spans("IBAN: DE89370400440532013000 GB82WEST12345698765432", [])
-    assert pii.extra_spans("IBAN DE88370400440532013000 EUR 250", []) == []
+        assert ("iban", 6, 6 + len(account)) in extra(text), text
+    assert ("iban", 22, 44) in extra("IBAN RF12 ABCD EFGH K DE89370400440532013000") and ("iban", 29, 51) in extra("IBAN: DE89370400440532013000 GB82WEST12345698765432")
+    assert extra("IBAN DE88370400440532013000 EUR 250") == set()
+
+
+def test_context_words_stand_whole_and_near():
+    card, key = "378282246310005", "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"
+    assert extra(f"my card {card}") == {("card_short", 8, 23)} and extra(f"{card} (Visa)") == {("card_short", 0, 15)}
+    assert extra(f"discard {card}") == extra(f"cardinal {card}") == extra(f"card {'x' * 50} {card}") == extra(card) == set()
+    assert extra("hotel 743 555-3824") == set() and extra("tel. 743 555-3824") == {("phone_local", 5, 17)}
+    assert extra(f'token = "{key}"') == {("secret", 9, 49)} and extra(f"API_KEY={key}") == {("secret", 8, 48)}
+    assert extra(f"commit {key}") == extra("token = aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1") == extra("the password is internationalization of it") == set()
+
+
+def test_scores_follow_check_and_context():
+    assert pii.scored("iban", "DE89370400440532013000", 0, 22, True) == 0.8 and pii.scored("iban", "x", 0, 1, False) == 0.0
+    for kind, (holds, fails) in pii.CHECK.items():
+        near = f"{pii.CONTEXT[kind].pattern.split('(?:')[1].split('|')[0].replace('[ _-]?', ' ')} XX"
+        at = (len(near) - 2, len(near))
+        for check, change in ((True, holds), (False, fails)):
+            assert pii.scored(kind, near, *at, check) == pytest.approx(min(1, max(0, pii.PRIOR[kind] + change + pii.NEAR)))
+            assert pii.scored(kind, "some XX", 5, 7, check) == pytest.approx(min(1, max(0, pii.PRIOR[kind] + change)))
+
+
+def extra_brute(text, base):
+    """Every substring that begins and ends where a word does, against plain definitions; the longest of each start, kinds apart."""
+    digits = lambda s: re.sub(r"\D", "", s)
+    luhn = lambda s: (sum(map(int, s[::-1][::2])) + sum(sum(divmod(2 * int(x), 10)) for x in s[::-1][1::2])) % 10 == 0
+    words = {
+        "iban": "iban|bank|account|konto", "card_short": "card|visa|credit", "phone_local": "phone|tel|call|fax", "ssn": "ssn|social security", "secret": "tokens?|secret|password|api.key",
+    }
+    near = lambda kind, s, e: any(
+        re.fullmatch(words[kind], w[0], re.I) for w in re.finditer(r"social security|api.key|[a-z]+", text, re.I) if s - 40 <= w.start() and w.end() <= s or e <= w.start() and w.end() <= e + 20
+    )
+    out = set()
+    for s, e in ((s, e) for s in range(len(text)) for e in range(s + 1, min(len(text), s + 60) + 1)):
+        t, before, after = text[s:e], text[s - 1 : s] or " ", text[e : e + 1] or " "
+        if any(b <= s and e <= f for _, b, f in base):
+            continue
+        if re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", t) and not (before + after).strip():
+            if len(t) == pii.IBAN_LENGTHS.get(t[:2]) and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1:
+                out.add(("iban", s, e))
+        elif re.fullmatch(r"[0-9]{13,15}", t) and not (before + after).strip() and luhn(t) and near("card_short", s, e):
+            out.add(("card_short", s, e))
+        elif re.fullmatch(r"[0-9]{3} [0-9]{3}-[0-9]{4}", t) and not before.isdigit() and not after.isdigit() and near("phone_local", s, e):
+            out.add(("phone_local", s, e))
+        elif re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", t) and before not in "-0123456789" and after not in "-0123456789" and near("ssn", s, e):
+            out.add(("ssn", s, e))
+        elif re.fullmatch(r"[0-9a-f]{40}", t) and not (before + after).strip(' "') and near("secret", s, e):
+            out.add(("secret", s, e))
+    return out
+
+
+def test_added_spans_equal_brute_force(spark):
+    rng = random.Random(9)
+    digit = lambda n: "".join(rng.choices(string.digits, k=n))
+
+    def account():
+        body = digit(18)
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+    make = (account, lambda: "DE" + digit(20), lambda: digit(15), lambda: "378282246310005", lambda: f"{digit(3)} {digit(3)}-{digit(4)}", lambda: f"{digit(3)}-{digit(2)}-{digit(4)}", lambda: "".join(rng.choices("0123456789abcdef", k=40)))
+    texts = [
+        " ; ".join(f"{rng.choice(['card', 'discard', 'tel', 'hotel', 'ssn', 'token', 'tokens of', 'iban', 'some', 'words', 'x' * 45])} {rng.choice(make)()}" for _ in range(rng.randrange(1, 5))) for _ in range(150)
+    ]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = collections.Counter()
+    for i, t in enumerate(texts):
+        base = spans_brute(t)
+        spans = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in got[i].spans.split(",") if x)]
+        assert set(spans[len(base) :]) == extra_brute(t, base), t
+        assert len(got[i].scores.split(",")) == got[i].n_spans if got[i].n_spans else got[i].scores == ""
+        found.update(k for k, _, _ in spans)
+    assert min(found[k] for k in ("iban", "card_short", "phone_local", "ssn", "secret")) > 3
+
+
+def test_personal_data_awkward(spark, awkward):
+    got = pii.find_pii(awkward).collect()
+    assert len(got) == len(AWKWARD) and {r.n_spans for r in got if r.doc_id in (1, 2, 3, 5, 6, 8)} == {0}
+    assert next(r for r in got if r.doc_id == 7).spans.split(":")[0] == "email" and pii.find_pii(awkward.where("false")).count() == 0
 
 
 def test_quality_classifier_holds_out_and_separates(spark):
