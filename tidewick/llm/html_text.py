@@ -1,15 +1,22 @@
 """Main text of web pages: flat text blocks and a small decision tree.
 
 A page is cut into blocks at block-level tags. Each block gets its word count
-and link density, those of its neighbours, and three flags (inside an article,
-inside boilerplate markup, heading). A decision tree, trained on the labelled
-table below, keeps or drops each block; kept blocks are joined in page order.
-A name of class, id or role marks its element and what is below as boilerplate,
-but not where the element holds the page's main or, without a main, its article.
-
-Defined results: null and empty pages give an empty text; unclosed tags end with
-their container; an unclosed comment or script hides the rest; repeated rows are
-each extracted; extra columns are ignored.
+and link density, those of its neighbours, and three flags (inside the page's
+article or main, inside boilerplate markup, heading). A decision tree, trained on
+the labelled table below, keeps or drops each block; kept blocks are joined in page
+order. Of a page that marks its article the flags say which blocks are its own;
+elsewhere the words and links of a block and of its neighbours decide.
+
+Boilerplate markup are tags and names (class, id, role) of the kinds that the
+contract lists. A name counts as a whole: all its words must be of these kinds or
+tell of a place or a box. It marks its element and what is below, but not where the
+element holds the page's main or, without a main, its article. A header goes
+wherever it stands; text that is hidden, linked or in noscript or math stays.
+
+Defined results: null and empty pages give an empty text; an empty table gives no
+rows; unclosed tags end with their container; an unclosed comment ends with its
+first ``>``; an unclosed script or style hides the rest, as in browsers; repeated
+rows are each extracted; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,49 +31,62 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
-CLASSES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\shidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+TOKEN = re.compile(r"""<!--(?:>|->|.*?-->)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
+CLASSES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Names of tags.
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
-BAD_TAGS = frozenset("head nav footer aside form button select dialog menu fieldset".split())
+RAW = frozenset("script style template textarea title iframe svg".split())
+BAD_TAGS = frozenset("head nav header footer aside form button select dialog menu fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Parts of class, id and role that mark boilerplate.
+#: Words of names that mark menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 BAD_NAMES = frozenset(
-    "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup sidebar complementary widget nav navbar navigation menu breadcrumb breadcrumbs masthead topbar footer contentinfo comment comments "
-    "reply replies respond discussion disqus share sharing social related recommended login search toolbar pagination pager skip".split()
+    "menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer contentinfo sidebar complementary cookie cookies consent gdpr notice banner "
+    "ad ads adbox advert adverts advertisement advertisements advertising sponsor sponsored promo form newsletter subscribe signup login search comment comments disqus respond".split()
+)
+#: Words of names that tell of a place, a box or a number of things.
+PLACES = frozenset(
+    "site page global main primary secondary top bottom left right upper lower inner outer sticky fixed mobile desktop wrap wrapper container box bar area block section row column panel "
+    "slot unit list item items body content text link links holder region group thread reply replies reader readers user users policy message google bar".split()
 )
 
 #: Fixed values, the labelled table: words, link density, then both for the block before and the block after, in an article, in boilerplate markup, heading, label.
 LABELLED = [
-    (1, 1.00, 0, 0.0, 1, 1.0, 0, 1, 0, 0), (2, 1.00, 1, 1.0, 3, 1.0, 0, 1, 0, 0), (6, 0.00, 2, 1.0, 9, 0.0, 0, 1, 0, 0), (9, 0.00, 1, 1.0, 12, 0.0, 0, 1, 0, 0),
-    (45, 0.00, 30, 0.0, 60, 0.0, 0, 1, 0, 0), (80, 0.05, 2, 1.0, 6, 0.0, 0, 1, 0, 0), (25, 0.10, 70, 0.0, 0, 0.0, 0, 1, 0, 0), (14, 0.00, 120, 0.0, 0, 0.0, 0, 1, 0, 0),
-    (30, 0.00, 25, 0.0, 40, 0.0, 1, 1, 0, 0), (8, 0.00, 60, 0.0, 50, 0.0, 1, 1, 0, 0), (120, 0.00, 80, 0.0, 90, 0.0, 1, 1, 0, 0), (3, 1.00, 60, 0.0, 3, 1.0, 1, 1, 0, 0),
-    (7, 0.00, 0, 0.0, 55, 0.0, 0, 1, 1, 0), (4, 0.00, 9, 0.0, 20, 0.0, 1, 1, 1, 0),
-    (1, 0.00, 60, 0.0, 40, 0.0, 1, 0, 0, 1), (1, 0.00, 1, 0.0, 1, 0.0, 1, 0, 0, 1), (2, 0.00, 0, 0.0, 30, 0.0, 1, 0, 1, 1), (8, 0.00, 6, 0.0, 90, 0.0, 1, 0, 1, 1),
-    (5, 0.00, 100, 0.0, 5, 0.0, 1, 0, 0, 1), (60, 0.00, 10, 0.0, 70, 0.0, 1, 0, 0, 1), (90, 0.05, 60, 0.0, 30, 0.0, 1, 0, 0, 1), (200, 0.02, 3, 0.0, 1, 0.0, 1, 0, 0, 1),
-    (40, 0.25, 30, 0.1, 50, 0.0, 1, 0, 0, 1), (15, 0.40, 60, 0.0, 50, 0.0, 1, 0, 0, 1), (12, 0.00, 9, 0.0, 14, 0.0, 1, 0, 0, 1), (3, 0.00, 2, 1.0, 4, 0.0, 1, 0, 1, 1),
-    (25, 0.00, 1, 1.0, 12, 0.0, 1, 0, 0, 1), (1, 0.00, 9, 0.0, 0, 0.0, 1, 0, 0, 1),
-    (1, 0.00, 30, 0.0, 3, 1.0, 1, 0, 0, 1), (4, 0.00, 3, 1.0, 2, 1.0, 1, 0, 0, 1), (12, 0.00, 60, 0.0, 5, 0.8, 1, 0, 0, 1), (7, 0.30, 2, 1.0, 1, 1.0, 1, 0, 1, 1),
-    (30, 0.10, 4, 1.0, 3, 1.0, 1, 0, 0, 1), (2, 0.00, 90, 0.9, 40, 0.6, 1, 0, 0, 1), (80, 0.45, 2, 1.0, 8, 0.9, 1, 0, 0, 1), (18, 0.00, 1, 1.0, 0, 0.0, 1, 0, 0, 1),
-    (3, 1.00, 3, 1.0, 3, 1.0, 1, 0, 0, 0), (8, 1.00, 60, 0.0, 8, 1.0, 1, 0, 0, 0), (5, 0.80, 7, 0.9, 6, 1.0, 1, 0, 0, 0), (12, 0.90, 4, 1.0, 20, 0.9, 1, 0, 0, 0),
+    # in boilerplate markup, in an article or not
+    (1, 1.00, 0, 0.0, 1, 1.0, 0, 1, 0, 0), (6, 0.00, 2, 1.0, 9, 0.0, 0, 1, 0, 0), (45, 0.00, 30, 0.0, 60, 0.0, 0, 1, 0, 0), (80, 0.05, 2, 1.0, 6, 0.0, 0, 1, 0, 0),
+    (30, 0.00, 25, 0.0, 40, 0.0, 1, 1, 0, 0), (120, 0.00, 80, 0.0, 90, 0.0, 1, 1, 0, 0), (3, 1.00, 60, 0.0, 3, 1.0, 1, 1, 0, 0), (7, 0.00, 0, 0.0, 55, 0.0, 0, 1, 1, 0),
+    (14, 0.00, 120, 0.0, 0, 0.0, 0, 1, 0, 0), (4, 0.00, 9, 0.0, 20, 0.0, 1, 1, 1, 0), (200, 0.00, 90, 0.0, 70, 0.0, 0, 1, 0, 0), (25, 0.10, 70, 0.0, 0, 0.0, 1, 1, 0, 0),
+    # in the page's article: prose, short lines, headings, linked paragraphs, lists of links
+    (1, 0.00, 60, 0.0, 40, 0.0, 1, 0, 0, 1), (2, 0.00, 0, 0.0, 30, 0.0, 1, 0, 1, 1), (60, 0.00, 10, 0.0, 70, 0.0, 1, 0, 0, 1), (15, 0.40, 60, 0.0, 50, 0.0, 1, 0, 0, 1),
+    (9, 1.00, 60, 0.0, 50, 0.0, 1, 0, 0, 1), (3, 1.00, 3, 1.0, 3, 1.0, 1, 0, 0, 1), (12, 0.90, 4, 1.0, 20, 0.9, 1, 0, 0, 1), (5, 0.80, 7, 0.9, 6, 1.0, 1, 0, 0, 1),
+    (1, 0.00, 1, 1.0, 1, 1.0, 1, 0, 0, 1), (8, 0.00, 3, 1.0, 2, 1.0, 1, 0, 1, 1), (200, 0.02, 3, 0.0, 1, 0.0, 1, 0, 0, 1), (30, 1.00, 0, 0.0, 0, 0.0, 1, 0, 0, 1),
+    (4, 1.00, 0, 0.0, 3, 1.0, 1, 0, 0, 1), (20, 0.80, 5, 1.0, 18, 0.9, 1, 0, 0, 1), (35, 0.60, 10, 1.0, 8, 1.0, 1, 0, 0, 1), (3, 0.00, 1, 1.0, 1, 1.0, 1, 0, 0, 1),
+    (5, 0.00, 2, 1.0, 4, 0.5, 1, 0, 0, 1), (16, 0.00, 4, 1.0, 5, 1.0, 1, 0, 0, 1), (12, 0.00, 20, 1.0, 22, 1.0, 1, 0, 0, 1), (6, 0.00, 0, 0.0, 0, 0.0, 1, 0, 0, 1),
+    (8, 0.00, 60, 0.0, 0, 0.0, 1, 0, 0, 1), (2, 0.00, 5, 0.0, 6, 0.0, 1, 0, 0, 1), (5, 1.00, 60, 0.0, 4, 1.0, 1, 0, 0, 1), (3, 0.00, 50, 0.9, 40, 0.8, 1, 0, 0, 1),
+    (7, 0.00, 40, 0.0, 2, 1.0, 1, 0, 0, 1), (4, 0.00, 3, 1.0, 45, 0.0, 1, 0, 0, 1), (24, 0.10, 6, 1.0, 7, 0.9, 1, 0, 0, 1), (1, 1.00, 1, 1.0, 1, 1.0, 1, 0, 0, 1),
+    # elsewhere: long blocks with few links, whatever stands beside them
+    (60, 0.05, 40, 0.0, 3, 1.0, 0, 0, 0, 1), (120, 0.10, 2, 1.0, 90, 0.0, 0, 0, 0, 1), (45, 0.00, 4, 1.0, 3, 1.0, 0, 0, 0, 1), (90, 0.20, 5, 0.9, 6, 1.0, 0, 0, 0, 1),
+    (40, 0.00, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (70, 0.15, 60, 0.1, 80, 0.2, 0, 0, 0, 1), (38, 0.00, 2, 0.0, 4, 0.0, 0, 0, 0, 1), (55, 0.25, 45, 0.2, 3, 1.0, 0, 0, 0, 1),
+    # short blocks between prose
+    (6, 0.00, 50, 0.0, 45, 0.0, 0, 0, 0, 1), (3, 0.00, 40, 0.0, 38, 0.0, 0, 0, 0, 1), (12, 0.00, 35, 0.1, 60, 0.0, 0, 0, 0, 1), (18, 0.20, 35, 0.0, 28, 0.0, 0, 0, 0, 1),
+    (2, 0.00, 80, 0.0, 70, 0.0, 0, 0, 0, 1), (9, 0.00, 90, 0.1, 33, 0.1, 0, 0, 0, 1), (22, 0.10, 60, 0.0, 44, 0.0, 0, 0, 0, 1), (5, 0.30, 70, 0.0, 50, 0.0, 0, 0, 0, 1),
+    # linked paragraphs and headings before prose
+    (8, 1.00, 60, 0.0, 55, 0.0, 0, 0, 0, 1), (14, 0.90, 45, 0.0, 70, 0.0, 0, 0, 0, 1), (7, 0.00, 2, 1.0, 60, 0.0, 0, 0, 1, 1), (4, 0.00, 3, 0.0, 55, 0.0, 0, 0, 1, 1),
+    (6, 0.00, 0, 0.0, 48, 0.0, 0, 0, 1, 1), (5, 1.00, 60, 0.0, 65, 0.1, 0, 0, 1, 1), (3, 0.00, 70, 0.0, 90, 0.0, 0, 0, 1, 1), (9, 0.00, 1, 1.0, 40, 0.0, 0, 0, 1, 1),
+    (3, 0.00, 2, 1.0, 50, 0.0, 0, 0, 1, 1), (4, 0.00, 1, 1.0, 70, 0.1, 0, 0, 1, 1), (5, 0.00, 4, 1.0, 45, 0.0, 0, 0, 1, 1), (2, 0.00, 0, 0.0, 60, 0.0, 0, 0, 1, 1),
+    # lists of links, captions and teasers between links, scraps at the edges
     (1, 1.00, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (4, 1.00, 0, 0.0, 3, 1.0, 0, 0, 0, 0), (20, 0.80, 5, 1.0, 18, 0.9, 0, 0, 0, 0), (35, 0.60, 10, 1.0, 8, 1.0, 0, 0, 0, 0),
-    (3, 0.00, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (5, 0.00, 2, 1.0, 4, 0.5, 0, 0, 0, 0), (6, 0.00, 0, 0.0, 0, 0.0, 0, 0, 0, 0), (8, 0.00, 3, 1.0, 5, 0.0, 0, 0, 0, 0),
-    (2, 0.00, 5, 0.0, 6, 0.0, 0, 0, 0, 0), (4, 0.00, 12, 1.0, 2, 0.0, 0, 0, 1, 0),
-    (30, 0.00, 20, 0.0, 45, 0.0, 0, 0, 0, 1), (60, 0.05, 40, 0.0, 3, 1.0, 0, 0, 0, 1), (120, 0.10, 2, 1.0, 90, 0.0, 0, 0, 0, 1), (25, 0.20, 60, 0.0, 70, 0.1, 0, 0, 0, 1),
-    (18, 0.00, 35, 0.0, 28, 0.0, 0, 0, 0, 1), (6, 0.00, 50, 0.0, 45, 0.0, 0, 0, 0, 1), (7, 0.00, 2, 1.0, 60, 0.0, 0, 0, 1, 1), (4, 0.00, 70, 0.0, 55, 0.0, 0, 0, 1, 1),
-    (3, 0.00, 40, 0.0, 38, 0.0, 0, 0, 0, 1), (40, 0.00, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (3, 0.00, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (5, 0.00, 2, 1.0, 4, 0.5, 0, 0, 0, 0), (16, 0.00, 4, 1.0, 5, 1.0, 0, 0, 0, 0), (24, 0.10, 6, 1.0, 7, 0.9, 0, 0, 0, 0),
+    (12, 0.00, 20, 1.0, 22, 1.0, 0, 0, 0, 0), (4, 0.00, 12, 1.0, 2, 1.0, 0, 0, 1, 0), (6, 0.00, 0, 0.0, 0, 0.0, 0, 0, 0, 0), (8, 0.00, 60, 0.0, 0, 0.0, 0, 0, 0, 0),
+    (2, 0.00, 5, 0.0, 6, 0.0, 0, 0, 0, 0), (5, 1.00, 60, 0.0, 4, 1.0, 0, 0, 0, 0), (6, 1.00, 3, 1.0, 50, 0.0, 0, 0, 0, 0), (3, 0.00, 50, 0.9, 40, 0.8, 0, 0, 0, 0),
+    (10, 0.00, 45, 0.7, 60, 0.6, 0, 0, 0, 0), (7, 0.00, 40, 0.0, 2, 1.0, 0, 0, 0, 0), (4, 0.00, 3, 1.0, 45, 0.0, 0, 0, 0, 0), (18, 0.30, 3, 1.0, 4, 1.0, 0, 0, 0, 0),
+    (8, 0.00, 2, 1.0, 50, 0.0, 0, 0, 0, 0), (9, 0.00, 1, 1.0, 60, 0.1, 0, 0, 0, 0), (3, 0.00, 2, 1.0, 55, 0.0, 0, 0, 0, 0), (2, 0.00, 4, 1.0, 3, 1.0, 0, 0, 1, 0),
 ]
 
-#: Words of a class or id after which a name tells of the page's layout or subject.
-QUALIFIERS = frozenset("has with without no not category categories cat tag tags topic format type template layout".split())
-
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
     """A binary tree by Gini impurity: a leaf is its label, a node (feature, cut, below, above)."""
     if depth == 0 or len(set(y)) == 1:
         return int(y.mean() >= 0.5)
@@ -96,20 +116,15 @@ def decide(tree, row) -> int:
     return tree
 
 
-def bad_tag(tag: str, attributes: str, in_article: bool) -> bool:
-    return tag in BAD_TAGS or tag == "header" and not in_article or bool(attributes and HIDDEN.search(attributes))
-
-
 def bad_name(tag: str, attributes: str) -> bool:
+    """Whether a class, id or role names boilerplate: with all its words, of which one at least is of its kinds."""
     if not attributes or tag in ("body", "html", "main"):
         return False
     for m in CLASSES.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
-            for part in re.split(r"[^a-z]+", name)[: 1 if tag == "article" else None]:
-                if part in QUALIFIERS:
-                    break
-                if part in BAD_NAMES:
-                    return True
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = {w.lower() for w in NAME_WORD.findall(name)}
+            if words & BAD_NAMES and words <= BAD_NAMES | PLACES:
+                return True
     return False
 
 
@@ -127,6 +142,7 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
     bodies = [("", 0, 0)]  # mains and articles that may be the page's: tag, the mark above, words
     is_open: dict[str, int] = {}
     links = 0
+    formula = False
 
     def flush():
         nonlocal text
@@ -154,14 +170,16 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
         if not tag:
             continue
         if tag in RAW and not m[1]:
-            if tag in ("svg", "math") and self_closed(m[3]):
+            if tag == "svg" and self_closed(m[3]):
                 continue
             close = re.compile(f"</{tag}[^>]*>", re.I).search(html, at)
             at = close.end() if close else len(html)
             continue
         if tag == "a":
             links = 0 if m[1] else 1
-        if tag in INLINE:
+        if tag == "math":
+            formula = not m[1] and not self_closed(m[3])
+        if tag in INLINE or formula or tag == "math":
             if tag == "br":
                 text.append((" ", links > 0))
             continue
@@ -180,7 +198,7 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
             is_open[stack.pop()[0]] -= 1  # its end tag may be left out
         _, bad, mark, body = stack[-1] if stack else ("", False, 0, 0)
-        bad = bad or bad_tag(tag, m[3], is_open.get("article", 0) > 0)
+        bad = bad or tag in BAD_TAGS
         if bad_name(tag, m[3]):
             marks.append(mark)
             mark = len(marks) - 1
@@ -201,15 +219,16 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
     return [(*x[:4], int(x[4] or x[5] not in excused), x[6]) for x in out]
 
 
+def rows_of(found: list[tuple[str, int, float, int, int, int]]) -> list[tuple]:
+    """The features of each block, as in the labelled table."""
+    none = ("", 0, 0.0, 0, 0, 0)
+    sides = zip([none, *found], found, [*found[1:], none], strict=False)
+    return [(n, d, before[1], before[2], after[1], after[2], article, bad, heading) for before, (_, n, d, article, bad, heading), after in sides]
+
+
 def main_text(html: str | None, tree) -> str:
     found = blocks(html or "")
-    none = ("", 0, 0.0, 0, 0, 0)
-    kept = []
-    for i, (text, n, d, article, bad, heading) in enumerate(found):
-        before, after = found[i - 1] if i else none, found[i + 1] if i + 1 < len(found) else none
-        if decide(tree, (n, d, before[1], before[2], after[1], after[2], article, bad, heading)):
-            kept.append(text)
-    return " ".join(kept)
+    return " ".join(x[0] for x, row in zip(found, rows_of(found), strict=True) if decide(tree, row))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
