@@ -436,10 +436,62 @@ def test_licenses(spark, docs, awkward):
         x = got[r.doc_id]
         assert (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) == (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)))
         assert set(filter(None, x.base_labels.split(","))) <= set(x.labels.split(",")) and 0 <= x.score <= 1
-    assert [got[10**6 + i].labels for i in range(8)] == ["mit", "apache-2", "cc-by-nc", "gpl", "mit", "", "", ""]
+    assert [got[10**6 + i].labels for i in range(8)] == ["mit", "apache-2", "cc-by-nc", "gpl,gpl-3", "mit", "", "", ""]
     assert licenses.scan_licenses(awkward).count() == len(AWKWARD)
 
 
+def test_license_names_versions_and_identifiers():
+    index = licenses.Index({}, 0)
+    for text, labels in (
+        ("GPL-3.0", "gpl,gpl-3"), ("SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: GPL-2.0-only", "gpl,gpl-2"), ("the BSD 3-Clause license", "bsd,bsd-3"), ("BSD-2-Clause", "bsd,bsd-2"),
+        ("subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"), ("Eclipse Public License 2.0", "epl-2"), ("SPDX-License-Identifier: Apache-2.0", "apache-2"), ("GNU General Public License, version 2", "gpl,gpl-2"),
+        ("under the terms of the GNU Lesser General Public License", "lgpl"), ("a CC BY-SA work", "cc-by-sa"), ("the general public has a license", ""), ("version 3.0 of the clause", ""), ("an MIT student's license", ""),
+        ("the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "gpl,gpl-3"),
+        ("Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd,bsd-3"),
+    ):
+        assert index.scan(licenses.words_of(text))[4] == labels, text
+
+
+def labels_brute(words):
+    """Labels and best share by trying every start of every template."""
+    labels, best = set(), 0.0
+    find = lambda p: [i for i in range(len(words)) if words[i : i + len(p)] == p]
+    for p, label in licenses.BASE:
+        if find(p.split()):
+            labels.add(label)
+            best = 1.0
+    held = set(words)
+    for label, ws, must in licenses.templates():
+        if sum(w in held for w in ws) < licenses.SHARE * len(ws) - 1e-9 or not all(find(m) for m in must):
+            continue
+        musts = [find(m) for m in must]
+        for start in range(-len(ws), len(words) + 1):
+            got = sum(any(0 <= start - d + q < len(words) and words[start - d + q] == w for d in range(licenses.SLACK + 1)) for q, w in enumerate(ws))
+            if got >= licenses.SHARE * len(ws) - 1e-9 and all(any(start - licenses.SLACK <= p <= start + len(ws) + licenses.SLACK for p in ps) for ps in musts):
+                labels |= licenses.families(label)
+                best = max(best, got / len(ws))
+    return ",".join(sorted(labels)), min(1.0, best)
+
+
+def test_license_labels_equal_brute_force(spark, docs):
+    rng = random.Random(4)
+    every = licenses.templates()
+    rows = [r.text for r in docs.select("text").collect()]
+    for _ in range(300):
+        _, ws, _ = rng.choice(every)
+        w = list(ws)
+        for _ in range(rng.randrange(0, 6)):
+            i = rng.randrange(len(w) + 1)
+            w[i : i + rng.randrange(2)] = rng.choice([[], ["other"], [rng.choice(rng.choice(every)[1])]])
+        cut = rng.randrange(len(w) // 3 + 1)
+        rows.append(" ".join(["some", "text"] * rng.randrange(4) + w[cut:] + rng.choice(every)[1][: rng.randrange(20)]))
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(rows):
+        labels, share = labels_brute(licenses.words_of(text))
+        assert (got[i].labels, got[i].score) == (labels, pytest.approx(share)), text
+    assert licenses.scan_licenses(docs.where("false")).count() == 0
+
+
 def test_licenses_in_shortened_notices(spark):
     short = "permission is hereby granted free of charge to any person obtaining a copy"
     other = "this program is free software you can redistribute it under the terms of the gnu general public license"
@@ -477,14 +529,84 @@ def test_html_names_of_layout_and_subject():
         assert html_text.main_text(page, tree) == want, page
 
 
-def test_html_pages(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    from html import unescape
-
-    got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
-    for r in pages.collect():
-        inner = r.html[r.html.index("<article>") : r.html.index("</article>")]
-        assert got[r.page_id] == " ".join(unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+def test_html_keeps_all_of_the_article():
+    tree, p = html_text.train(), "<p>" + "word " * 30
+    for part, text in (
+        ('<section id="discussion"><p>on it</section>', "on it"), ('<div class="related-work"><p>of others</div>', "of others"), ('<div class="share-price">12 euro</div>', "12 euro"),
+        ("<noscript><p>a picture of it</noscript>", "a picture of it"), ("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds", "where x=2 holds"), ('<p><a href="x">all of it a link</a>', "all of it a link"),
+        ("<div hidden>more of it</div>", "more of it"), ('<ul><li><a href="a">one</a><li><a href="b">two</a></ul>', "one two"), ("<!-- left open <p>and on", "and on"), ('<div data-class="ad">kept</div>', "kept"),
+        ('<div class="searchResults">found</div>', "found"), ('<p class="comment-on-the-text">remark', "remark"),
+        ("<header>By N. N.</header>", ""), ('<div class="ad">buy</div>', ""), ('<div class="cookieNotice">we use</div>', ""), ('<section id="reader-comments"><p>me too</section>', ""), ("<aside>see</aside>", ""), ("<form>mail</form>", ""),
+    ):
+        page = f"<body><nav><a href=/>Home</a></nav><article><h1>Title</h1>{p}{part}{p if '<!--' not in part else ''}</article><footer>end</footer>"
+        want = " ".join(f"Title {'word ' * 30}{text} {'word ' * 30 if '<!--' not in part else ''}".split())
+        assert html_text.main_text(page, tree) == want, part
+
+
+def test_html_without_an_article_is_decided_by_the_neighbours():
+    tree = html_text.train()
+    link = lambda x: f'<li><a href="/{x}">{x}</a>'
+    prose = "<p>" + "word " * 50
+    page = f"<body><div><ul>{link('home')}{link('news')}{link('shop')}</ul></div><div>Most read today</div><ul>{link('first')}{link('second')}</ul><h2>A heading of it</h2>{prose}<p>Short one.{prose}<p><a href=x>all of it linked text</a>{prose}"
+    page += f"<ul>{link('more')}{link('other')}</ul><div>Take a look</div><ul>{link('last')}{link('end')}</ul>"
+    words = " ".join(["word"] * 50)
+    assert html_text.main_text(page, tree) == f"A heading of it {words} Short one. {words} all of it linked text {words}"
+    found = html_text.blocks(page)
+    blind = [x[0] for x, r in zip(found, html_text.rows_of(found), strict=True) if html_text.decide(tree, (*r[:2], 0, 0.0, 0, 0.0, *r[6:]))]
+    assert " ".join(blind) != html_text.main_text(page, tree)
+    used = set()
+
+    def walk(t):
+        if not isinstance(t, int):
+            used.add(t[0])
+            walk(t[2])
+            walk(t[3])
+
+    walk(tree)
+    assert used & {2, 4} and used & {3, 5}  # words and link density of neighbours
+    table = np.array(html_text.LABELLED)
+    assert all(html_text.decide(tree, r[:-1]) == r[-1] for r in table)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_html_pages_equal_a_parser_of_the_contract(spark, sf):
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        """The text of the article, cut at block tags."""
+
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.parts = 0, []
+
+        def handle_starttag(self, tag, attributes):
+            self.inside += tag == "article"
+            self.parts.append(" " if self.inside and tag not in ("b", "i", "a", "em") else "")
+
+        def handle_endtag(self, tag):
+            self.parts.append(" " if self.inside and tag not in ("b", "i", "a", "em") else "")
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            self.parts.append(data if self.inside else "")
+
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in html_text.extract_text(pages).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        a = Article()
+        a.feed(r.html)
+        text = " ".join("".join(a.parts).split())
+        assert got[r.page_id] == (r.url, text, len(text))
+
+
+def test_html_awkward(spark):
+    rows = [(1, None, None, "t", 5), (1, None, None, "t", 5), (None, "u", "<article>x", None, None), (2, "u", "<" * 1000, "t", 1), (3, "u", "<article>" * 3000 + "deep", "t", 1), (4, "u", "<p " + "a=b " * 50_000 + ">x", "t", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = html_text.extract_text(df).collect()
+    assert sorted((str(r.page_id), r.text) for r in got if r.page_id not in (2, 4)) == [("1", ""), ("1", ""), ("3", "deep"), ("None", "x")]
+    assert html_text.extract_text(df.where("false")).count() == 0
 
 
 def test_pipeline(spark):
