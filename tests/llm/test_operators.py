@@ -8,6 +8,7 @@ import string
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewick.llm import decontaminate, fixity, html_text, licenses, line_dedup, mixing, near_dup, pii, quality_classifier, quality_rules, queries
 from tidewick.llm import textnum as tn
@@ -159,6 +160,12 @@ def test_quality_rules(spark, docs, awkward):
     assert all(r.score == 0 for r in quality_rules.apply_quality_rules(awkward, awkward.where("false")).collect())
 
 
+def test_quality_rules_of_an_empty_table_and_clashing_columns(spark, awkward):
+    assert quality_rules.apply_quality_rules(awkward.where("false"), awkward.select("doc_id")).count() == 0
+    clash = awkward.withColumn("score", F.lit("x")).withColumn("kept", F.lit(1)).withColumn("trusted", F.lit(2))
+    assert quality_rules.apply_quality_rules(clash, clash.select("doc_id", "kept")).count() == len(AWKWARD)
+
+
 def test_quality_rules_score_is_the_mean_log_ratio(spark):
     rows = [(i, " ".join(f"good{(i * 7 + j) % 30}" for j in range(80))) for i in range(10)] + [(10 + i, " ".join(f"bad{(i * 5 + j) % 30}" for j in range(80))) for i in range(10)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -309,6 +316,27 @@ def test_quality_classifier_holds_out_and_separates(spark):
     assert all(r.predicted == int(r.score >= 0.3) for r in got)
 
 
+def test_quality_classifier_equals_a_plain_discriminant(spark, docs):
+    import zlib
+
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    got = {r.doc_id: r.score for r in quality_classifier.score_quality(docs, labels).collect()}
+    texts = {r.doc_id: np.frombuffer((r.text or "").encode(), np.uint8) for r in docs.collect()}
+    x = {d: np.array(quality_classifier.statistics(t)) for d, t in texts.items()}
+    train = [(x[r.doc_id], r.quality) for r in labels.collect() if r.doc_id in x and r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
+    of = [np.array([v for v, q in train if q == c]) for c in (0, 1)]
+    mean, cov = [v.mean(0) for v in of], [np.cov(v.T, bias=True) for v in of]
+    pooled = sum(len(v) * c for v, c in zip(of, cov, strict=True)) / sum(map(len, of))
+    prior = (len(of[1]) + 1) / (sum(map(len, of)) + 2)
+    q = quality_classifier
+    shrunk = [(1 - q.SHRINK_POOLED) * c + q.SHRINK_POOLED * pooled for c in cov]
+    shrunk = [(1 - q.SHRINK_DIAGONAL) * c + q.SHRINK_DIAGONAL * np.diag(np.diag(c)) + 1e-4 * np.eye(len(c)) for c in shrunk]
+    for d, v in x.items():
+        density = [-0.5 * (v - m) @ np.linalg.inv(c) @ (v - m) - 0.5 * np.linalg.slogdet(c)[1] for m, c in zip(mean, shrunk, strict=True)]
+        z = (density[1] - density[0]) / q.TEMPERATURE + np.log(prior / (1 - prior))
+        assert got[d] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -60, 60))), abs=1e-9)
+
+
 def test_quality_classifier_awkward(spark, awkward):
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (99, None, 0)], "doc_id long, quality int, toxic int")
     got = quality_classifier.score_quality(awkward, labels).collect()
@@ -329,12 +357,41 @@ def test_line_dedup_awkward(spark):
     assert got[1].text is None and got[2].text == "" and got[5].text == " \n\t \n"
 
 
+@pytest.mark.parametrize("hot", [4, 10_000])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT_LINES", hot)
+    rng = random.Random(hot)
+    rows = [(i, "\n".join(f"line {int(rng.expovariate(0.08))}" for _ in range(rng.randrange(6))), f"s{rng.randrange(25)}") for i in range(300)]
+    rows += [(1000 + i, "hot line\nthe same", f"s{i % 40}") for i in range(200)]
+    sites, keeper = collections.defaultdict(set), {}
+    for d, t, s in rows:
+        for x in t.split("\n"):
+            sites[x].add(s)
+            keeper[x] = min(d, keeper.get(x, d))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {d: "\n".join(x for x in t.split("\n") if not x or len(sites[x]) < line_dedup.MIN_SITES or keeper[x] == d) for d, t, _ in rows}
+    assert line_dedup.dedup_lines(df.where("false")).count() == 0
+
+
 def test_mixing_meets_targets(spark, docs, awkward):
     cells = spark.createDataFrame([("a", "x", "p", 100.0), ("a", "y", "p", 300.0), ("b", "x", "q", 500.0), ("b", "y", "q", 100.0)], "source string, lang string, topic string, tokens double")
     targets = spark.createDataFrame([("source", "a", 0.5), ("source", "b", 0.5), ("lang", "x", 0.3), ("lang", "y", 0.7), ("topic", "p", 0.5), ("topic", "q", 0.5)], "dimension string, value string, share double")
-    rows = mixing.rake(cells, targets, rounds=60).collect()
+    rows = mixing.rake(cells, targets, rounds=48).collect()
     for d, v, share in (("source", "a", 0.5), ("lang", "y", 0.7)):
         assert sum(r.weight for r in rows if r[d] == v) == pytest.approx(share, abs=1e-3)
+    for one_task, rounds, near in ((True, mixing.MAX_ROUNDS, 1e-5), (False, 3, 2e-2)):  # given shares stand, the others divide the rest; repeated and null targets
+        some = spark.createDataFrame([("source", "a", 0.4), ("source", "a", 0.4), ("lang", "y", 0.7), ("lang", "x", None), ("topic", "none", 0.5)], "dimension string, value string, share double")
+        grid = [(a, b, c, float(n * n)) for n, (a, b, c) in enumerate(((a, b, c) for a in "abc" for b in "xy" for c in "pq"), 1)]
+        rows = mixing.rake(spark.createDataFrame(grid, cells.schema), some, rounds, one_task).collect()
+        tokens = {a: sum(n for x, _, _, n in grid if x == a) for a in "abc"}
+        shares = {(d, v): sum(r.weight for r in rows if r[d] == v) for d, v in (("source", "a"), ("lang", "y"), ("source", "b"), ("source", "c"))}
+        assert shares["source", "a"] == pytest.approx(0.4, abs=near) and shares["lang", "y"] == pytest.approx(0.7, abs=near)
+        assert shares["source", "b"] / shares["source", "c"] == pytest.approx((tokens["b"] / tokens["c"]) ** mixing.TEMPER["source"], rel=near * 10)
+    topics = spark.createDataFrame([(i, "w " * 50, "en", "s", "sport" if i % 2 else "law") for i in range(400)], "doc_id long, text string, lang string, source string, topic string")
+    wish = spark.createDataFrame([("topic", "law", 0.9)], "dimension string, value string, share double")
+    taken = mixing.mix_sources(topics, wish).groupBy("topic").agg({"copies": "sum"}).collect()
+    assert {r.topic: r[1] for r in taken}["law"] == pytest.approx(0.9 * 200, abs=15) and len(taken) == 2
     got = mixing.mix_sources(awkward).collect()
     assert all(r.copies >= 1 and r.text for r in got)
     assert mixing.mix_sources(awkward.where("false")).count() == 0
@@ -382,7 +439,7 @@ def test_decontamination(spark, awkward):
 def test_decontamination_blocks(spark, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(f"b{i}w{j}" for j in range(20))) for i in range(7)], "item_id long, text string")
     df = spark.createDataFrame([(i, f"start b{i}w0 " + " ".join(f"b{i}w{j}" for j in range(1, 20)) + " end") for i in range(7)], "doc_id long, text string")
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
     assert {(r.doc_id, r.item_id, r.score) for r in decontaminate.find_leaks(df, bench).collect()} == {(i, i, 1.0) for i in range(7)}
 
 
@@ -416,6 +473,29 @@ def test_fixity_audit(spark):
     assert fixity.audit(a, a.where("false")).count() == len(rows)
 
 
+def test_fixity_of_null_and_repeated_ids(spark):
+    rows = [(None, f"u{i}", "x" * i) for i in range(300)] + [(None, "same", "y")] * 500 + [(7, "u", "a")] * 40 + [(7, "u", "b"), (8, None, None), (9, "u", "")]
+    schema = "page_id long, url string, html string, record string, n long"
+    a = spark.createDataFrame([(*r, "x", 1) for r in rows], schema)
+    assert fixity.audit(a, a.repartition(3)).count() == 0
+    b = spark.createDataFrame([(*r, "x", 1) for r in rows[1:300] + rows[:1] + rows[301:] + [(9, "u", "")]], schema)
+    got = [(r.record, r.primary_n, r.replica_n) for r in fixity.audit(a, b).collect()]
+    assert sorted(got, key=str) == [(9, 1, 2), (None, 500, 499)]
+    changed = a.where("page_id = 7 and html = 'b'").unionByName(spark.createDataFrame([(100, "u", "long", "x", 1)], schema))
+    longer = changed.withColumn("html", F.concat("html", F.lit("!!!")))
+    assert {(r.record, r.begin, r.primary_hash == r.replica_hash) for r in fixity.audit(changed, longer).collect()} == {(7, 0, False), (100, len("WARC/1.0rnWARC-Type: responsernWARC-Target-URI: urnContent-Length: 1rnrnbrnrn"), False)}
+
+
+def test_fixity_nodes_hold_ordered_ranges(spark):
+    rows = spark.createDataFrame([(0, i, 1, 1, 10 + i, f"h{i}") for i in range(5)], "side int, place long, copy int, n long, size long, hash string")
+    import hashlib as h
+
+    (one, two) = fixity.tree(rows, levels=2, fan_out=4)
+    got = {r.node: (r.size, r.hash) for r in one.collect()}
+    assert got[0] == (46, h.sha256(b"0+10:1*h0,10+11:1*h1,21+12:1*h2,33+13:1*h3,").hexdigest()) and got[1] == (14, h.sha256(b"0+14:1*h4,").hexdigest())
+    assert two.first().hash == h.sha256(f"0+46:1*{got[0][1]},46+14:1*{got[1][1]},".encode()).hexdigest()
+
+
 def test_licenses(spark, docs, awkward):
     texts = [
         "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "x CC BY-NC 4.0 y cc by nc", "This work is licensed under the GNU General Public License, version 3.",

@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare seeds find passages, local alignment scores them.
 
 Words are lower-cased runs of letters and digits. Benchmark items are taken in
-blocks of ``BLOCK_ITEMS``, so that what tasks share has a fixed bound. For a
-block, the first pass counts in how many documents each two-word gram of the
+blocks of ``BLOCK_WORDS`` words (100,000 items of 40), so that what tasks share has
+a fixed bound: flat arrays of under 30 bytes a word. For a block, the first pass counts in how many documents each two-word gram of the
 items stands, over ALL documents. Each item keeps its rarest grams as seeds. The
 second pass finds the seeds in the documents and aligns the item with the words
 around them (Smith-Waterman: match 1, mismatch and gap -1). A document is
@@ -22,7 +22,6 @@ contaminates nothing; extra columns pass through ``clean_documents``.
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 
 import numpy as np
@@ -34,7 +33,7 @@ from . import textnum as tn
 
 SEED_WORDS = 2
 THRESHOLD = 0.5
-BLOCK_ITEMS = 10_000
+BLOCK_WORDS = 4_000_000
 
 
 def words(buf: np.ndarray) -> np.ndarray:
@@ -57,45 +56,72 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+class Ragged:
+    """Arrays of different lengths in one."""
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
+        self.flat, self.at = flat, np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.flat[self.at[k] : self.at[k + 1]]
+
+    def rows(self, ks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the rows ks, one behind the other, the places in flat, and which of ks each comes from."""
+        n = self.at[ks + 1] - self.at[ks]
+        first = np.cumsum(n) - n
+        of = np.repeat(np.arange(len(ks)), n)
+        return self.at[ks][of] + np.arange(len(of)) - first[of], of
+
+
+def joined(parts: list[np.ndarray], dtype) -> Ragged:
+    return Ragged(np.concatenate(parts) if parts else np.zeros(0, dtype), np.array([len(x) for x in parts], dtype=np.int64))
+
+
 class Block:
     """A block of items with the hashes of their words and grams."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.items = [(i, w) for i, w in items if len(w)]
-        self.sizes = sorted({min(SEED_WORDS, len(w)) for _, w in self.items})
-        every = [tn.grams(w, min(SEED_WORDS, len(w))) for _, w in self.items]
-        self.grams = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
+        items = [(i, w) for i, w in items if len(w)]
+        self.ids = [i for i, _ in items]
+        self.words = joined([w for _, w in items], np.uint64)
+        self.all_grams = joined([tn.grams(w, min(SEED_WORDS, len(w))) for _, w in items], np.uint64)
+        self.sizes = sorted({min(SEED_WORDS, len(w)) for _, w in items})
+        self.grams = np.unique(self.all_grams.flat)
 
     def counts(self, w: np.ndarray) -> np.ndarray:
         """Which of the grams stand in a document."""
         hit = [np.zeros(0, np.int64)]
         for n in self.sizes:
-            g = tn.grams(w, n)
-            at = np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)
-            hit.append(at[self.grams[at] == g])
+            hit.append(found(self.grams, tn.grams(w, n))[1])
         return np.unique(np.concatenate(hit))
 
     def choose(self, df: np.ndarray, threshold: float) -> Block:
         """Fixes the seeds: of each item the rarest grams, as many as an alignment that reaches the threshold can't all avoid."""
-        seeds = defaultdict(list)
-        self.parts = []
-        for k, (_, w) in enumerate(self.items):
-            g = tn.grams(w, min(SEED_WORDS, len(w)))
-            need = max(1, math.ceil(threshold * len(w) - 1e-9) - 1)
-            self.parts.append((*np.unique(g, return_counts=True), need))
-            n = df[np.searchsorted(self.grams, g)]
-            for at in np.argsort(n, kind="stable")[: max(0, len(g) - need + 1)].tolist():
-                seeds[int(g[at])].append((k, at))
-        self.slack = [len(w) - math.ceil(threshold * len(w) - 1e-9) + 2 for _, w in self.items]
-        self.seeds = dict(seeds)
-        self.keys = np.array(sorted(self.seeds), dtype=np.uint64)
+        g = self.all_grams
+        size, n = np.diff(self.words.at), np.diff(g.at)
+        score = np.ceil(threshold * size - 1e-9).astype(np.int64)
+        self.need, self.slack = np.maximum(1, score - 1), size - score + 2
+        item = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(item)) - g.at[item]
+        order = np.lexsort((place, df[np.searchsorted(self.grams, g.flat)], item))  # of each item the rarest first
+        seed = order[place < np.maximum(0, n - self.need + 1)[item]]
+        seed = seed[np.lexsort((place[seed], item[seed], g.flat[seed]))]
+        self.keys, held = np.unique(g.flat[seed], return_counts=True)
+        self.seeds = Ragged(np.stack([item[seed], place[seed]], 1).astype(np.int32), held)
+        own = np.lexsort((g.flat, item))
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = (g.flat[own][1:] != g.flat[own][:-1]) | (item[own][1:] != item[own][:-1])
+        first = np.flatnonzero(new)
+        self.own = Ragged(g.flat[own[first]], np.bincount(item[own[first]], minlength=len(n)))
+        self.times = np.diff(np.append(first, len(own))).astype(np.int32)
+        del self.all_grams, self.grams
         return self
 
     def enough(self, k: int, g: np.ndarray) -> bool:
         """Whether sorted grams share as many with an item as the threshold takes."""
-        own, n, need = self.parts[k]
+        own, times = self.own[k], self.times[self.own.at[k] : self.own.at[k + 1]]
         here = np.searchsorted(g, own, "right") - np.searchsorted(g, own)
-        return int(np.minimum(here, n).sum()) >= need
+        return int(np.minimum(here, times).sum()) >= self.need[k]
 
     def search(self, w: np.ndarray) -> list[tuple[int, float, int]]:
         """(item_id, score, end word) of the items found in a document."""
@@ -103,23 +129,25 @@ class Block:
         grams = {}
         for n in self.sizes:
             grams[n] = g = tn.grams(w, n)
-            if not len(g) or not len(self.keys):
+            where, key = found(self.keys, g)
+            if not len(where):
                 continue
-            at = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
-            hits = np.flatnonzero(self.keys[at] == g)
-            if not len(hits):
+            whole, keys = np.sort(g), np.unique(key)
+            seeds = self.seeds.flat[self.seeds.rows(keys)[0]]
+            may = np.array([k for k in np.unique(seeds[:, 0]).tolist() if self.enough(k, whole)], dtype=np.int64)
+            if not len(may):
                 continue
-            whole, may = np.sort(g), {}
-            for p in hits.tolist():
-                for k, q in self.seeds[int(g[p])]:
-                    if k not in may:
-                        may[k] = self.enough(k, whole)
-                    if may[k]:
-                        size, slack = len(self.items[k][1]), self.slack[k]
-                        windows[k].append((p - q - slack, p - q + size + slack))
+            at, of = self.seeds.rows(keys)
+            take = np.isin(self.seeds.flat[at][:, 0], may)
+            meant = defaultdict(list)  # of each key of the items that may be there, (item, place)
+            for i, (k, q) in zip(of[take].tolist(), self.seeds.flat[at[take]].tolist(), strict=True):
+                meant[int(keys[i])].append((k, q))
+            for p, i in zip(where.tolist(), key.tolist(), strict=True):
+                for k, q in meant.get(i, ()):
+                    windows[k].append((p - q - int(self.slack[k]), p - q + len(self.words[k]) + int(self.slack[k])))
         out = []
         for k, spans in windows.items():
-            item_id, item = self.items[k]
+            item = self.words[k]
             spans.sort()
             merged = [list(spans[0])]
             for lo, hi in spans[1:]:
@@ -138,14 +166,24 @@ class Block:
                 if best == len(item):
                     break
             if best:
-                out.append((item_id, best / len(item), end))
+                out.append((self.ids[k], best / len(item), end))
         return out
 
 
+def found(keys: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of those of g that are among sorted keys, and which key each is."""
+    if not len(keys) or not len(g):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+    where = np.flatnonzero(keys[at] == g)
+    return where, at[where]
+
+
 def blocks_of(benchmark: DataFrame, docs: DataFrame, threshold: float):
     """The benchmark in blocks whose seeds are chosen by counts over all docs."""
     spark = docs.sparkSession
     held: list[tuple[int, np.ndarray]] = []
+    taken = 0
 
     def ready():
         block = Block(held)
@@ -165,9 +203,10 @@ def blocks_of(benchmark: DataFrame, docs: DataFrame, threshold: float):
 
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
         held.append((row.item_id, words(np.frombuffer((row.text or "").encode(), dtype=np.uint8))))
-        if len(held) == BLOCK_ITEMS:
+        taken += len(held[-1][1])
+        if taken >= BLOCK_WORDS:
             yield ready()
-            held = []
+            held, taken = [], 0
     if held:
         yield ready()
 

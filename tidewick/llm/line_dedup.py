@@ -7,6 +7,9 @@ estimate is too near the threshold to be trusted, the sites are counted exactly.
 A line on ``min_sites`` sites or more is removed from every document but the one
 with the smallest doc_id. DataFrame operations only.
 
+Lines of so many rows that at most ``HOT_LINES`` can have as many are looked up by
+broadcast, so their rows stay where they are; the others are joined by a shuffle.
+
 Defined results: blank lines never count and always stay; a null text stays null,
 an empty one empty; a null source counts as a site of its own; rows with a null
 doc_id are counted but never changed; repeated rows are changed alike; an empty
@@ -18,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folders import shared_folder
+
 MIN_SITES = 10
 LG_K = 12
-SALTS = 16
+HOT_LINES = 10_000
 MARGIN = 0.06  # more than three standard errors of a sketch of 2 ** LG_K registers
 
 
@@ -33,28 +38,38 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return lines.where(line != "").select("doc_id", "text_key", "site", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
 
 
-def dealt(lines: DataFrame) -> DataFrame:
-    """Each of the lines once for every salt, to meet the rows of a frequent line in as many tasks."""
-    return lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+KEY = ["h1", "h2"]
+
+
+def looked_up(rows: DataFrame, lines: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows joined with lines by KEY; lines has a column hot, and those that are, HOT_LINES at most, are among hot (KEY)."""
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), KEY, "left")
+    some = marked.where("_hot").drop("_hot").join(F.broadcast(lines.where("hot").drop("hot")), KEY)
+    return some.unionByName(marked.where("_hot is null").drop("_hot").join(lines.where("not hot").drop("hot"), KEY))
 
 
 def spread_hits(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """The rows of line_rows whose line stands on min_sites sites or more, with the keeper's doc_id."""
-    rows = line_rows(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)))
+    shared_folder(docs.sparkSession)
+    rows = line_rows(docs)
     suspects = (
-        rows.groupBy("h1", "h2")
+        rows.groupBy(*KEY)
         .agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("first"), F.max("site").alias("last"), F.min("doc_id").alias("keeper"))
         .where((F.col("n") >= min_sites) & ((F.col("first") != F.col("last")) | (F.lit(min_sites) < 2)))
-        .select("h1", "h2", "keeper")
+        .select(*KEY, "n", "keeper")
+        .checkpoint()
     )
-    hits = rows.join(dealt(suspects), ["h1", "h2", "salt"]).persist()
-    parts = hits.groupBy("h1", "h2", "salt").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
-    sketched = parts.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("sites"))
+    bound = (suspects.agg(F.sum("n")).first()[0] or 0) // HOT_LINES
+    suspects = suspects.withColumn("hot", F.col("n") > bound).drop("n")
+    hot = suspects.where("hot").select(*KEY)
+    hits = looked_up(rows, suspects, hot).checkpoint()
+    sketched = hits.groupBy(*KEY).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
     sure, doubt = min_sites * (1 + MARGIN) + 1, min_sites * (1 - MARGIN) - 1
-    near = sketched.where((F.col("sites") >= doubt) & (F.col("sites") <= sure)).select("h1", "h2")
-    exact = hits.join(dealt(near), ["h1", "h2", "salt"]).groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
-    spread = sketched.where(F.col("sites") > sure).select("h1", "h2").unionByName(exact.select("h1", "h2"))
-    return hits.join(dealt(spread), ["h1", "h2", "salt"])
+    flagged = suspects.select(*KEY, "hot").join(sketched, KEY)
+    near = flagged.where((F.col("sites") >= doubt) & (F.col("sites") <= sure)).select(*KEY, "hot")
+    exact = looked_up(hits, near, hot).groupBy(*KEY).agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
+    spread = flagged.where(F.col("sites") > sure).select(*KEY, "hot").unionByName(near.join(exact.select(*KEY), KEY))
+    return looked_up(hits, spread.checkpoint(), hot)
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:

@@ -233,6 +233,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     lists = written(inverted_lists(sets, percent), f"{folder}/work/lists")
 
     hub = lists.groupBy("v").agg(F.max(F.struct("centre", "doc_id", "n", "left")).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    hub = written(hub, f"{folder}/work/hub")  # else the join could not be split where a list is long
     fit = sized(F.col("n"), F.col("h.n"), percent) & (F.least("left", "h.left") >= share(F.col("n"), F.col("h.n"), percent))
     star = lists.join(hub, "v").where((F.col("doc_id") != F.col("h.doc_id")) & fit)
     star = star.select(F.col("h.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()

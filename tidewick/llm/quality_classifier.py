@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import quality_rules as qr
 from . import textnum as tn
+from .folders import shared_folder
 
 FOLDS = 5
 SHRINK_DIAGONAL = 0.1
@@ -132,7 +133,8 @@ def fit(stats: DataFrame, labels: DataFrame) -> Discriminant:
 
 def score_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted; a row for each row of docs (doc_id, text)."""
-    stats = document_statistics(docs).persist()
+    shared_folder(docs.sparkSession)
+    stats = document_statistics(docs).checkpoint()  # a short row for each document, read for the fit and for the scores
     model = docs.sparkSession.sparkContext.broadcast(fit(stats, labels))  # a few small matrices
 
     def run(batches):

@@ -1,10 +1,11 @@
 """Hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Words are hashed into one- and two-word features of ``buckets`` classes. Two
-multinomials are counted: the raw one over ALL documents, the target over the
-trusted ones (documents marked quality = 1, ``max_trusted`` of them at most). A document's score is the mean over its
-features of log p(target) - log p(raw), so it does not depend on length; it is
-kept when the base rules pass and the score reaches ``threshold``.
+multinomials are counted: the raw one over ALL documents, the target over ALL
+trusted ones (documents marked quality = 1). A document's score is the mean over
+its features of log p(target) - log p(raw), so it does not depend on length; it is
+kept when the base rules pass and the score reaches ``threshold``. Trusted documents
+are found by a join on doc_id, which Spark broadcasts only where the ids are few.
 
 Defined results: null or empty text has no words, fails the base rules and
 scores 0; with no trusted rows every score is 0; an empty table gives no rows;
@@ -24,8 +25,6 @@ from . import textnum as tn
 BUCKETS = 1 << 16
 THRESHOLD = -0.1
 PSEUDO = 10.0
-#: Trusted documents used, those with the lowest hash of doc_id; the raw corpus is counted whole.
-MAX_TRUSTED = 100_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -69,41 +68,41 @@ def base_rules(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndar
 
 
 def count_features(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Rows (bucket, target, raw): feature counts of the trusted documents and of all."""
+    """Rows (bucket, n): how often each feature stands in the texts of docs."""
 
     def run(batches):
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        total = np.zeros(buckets, np.int64)
         for b in batches:
-            for buf, trusted in zip(tn.views(b.column("text")), b.column("trusted").to_pylist(), strict=True):
+            for buf in tn.views(b.column("text")):
                 ids, n = np.unique(features(tn.hashed_words(buf, fold=tn.ASIS), buckets), return_counts=True)
-                raw[ids] += n
-                if trusted:
-                    target[ids] += n
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(target[at]), pa.array(raw[at])], ["bucket", "target", "raw"])
+                total[ids] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    part = docs.select("text", "trusted").mapInArrow(run, "bucket long, target long, raw long")
-    return part.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
+    return docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def log_ratios(counts: DataFrame, buckets: int = BUCKETS, pseudo: float = PSEUDO) -> np.ndarray:
-    """log p(target) - log p(raw) of each bucket. Both counts, the raw one scaled to the target's total, get `pseudo` more, so what is rare counts little either way."""
-    target, raw = np.zeros(buckets), np.zeros(buckets)
+def collected(counts: DataFrame, buckets: int) -> np.ndarray:
+    out = np.zeros(buckets)
     for row in counts.toLocalIterator():  # at most `buckets` rows
-        target[row.bucket], raw[row.bucket] = row.target, row.raw
+        out[row.bucket] = row.n
+    return out
+
+
+def log_ratios(target: np.ndarray, raw: np.ndarray, pseudo: float = PSEUDO) -> np.ndarray:
+    """log p(target) - log p(raw) of each bucket. Both counts, the raw one scaled to the target's total, get `pseudo` more, so what is rare counts little either way."""
     if not target.sum():
-        return np.zeros(buckets)
+        return np.zeros(len(raw))
     return np.log(target + pseudo) - np.log(raw * (target.sum() / raw.sum()) + pseudo)
 
 
-def apply_quality_rules(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def apply_quality_rules(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs (doc_id, text): the base counts, base_failed, score, kept."""
     spark = docs.sparkSession
     tn.small_batches(spark)
-    docs = docs.select("doc_id", "text")
-    ids = trusted_ids.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted).withColumn("trusted", F.lit(True))
-    marked = docs.join(F.broadcast(ids), "doc_id", "left")  # max_trusted ids at most
-    weights = log_ratios(count_features(marked, buckets), buckets)
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    trusted = docs.join(trusted_ids.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
+    weights = log_ratios(collected(count_features(trusted, buckets), buckets), collected(count_features(docs, buckets), buckets))
     shared = spark.sparkContext.broadcast(weights)
 
     def run(batches):
