@@ -124,7 +124,8 @@ def overfitting(perf: DataFrame, n_blocks: int = 16) -> DataFrame:
     )
     halves = list(combinations(range(n_blocks), n_blocks // 2))
     member = spark.createDataFrame([(k, b, int(b in set(h))) for k, h in enumerate(halves) for b in range(n_blocks)], "combo int, block int, inside int")
-    side = stats.join(member, "block").groupBy("combo", "config", "inside").agg(F.sum("c").alias("c"), (F.sum(F.col("c") * F.col("m")) / F.sum("c")).alias("m"), F.collect_list(F.struct("c", "m", "v")).alias("parts"))
+    side = stats.join(F.broadcast(member), "block")  # as many rows as halves times blocks, whatever the data
+    side = side.groupBy("combo", "config", "inside").agg(F.sum("c").alias("c"), (F.sum(F.col("c") * F.col("m")) / F.sum("c")).alias("m"), F.collect_list(F.struct("c", "m", "v")).alias("parts"))
     m2 = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["c"] * p["v"] + p["c"] * (p["m"] - F.col("m")) * (p["m"] - F.col("m")))
     side = side.withColumn("sd", F.sqrt(m2 / (F.col("c") - 1)))
     side = side.withColumn("sharpe", F.when(F.col("sd") > 1e-12, F.col("m") / F.col("sd")).otherwise(0.0)).withColumn("sharpe", F.round("sharpe", 12))

@@ -19,16 +19,24 @@ def stitch(parts: list[DataFrame]) -> DataFrame:
 
     A contract gives way at the last time that it shares with what follows it, and is shifted by the difference of closes there.
     """
-    out = parts[-1].withColumn("roll_day", F.lit(False))
-    for old in reversed(parts[:-1]):
-        both = old.select("ts", F.col("close").alias("_old")).join(out.select("ts", F.col("close").alias("_new")), "ts")
-        roll = both.agg(F.max("ts").alias("at"), F.max_by(F.col("_new") - F.col("_old"), "ts").alias("diff")).first()
-        if roll.at is None:
-            raise MarketDataError("two contracts share no time")
-        moved = old.where(F.col("ts") < F.lit(roll.at)).withColumns({p: F.col(p) + F.lit(roll["diff"]) for p in PRICES}).withColumn("roll_day", F.lit(False))
-        kept = out.where(F.col("ts") >= F.lit(roll.at)).withColumn("roll_day", F.col("roll_day") | (F.to_date("ts") == F.lit(roll.at.date())))
-        out = moved.unionByName(kept)
-    return out
+    times = [p.select(F.lit(i).alias("c"), "ts", "close") for i, p in enumerate(parts)]
+    every = reduce(DataFrame.unionByName, times)
+    newer = every.select((F.col("c") - 1).alias("c"), "ts", F.col("close").alias("_new"))
+    met = every.join(newer, ["c", "ts"]).groupBy("c").agg(F.max("ts").alias("at"), F.max_by(F.col("_new") - F.col("close"), "ts").alias("diff"))
+    rolls = {r.c: r for r in met.collect()}  # a row for each contract but the newest
+    if len(rolls) < len(parts) - 1:
+        raise MarketDataError("two contracts share no time")
+    days = [F.lit(r["at"].date()) for r in rolls.values()]
+    out = []
+    for i, part in enumerate(parts):
+        shift = sum(rolls[k]["diff"] for k in range(len(parts) - 2, i - 1, -1))
+        if i in rolls:
+            part = part.where(F.col("ts") < F.lit(rolls[i]["at"]))
+        if i:
+            part = part.where(F.col("ts") >= F.lit(rolls[i - 1]["at"]))
+        moved = part.withColumns({p: F.col(p) + F.lit(shift) for p in PRICES}) if i in rolls else part
+        out.append(moved.withColumn("roll_day", F.to_date("ts").isin(*days) if i else F.lit(False)))
+    return reduce(DataFrame.unionByName, out)
 
 
 def dropped(bars: DataFrame, main: str, refs: tuple[str, ...]) -> DataFrame:

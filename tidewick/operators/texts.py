@@ -52,17 +52,19 @@ def metric_word(text: Column) -> Column:
 
 
 def number_forms(v: Column) -> Column:
-    """How a private number may be written: as it is, with 2, 3 and up to 4 decimals; whole numbers from 1000 on."""
-    a = F.abs(v)
-    fixed = [F.format_string(f"%.{k}f", a) for k in (2, 3)] + [F.regexp_replace(F.format_string("%.4f", a), "0+$", ""), a.cast("string")]
+    """How a private number may be written: as it is, without an exponent, with 2, 3 and up to 4 decimals; whole numbers from 1000 on; numbers that are not finite, not at all."""
+    a = F.abs(v.cast("double"))
+    plain = F.regexp_replace(a.cast("string").try_cast("decimal(38,18)").cast("string"), "\\.?0+$", "")
+    fixed = [F.format_string(f"%.{k}f", a) for k in (2, 3)] + [F.regexp_replace(F.format_string("%.4f", a), "0+$", ""), F.coalesce(plain, a.cast("string"))]
     whole = F.when(a >= 1000, F.array(a.cast("long").cast("string"))).otherwise(F.array().cast("array<string>"))
     parts = F.filter(F.array_distinct(F.array(*fixed)), lambda s: ~s.isin("0.00", "0.000", "0."))
-    return F.when(a == F.floor(a), whole).otherwise(parts)
+    finite = a.isNotNull() & ~F.isnan(a) & (a != F.lit(float("inf")))
+    return F.when(finite & (a == F.floor(a)), whole).when(finite, parts).otherwise(F.array().cast("array<string>"))
 
 
 def holds_number(text: Column, forms: Column) -> Column:
     """One of the forms stands in the text, not as part of a longer number."""
-    return F.exists(forms, lambda s: F.regexp_like(text, F.concat(F.lit("(?<![0-9.])"), F.regexp_replace(s, "\\.", "\\\\."), F.lit("(?![0-9])"))))
+    return F.exists(forms, lambda s: F.contains(text, s) & F.regexp_like(text, F.concat(F.lit("(?<![0-9.])"), F.regexp_replace(s, "\\.", "\\\\."), F.lit("(?![0-9])"))))
 
 
 def route_gate(verdict: Column, attempt: Column, most: Column) -> Column:

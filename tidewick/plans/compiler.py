@@ -7,7 +7,7 @@ once. Everything that is not windowed stays an expression in whole-stage code.
 
 A window over one series is one task. ``evaluate(..., block=n)`` cuts each series into blocks of n bars, gives every
 block the ``lookback`` bars before it as well, evaluates blocks in parallel and drops the lent bars again; values are
-the same. Formulas with an ema need all that came before and stay whole.
+the same. Formulas with an ema need all that came before: they stay whole and are evaluated after the others.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def windowed(n: Node, x: Column, by: tuple[str, ...] = SERIES_KEY) -> Column:
 
 
 def ema(df: DataFrame, x: str, w: int, out: str) -> DataFrame:
-    """e[t] = (1 - a) e[t-1] + a x[t] with a = 2 / (w + 1), from the first value on; NULL until w values.
+    """e[t] = (1 - a) e[t-1] + a x[t] with a = 2 / (w + 1), from the first value on; NULL until w values and where x is, which leaves e as it was.
 
     The recurrence is solved in blocks: within a block a running sum of x / g**i, scaled back by g**i; over blocks the
     end of the one before, scaled. A block is as long as g**-i stays finite, so what lies two blocks back is below 1e-250.
@@ -93,7 +93,7 @@ def ema(df: DataFrame, x: str, w: int, out: str) -> DataFrame:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn(end, F.last(F.when(F.col(i) == size - 1, F.col(part)), ignorenulls=True).over(before))
     carry = F.when(F.col(block) > 0, F.col(end) * scale * g).otherwise(0.0)
-    return df.withColumn(out, F.when(F.col(n) >= w, F.col(part) + carry)).drop(n, i, block, part, end)
+    return df.withColumn(out, F.when(F.col(x).isNotNull() & (F.col(n) >= w), F.col(part) + carry)).drop(n, i, block, part, end)
 
 
 def plain(n: Node, done: Mapping[Node, str], columns: set[str]) -> Column:
@@ -142,7 +142,10 @@ def evaluate(bars: DataFrame, formulas: Mapping[str, str | Node], block: int | N
     for t in trees.values():
         check_shape(t)
     columns, by, cut = set(bars.columns), SERIES_KEY, False
-    if block and not any(n.op == "ema" for t in trees.values() for n in t.walk()):
+    if block and (whole := {k: t for k, t in trees.items() if any(n.op == "ema" for n in t.walk())}):
+        rest = {k: t for k, t in trees.items() if k not in whole}
+        return evaluate(evaluate(bars, rest, block) if rest else bars, whole)
+    if block:
         if any(n.op == "minutes_since_open" for t in trees.values() for n in t.walk()):
             minute = s.minute_of_day(F.col(AT))
             bars = bars.withColumn("_since_open", (minute - F.min(minute).over(Window.partitionBy(BY, F.to_date(AT))) + 1).cast("double"))

@@ -252,7 +252,8 @@ def of_same(n: Node):
         return n.args[0]
     if n.op == "div" and n.args[0].op == "mul" and n.args[1] in n.args[0].args:
         a, b = n.args[0].args
-        return a if b == n.args[1] else b
+        rest = a if b == n.args[1] else b
+        return rest if unit(rest) == unit(n) else None  # a truth value over a price is a return, no truth value
     return None
 
 
