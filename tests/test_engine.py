@@ -308,3 +308,50 @@ def test_cli(spark, tmp_path):
     assert cli.main(argv) == 0
     assert files.load_frame(spark, str(tmp_path / "out/research")).count() == 600
     assert cli.main([*argv[:2], str(tmp_path / "none.csv"), *argv[3:]]) == 2
+
+
+def test_cli_of_the_ledger_and_the_collector(spark, tmp_path, capsys):
+    from tidewick import cli
+    from tidewick.sources.files import TELEMETRY
+
+    book = str(tmp_path / "book")
+    assert cli.main(["genesis", "--ledger", book, "--config-hash", "c", "--data-hash", "d", "--at", "2026-01-01"]) == 0
+    assert cli.main(["genesis", "--ledger", book, "--config-hash", "c", "--data-hash", "d", "--at", "2026-01-01"]) == 2
+    assert cli.main(["verify", "--ledger", book]) == 0 and cli.main(["report", "--ledger", book]) == 0
+    assert "'trials': 0" in capsys.readouterr().out
+    header = [f.name for f in TELEMETRY]
+    for day, value in ((5, 1), (6, 3), (7, 3)):
+        row = dict.fromkeys(header, "") | {"ts": f"2026-01-0{day} 10:00:00", "bar_time": f"2026-01-0{day} 10:00:00", "threshold": "1", "decision": "NONE", "contracts": "0", "ref_price": "1", "order_status": "NONE", "position": "0", "daily_pnl_points": "0", "kill_metric_name": "lag_ms", "kill_metric_value": str(value)}
+        (tmp_path / f"win_{day}.csv").write_text(",".join(header) + "\n" + ",".join(row[h] for h in header) + "\n")
+    (tmp_path / "calendar.csv").write_text("day,bars_expected\n2026-01-05,1\n2026-01-06,1\n2026-01-07,2\n")
+    (tmp_path / "costs.yaml").write_text("{point_value: 0.2, tick_size: 5, slippage_ticks: 1, exchange_fee: 0.25, brokerage: 0, margin_per_contract: 155}")
+    out = str(tmp_path / "out")
+    args = ["--calendar", str(tmp_path / "calendar.csv"), "--costs", str(tmp_path / "costs.yaml"), "--hypothesis", "h1", "--out", out, "--window", "2", "--threshold", "1.5"]
+    for day in (5, 6, 7, 7):
+        assert cli.main(["collect", "--telemetry", str(tmp_path / f"win_{day}.csv"), *args]) == 0
+    daily = spark.read.parquet(f"{out}/daily")
+    assert daily.count() == 3 and [(str(r.day), r.reason) for r in spark.read.json(f"{out}/alerts").collect()] == [("2026-01-07", "bars")]
+    assert "2026, 1, 6" in capsys.readouterr().out
+
+
+def test_moves_spreads_and_proof_routes(spark):
+    from tidewick.operators import monitor, texts
+
+    t0 = dt.datetime(2026, 1, 5, 9, 0)
+    rows = [("WIN", t0 + dt.timedelta(minutes=i), c, r) for i, (c, r) in enumerate(((10.0, 5.0), (10.0, 6.0), (11.0, 6.0), (11.0, 5.0), (12.0, 5.0), (9.0, 6.0)))]
+    bars = spark.createDataFrame(rows, "series string, ts timestamp_ntz, close double, ref_ES double")
+    assert [r.lag_ms for r in monitor.move_lag(bars).orderBy("ts").collect()] == [60_000, 120_000, None]
+    quotes = spark.createDataFrame([("WIN", t0, 5.0), ("WIN", t0, 15.0)], "series string, ts timestamp_ntz, spread double")
+    assert monitor.mean_spread(quotes, 5).first().spread_ticks == 2.0
+    status = spark.createDataFrame([("FAILED", 1), ("FAILED", 3), ("PASSED", 3), ("SKIPPED", 0), ("OPEN", 0)], "s string, n int")
+    assert [r[0] for r in status.select(texts.route_proof(F.col("s"), F.col("n"), F.lit(3))).collect()] == ["retry", "abandon", "backtest", "backtest", None]
+
+
+def test_private_numbers_are_written_without_exponents(spark):
+    from tidewick.operators import texts
+
+    df = spark.createDataFrame([(0.00012345,), (float("nan"),), (float("inf"),), (1234.0,), (12345678.25,)], "v double")
+    small, nan, inf, whole, large = (r[0] for r in df.select(texts.number_forms(F.col("v"))).collect())
+    assert "0.00012345" in small and nan == inf == [] and whole == ["1234"] and "12345678.25" in large
+    said = spark.createDataFrame([("value 0.00012345 here", 0.00012345), ("value 10.00012345", 0.00012345)], "t string, v double")
+    assert [r[0] for r in said.select(texts.holds_number(F.col("t"), texts.number_forms(F.col("v")))).collect()] == [True, False]

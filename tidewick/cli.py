@@ -1,4 +1,4 @@
-"""Command line: data, verify, collect. Exit code 0 done, 1 refused, 2 wrong input."""
+"""Command line: data, genesis, verify, report, collect. Exit code 0 done, 1 refused, 2 wrong input."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tidewick.operators import ledger, prep
+from tidewick.operators import ledger, monitor, prep
 from tidewick.plans.formula import FormulaError
 from tidewick.session import session
 from tidewick.sources import bars, files
@@ -39,6 +39,36 @@ def verify(spark, a) -> int:
     return 0 if row.ok else 1
 
 
+def genesis(spark, a) -> int:
+    row = ledger.Ledger(spark, a.ledger).append({"kind": "genesis", "trial_id": "genesis", "config_hash": a.config_hash, "data_hash": a.data_hash, "ts": a.at})
+    print(row["row_hash"])
+    return 0
+
+
+def report(spark, a) -> int:
+    rows = ledger.Ledger(spark, a.ledger).rows()
+    print(ledger.session_report(rows, a.var_sr).first().asDict())
+    for r in ledger.attempts(rows, a.session).orderBy("trial").toLocalIterator():
+        print(r.asDict())
+    return 0
+
+
+def collect(spark, a) -> int:
+    """A day's telemetry files become daily rows, kill states and alerts, written as Parquet and JSON; days already there stay."""
+    rows = files.read_telemetry(spark, a.telemetry).withColumns({"hypothesis_id": F.lit(a.hypothesis), "day": F.to_date("bar_time")})
+    new = monitor.daily_summary(rows, files.read_calendar(spark, a.calendar), files.load_costs(a.costs))
+    try:
+        new = monitor.collect_day(new, spark.read.parquet(f"{a.out}/daily"))
+    except AnalysisException:
+        pass  # nothing was collected before
+    files.append_alerts(monitor.alerts(new, a.slippage), f"{a.out}/alerts")
+    new.write.mode("append").parquet(f"{a.out}/daily")
+    states = monitor.kill_states(spark.read.parquet(f"{a.out}/daily"), a.window, a.threshold)
+    for r in monitor.first_kills(states).toLocalIterator():  # one for each hypothesis
+        print(r.asDict())
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tidewick", description=__doc__)
     sub = p.add_subparsers(required=True)
@@ -53,6 +83,22 @@ def main(argv: list[str] | None = None) -> int:
     v = sub.add_parser("verify")
     v.add_argument("--ledger", required=True)
     v.set_defaults(run=verify)
+    g = sub.add_parser("genesis")
+    for name in ("--ledger", "--config-hash", "--data-hash", "--at"):
+        g.add_argument(name, required=True)
+    g.set_defaults(run=genesis)
+    r = sub.add_parser("report")
+    r.add_argument("--ledger", required=True)
+    r.add_argument("--session", default="")
+    r.add_argument("--var-sr", type=float, default=0.6)
+    r.set_defaults(run=report)
+    c = sub.add_parser("collect")
+    for name in ("--telemetry", "--calendar", "--costs", "--hypothesis", "--out"):
+        c.add_argument(name, required=True)
+    c.add_argument("--slippage", type=float, default=1.0)
+    c.add_argument("--window", type=int, default=5)
+    c.add_argument("--threshold", type=float, required=True)
+    c.set_defaults(run=collect)
     a = p.parse_args(argv)
     try:
         return a.run(session(), a)

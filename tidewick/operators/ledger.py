@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewick.operators.gate import sr_star_sql
+
 ZERO = "0" * 64
 KINDS = ("genesis", "backtest", "holdout", "kill", "daily", "hypothesis", "verdict")
 TRIALS = ("backtest", "holdout")
@@ -67,6 +69,17 @@ def attempts(rows: DataFrame, session: str) -> DataFrame:
     return mine.where("kind = 'verdict'").withColumn("trial", base).join(trial, "trial", "left").select("trial", "hypothesis_id", "verdict", F.substring(F.coalesce("sig", F.lit("-")), 1, 16).alias("sig"))
 
 
+def session_report(rows: DataFrame, var_sr: float, *books: str) -> DataFrame:
+    """Of each book: hypotheses, trials, crashes, verdicts, acceptances, and the Sharpe ratio that the best of so many worthless trials is expected to show."""
+    trial, verdict = F.col("kind").isin(*TRIALS), F.col("kind") == "verdict"
+    out = (rows.groupBy(*books) if books else rows.groupBy()).agg(
+        F.count_distinct(F.when(F.col("kind") == "hypothesis", F.col("hypothesis_id"))).alias("hypotheses"), F.count_if(trial).alias("trials"), F.coalesce(F.sum(F.when(trial, F.col("crashed"))), F.lit(0)).cast("long").alias("crashed"),
+        F.count_if(verdict).alias("verdicts"), F.count_if(verdict & (F.col("verdict") == "ACCEPTED")).alias("accepted"),
+    )
+    star = F.expr(sr_star_sql(f"{float(var_sr)!r}D", "cast(trials as double)"))
+    return out.withColumn("sr_star", F.when(F.col("trials") > 0, star))
+
+
 class Ledger:
     """One writer on the driver; rows go to a Parquet folder and are never changed."""
 

@@ -112,6 +112,23 @@ def kill_metrics(frame: DataFrame, symbol: str = "ES", bars: int = 60) -> DataFr
     )
 
 
+def move_lag(frame: DataFrame, symbol: str = "ES") -> DataFrame:
+    """lag_ms of each bar at which the reference moved: milliseconds until the first bar, from this one on, at which the main symbol moves the same way; NULL if none comes."""
+    w = Window.partitionBy("series").orderBy("ts")
+    move = lambda c: F.signum(F.col(c) - F.lag(c).over(w))
+    x = frame.withColumns({"_m": move("close"), "_q": move(f"ref_{symbol}")})
+    on = w.rowsBetween(0, Window.unboundedFollowing)
+    at = lambda sign: F.min(F.when(F.col("_m") == sign, F.col("ts"))).over(on)
+    x = x.withColumn("_at", F.when(F.col("_q") > 0, at(1.0)).when(F.col("_q") < 0, at(-1.0)))
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    return x.where("_q <> 0").select("series", "ts", (ms("_at") - ms("ts")).alias("lag_ms"))
+
+
+def mean_spread(quotes: DataFrame, tick: float) -> DataFrame:
+    """spread_ticks of each bar of quotes (series, ts, spread): the mean spread, in ticks."""
+    return quotes.groupBy("series", "ts").agg((F.avg("spread") / F.lit(float(tick))).alias("spread_ticks"))
+
+
 def fill_ratio(rows: DataFrame) -> DataFrame:
     """The running share of orders that were filled, per hypothesis."""
     w = Window.partitionBy("hypothesis_id").orderBy("bar_time", "ts").rowsBetween(Window.unboundedPreceding, 0)

@@ -76,6 +76,11 @@ def route_formula(verdict: Column, attempt: Column, most: Column) -> Column:
     return F.when(verdict.isin("INVALID_AST", "TOO_COMPLEX", "REDUNDANT"), F.when(attempt >= most, "abandon").otherwise("retry")).when(verdict.isNull(), "proof")
 
 
+def route_proof(status: Column, attempt: Column, most: Column) -> Column:
+    """Where a trial goes when its proof is done; NULL for a status that no proof ends with."""
+    return F.when(status == "FAILED", F.when(attempt >= most, "abandon").otherwise("retry")).when(status.isin("PASSED", "SKIPPED"), "backtest")
+
+
 def rejection(who: Column, observable: Column, computable: Column, instrumentable: Column, horizon: Column, lo: Column, hi: Column, seen: Column) -> Column:
     """The first of the five reasons against a hypothesis, or NULL."""
     return (

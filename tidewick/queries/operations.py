@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewick.operators import ledger, monitor, robot, texts
 from tidewick.plans.compiler import evaluate
-from tidewick.functions.scalar import BUCKETS
+from tidewick.functions.scalar import BUCKETS, for_duckdb
+from tidewick.operators.gate import sr_star_sql
 from tidewick.operators import prep
 from tidewick.queries.bars_sql import E, L
 from tidewick.queries.formulas import z
@@ -119,6 +120,16 @@ def ops_kill_metrics(spark, d):
     return x.select(stamp("ts").alias("ts"), F.round("realized_vol", 6).alias("realized_vol"), F.round("ref_corr", 6).alias("ref_corr"), F.round("gap_overnight", 6).alias("gap_overnight"))
 
 
+def ops_move_lag(spark, d):
+    return monitor.move_lag(frame_l(spark, d)).select(stamp("ts").alias("ts"), "lag_ms")
+
+
+def ops_spread_ticks(spark, d):
+    t = spark.read.parquet(f"{d}/lineitem.parquet")
+    quotes = t.select(F.col("l_returnflag").alias("series"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts"), (F.col("l_tax") * 1000).alias("spread"))
+    return monitor.mean_spread(quotes, COSTS["tick_size"]).select("series", stamp("ts").alias("ts"), F.round("spread_ticks", 6).alias("spread_ticks"))
+
+
 def ops_minutes_to_open(spark, d):
     f = frame_e(spark, d)
     return f.select(stamp("ts").alias("ts"), (F.lit(540) - (F.hour("ts") * 60 + F.minute("ts"))).alias("minutes_to_open"))
@@ -315,6 +326,16 @@ def route_trials(spark, d):
     return t.select("trial_id", texts.route_gate(F.col("verdict"), F.col("attempt"), F.lit(10)).alias("gate"), texts.route_formula(F.col("verdict"), F.col("attempt"), F.lit(10)).alias("formula"))
 
 
+def route_proofs(spark, d):
+    t = spark.read.parquet(f"{d}/orders.parquet")
+    status = F.when(F.col("o_orderstatus") == "F", "FAILED").when(F.col("o_orderstatus") == "O", "PASSED").when(F.col("o_orderkey") % 2 == 0, "SKIPPED").otherwise("PENDING")
+    return t.select("o_orderkey", texts.route_proof(status, F.col("o_orderkey") % 12, F.lit(10)).alias("route"))
+
+
+def session_report(spark, d):
+    return ledger.session_report(book_rows(spark, d), 0.6, "book").withColumn("sr_star", F.round("sr_star", 6))
+
+
 def hypothesis_rejection(spark, d):
     t = spark.read.parquet(f"{d}/customer.parquet").withColumn("k", F.col("c_custkey"))
     who = F.element_at(F.array(*[F.lit(x) for x in PAYERS]), (F.col("k") % len(PAYERS) + 1).cast("int"))
@@ -325,9 +346,9 @@ def hypothesis_rejection(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        ops_daily_summary, ops_guard_counts, ops_guard_totals, ops_kill_state, ops_kill_records, ops_alerts, ops_collect, ops_weekly_slippage, ops_cum_pnl, ops_parity, ops_kill_metrics, ops_minutes_to_open, ops_fill_ratio,
+        ops_daily_summary, ops_guard_counts, ops_guard_totals, ops_kill_state, ops_kill_records, ops_alerts, ops_collect, ops_weekly_slippage, ops_cum_pnl, ops_parity, ops_kill_metrics, ops_move_lag, ops_spread_ticks, ops_minutes_to_open, ops_fill_ratio,
         sim_positions, sim_trades, robot_rules, ledger_chain, ledger_verify_chain, ledger_count, ledger_head, ledger_seen_structural, ledger_verdicts, ledger_verdict_funnel, ledger_config_hash,
-        bandit_scores, bandit_pick, bandit_reward, text_normalize, text_circular, text_leak_scan, text_number_leak, semantic_key, window_bucket, route_trials, hypothesis_rejection,
+        bandit_scores, bandit_pick, bandit_reward, text_normalize, text_circular, text_leak_scan, text_number_leak, semantic_key, window_bucket, route_trials, route_proofs, session_report, hypothesis_rejection,
     )
 }
 
@@ -374,6 +395,15 @@ UNION ALL SELECT hypothesis_id, day::VARCHAR, 'DIVERGENCE', 'slippage' FROM dd W
 pr AS (SELECT sx.signal AS v, lg.s, lg.ts IS NOT NULL AND NOT lg.gap AS here FROM sx LEFT JOIN lg ON lg.ts = sx.ts WHERE sx.ts BETWEEN (SELECT min(ts) FROM lg) AND (SELECT max(ts) FROM lg))
 SELECT 'WIN' AS series, count_if(here AND v IS NOT NULL AND s IS NOT NULL)::BIGINT AS compared, round(max(abs(v - s) / greatest(1.0, abs(v))) FILTER (here), 6) AS max_error, count_if(NOT here)::BIGINT AS missing_in_log,
   count_if(here AND (v IS NULL) <> (s IS NULL))::BIGINT AS null_mismatch, false AS ok FROM pr""",
+    "ops_move_lag": f"""{L}, mv AS (SELECT ts, sign(close - lag(close) OVER (ORDER BY ts)) AS m, sign(ref_ES - lag(ref_ES) OVER (ORDER BY ts)) AS q FROM b),
+mw AS (SELECT *, min(CASE WHEN m = 1 THEN ts END) OVER w AS up, min(CASE WHEN m = -1 THEN ts END) OVER w AS down FROM mv WINDOW w AS (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT {TS} AS ts, (epoch_ms(CASE WHEN q > 0 THEN up ELSE down END) - epoch_ms(ts))::BIGINT AS lag_ms FROM mw WHERE q <> 0""",
+    "ops_spread_ticks": f"SELECT l_returnflag AS series, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS ts, round(avg(l_tax * 1000) / 5.0::DOUBLE, 6) AS spread_ticks FROM lineitem GROUP BY l_returnflag, l_shipdate",
+    "route_proofs": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 12 >= 10 THEN 'abandon' ELSE 'retry' END WHEN o_orderstatus = 'O' OR o_orderkey % 2 = 0 THEN 'backtest' END AS route FROM orders",
+    "session_report": f"""WITH {BOOK_SQL}, sn AS (
+  SELECT book, count(DISTINCT CASE WHEN kind = 'hypothesis' THEN hypothesis_id END)::BIGINT AS hypotheses, count_if(kind = 'backtest')::BIGINT AS trials, coalesce(sum(CASE WHEN kind = 'backtest' THEN crashed END), 0)::BIGINT AS crashed,
+    count_if(kind = 'verdict')::BIGINT AS verdicts, count_if(kind = 'verdict' AND verdict = 'ACCEPTED')::BIGINT AS accepted FROM bk GROUP BY 1)
+SELECT *, CASE WHEN trials > 0 THEN round({for_duckdb(sr_star_sql("0.6D", "cast(trials as double)"))}, 6) END AS sr_star FROM sn""",
     "ops_kill_metrics": f"""{L}, rr AS (SELECT ts, day, open, close / lag(close) OVER (ORDER BY ts) - 1 AS r, ref_ES / lag(ref_ES) OVER (ORDER BY ts) - 1 AS q, lag(close) OVER (ORDER BY ts) AS p, lag(day) OVER (ORDER BY ts) AS pd FROM b)
 SELECT {TS} AS ts, round(CASE WHEN count(r) OVER w = 60 THEN stddev_samp(r) OVER w END, 6) AS realized_vol, round(CASE WHEN count(r) OVER w = 60 THEN corr(r, q) OVER w END, 6) AS ref_corr,
   round(CASE WHEN pd <> day THEN open - p END, 6) AS gap_overnight FROM rr WINDOW w AS (ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""",
