@@ -4,8 +4,9 @@ Words are hashed into one- and two-word features of ``buckets`` classes. Two
 multinomials are counted: the raw one over ALL documents, the target over ALL
 trusted ones (documents marked quality = 1). A document's score is the mean over
 its features of log p(target) - log p(raw), so it does not depend on length; it is
-kept when the base rules pass and the score reaches ``threshold``. Trusted documents
-are found by a join on doc_id, which Spark broadcasts only where the ids are few.
+kept when the base rules pass and the score reaches ``threshold``. Texts whose doc_id
+is not in a bitmap of the trusted ids, of fixed size, stay where they lie; the others
+are joined with the ids, so that all trusted documents count and no others.
 
 Defined results: null or empty text has no words, fails the base rules and
 scores 0; with no trusted rows every score is 0; an empty table gives no rows;
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
+from .near_dup import FILTER_BITS, id_filter
 
 BUCKETS = 1 << 16
 THRESHOLD = -0.1
@@ -82,6 +84,22 @@ def count_features(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
+def trusted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text) that are among ids."""
+    ids = ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    may = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+
+    def run(batches):
+        for b in batches:
+            at = b.column("at").to_numpy()
+            held = b.filter(pa.array((may.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
+            yield pa.RecordBatch.from_arrays([held.column("doc_id"), held.column("text")], ["doc_id", "text"])
+
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").withColumn("at", at)
+    return rows.mapInArrow(run, "doc_id long, text string").join(ids.hint("merge"), "doc_id", "left_semi")  # one way at every size
+
+
 def collected(counts: DataFrame, buckets: int) -> np.ndarray:
     out = np.zeros(buckets)
     for row in counts.toLocalIterator():  # at most `buckets` rows
@@ -101,7 +119,7 @@ def apply_quality_rules(docs: DataFrame, trusted_ids: DataFrame, buckets: int =
     spark = docs.sparkSession
     tn.small_batches(spark)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    trusted = docs.join(trusted_ids.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
+    trusted = trusted_texts(docs, trusted_ids)
     weights = log_ratios(collected(count_features(trusted, buckets), buckets), collected(count_features(docs, buckets), buckets))
     shared = spark.sparkContext.broadcast(weights)
 
