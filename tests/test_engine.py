@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewick.operators import cross_validation as cv
-from tidewick.operators import gate, ledger, monitor, prep, robot, texts
+from tidewick.operators import gate, ledger, monitor, prep, robot, robustness, texts
 from tidewick.plans import formula as fl
 from tidewick.plans.compiler import evaluate
 from tidewick.sources import files
@@ -232,6 +232,45 @@ def test_robot_rules(spark):
     assert tuple(got) == (105.0, 100.0, 100.0, 3)
 
 
+def minute_bars(spark, closes, signals_=None):
+    """Bars of two days from 10:00 on, a minute apart; the second day repeats the first."""
+    rows = []
+    for day in (2, 3):
+        for i, c in enumerate(closes):
+            rows.append(("WIN", dt.datetime(2026, 3, day, 10, i), c, signals_[i] if signals_ else 0.0, len(rows)))
+    return spark.createDataFrame(rows, "series string, ts timestamp_ntz, close double, signal double, pos long")
+
+
+def test_daily_loss_holds_openings_back_until_the_next_day(spark):
+    closes, up = [100.0, 50.0, 60.0, 60.0, 70.0], [2.0, 0.0, 2.0, 2.0, 0.0]
+    bars = minute_bars(spark, closes, up)
+    run = lambda loss: robot.simulate(bars, 0, robot.Limits(tick_size=5.0, daily_loss_points=loss), max_holding=1).orderBy("ts").collect()
+    free, held = run(1500.0), run(55.0)
+    assert [r.decision for r in free] == ["OPEN_LONG", "CLOSE", "OPEN_LONG", "CLOSE", "NONE"] * 2
+    assert [r.points for r in free] == [None, -55.0, None, -5.0, None] * 2 and [r.gross for r in free] == [None, -50.0, None, 0.0, None] * 2
+    assert [r.decision for r in held] == ["OPEN_LONG", "CLOSE", "NONE", "NONE", "NONE"] * 2
+    assert [r.guard_blocked for r in held] == [None, None, "DAILY_LOSS", "DAILY_LOSS", None] * 2
+
+
+def test_reruns_of_the_battery(spark):
+    rng = np.random.default_rng(3)
+    closes = [float(c) for c in 100 + rng.normal(0, 20, 50).round(1)]
+    bars = minute_bars(spark, closes).drop("signal").withColumns({c: F.col("close") for c in ("open", "high", "low", "vwap")})
+    noise = robustness.noisy(bars, 5.0, 7).join(bars.select("ts", F.col("close").alias("was")), "ts").select(F.col("close") - F.col("was"), "variant", "vwap", "close").collect()
+    assert len(noise) == 700 and {round(r[0], 9) for r in noise} == {-5.0, 5.0} and all(r.vwap == r.close for r in noise)
+    cut = robustness.slices(bars).groupBy("variant").agg(F.count("pos"), F.min("pos"), F.max("pos"), F.min("ts").alias("at")).orderBy("at").collect()
+    assert [tuple(r)[:4] for r in cut] == [(0, 34, 0, 33), (1, 33, 0, 32), (2, 33, 0, 32)]
+    costs = {"point_value": 1.0, "tick_size": 5.0, "slippage_ticks": 1, "exchange_fee": 1.0, "brokerage": 0.0}
+    nets = robustness.battery(bars, "zscore(close(),8)", costs, robot.Limits(tick_size=5.0), 0.8, -1, 3).drop("series").collect()
+    got = {(r.battery, r.variant): r for r in nets}
+    assert len(nets) == len(got) == 1 + 100 + 3 + 2 + 2
+    plain, (a, b) = got["reference", 0], (got["cost", 0], got["cost", 1])
+    assert plain.trades == a.trades == b.trades > 0
+    assert plain.net - a.net == pytest.approx(plain.trades * 11.0) and a.net - b.net == pytest.approx(plain.trades * 1.0)
+    idle = robustness.battery(bars, "zscore(close(),8)", costs, robot.Limits(tick_size=5.0), 99.0).collect()
+    assert len(idle) == 108 and all(r.net == 0 and r.trades == 0 for r in idle)
+
+
 def test_purge_and_embargo(spark):
     days = [dt.date(2026, 1, 5) + dt.timedelta(days=i) for i in range(16)]
     rows = [(d, dt.datetime.combine(d, dt.time(9)) + dt.timedelta(minutes=30 * k)) for d in days for k in range(18)]

@@ -53,10 +53,17 @@ def must_flatten(tod: Column, held: Column, x: Limits, max_holding: int) -> Colu
     return (tod >= x.cutoff_min) | (held >= max_holding)
 
 
+def exit_price(price: Column, position: Column, tick: float) -> Column:
+    """Rounded against us, and a tick worse."""
+    return to_grid(price, tick, -position) - position * F.lit(float(tick))
+
+
 def simulate(bars: DataFrame, warmup: int, limits: Limits = Limits(), threshold: float = 1.5, direction: int = 1, equity: float = 5000.0, max_holding: int = 30) -> DataFrame:
-    """series, ts, signal, decision, position, fill_price, guard_blocked: a row for each bar of bars (series, ts, close, signal, pos).
+    """series, ts, signal, decision, position, fill_price, guard_blocked, points, gross: a row for each bar of bars (series, ts, close, signal, pos).
 
-    A position ends at the cutoff, so a chain of days begins wherever the day before reached it; chains are independent and
+    Where a position closes, points is what it made after a tick given up and prices rounded against us, gross what it made
+    from close to close. Once the day's points have fallen to the daily loss, openings are held back until the next day.
+    Every order is filled, so rejections stay 0. A position ends at the cutoff, so a chain of days begins wherever the day before reached it; chains are independent and
     run in parallel, each as one fold over its bars in order.
     """
     x = bars.withColumns({"_tod": minute_of_day(F.col("ts")), "_day": F.to_date("ts")})
@@ -70,20 +77,26 @@ def simulate(bars: DataFrame, warmup: int, limits: Limits = Limits(), threshold:
     x = x.withColumns({"_want": F.when(F.col("pos") >= warmup, wanted).otherwise("NONE"), "_side": side}).withColumn("_px", to_grid(F.col("close"), limits.tick_size, F.col("_side")))
     x = x.withColumn("_guard", F.when(F.col("_want") != "NONE", guard_order(limits, F.col("_tod"), F.lit(1), F.lit(equity), F.col("_px"), F.lit(0.0), F.lit(0))))
     x = x.withColumn("_m", F.unix_timestamp(F.col("ts").cast("timestamp")) / 60)
-    step = F.struct("ts", F.col("_m").cast("long").alias("m"), F.col("_tod").alias("tod"), F.col("_want").alias("want"), F.col("_side").alias("side"), F.col("_px").alias("px"), F.col("_guard").alias("guard"), "signal")
+    step = F.struct("ts", F.col("_m").cast("long").alias("m"), F.col("_tod").alias("tod"), F.col("_want").alias("want"), F.col("_side").alias("side"), F.col("_px").alias("px"), F.col("_guard").alias("guard"), "signal", F.col("_day").alias("day"), "close")
     chains = x.groupBy("series", "chain").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    row = "struct<ts:timestamp_ntz,signal:double,decision:string,position:int,fill_price:double,guard_blocked:string>"
-    start = F.struct(F.lit(0).alias("p"), F.lit(0).cast("long").alias("m"), F.expr(f"cast(array() as array<{row}>)").alias("out"))
+    row = "struct<ts:timestamp_ntz,signal:double,decision:string,position:int,fill_price:double,guard_blocked:string,points:double,gross:double>"
+    start = F.struct(F.lit(0).alias("p"), F.lit(0).cast("long").alias("m"), F.lit(0.0).alias("px"), F.lit(0.0).alias("close"), F.lit(0.0).alias("pnl"), F.lit(None).cast("date").alias("day"), F.expr(f"cast(array() as array<{row}>)").alias("out"))
 
     def one(acc, s):
+        pnl = F.when(acc["day"] == s["day"], acc["pnl"]).otherwise(0.0)
+        guard = F.when((s["want"] != "NONE") & (pnl <= -limits.daily_loss_points), "DAILY_LOSS").otherwise(s["guard"])
         close = (acc["p"] != 0) & must_flatten(s["tod"], s["m"] - acc["m"], limits, max_holding)
-        enter = (acc["p"] == 0) & (s["want"] != "NONE") & s["guard"].isNull()
+        enter = (acc["p"] == 0) & (s["want"] != "NONE") & guard.isNull()
         p = F.when(close, 0).when(enter, s["side"]).otherwise(acc["p"])
         what = F.when(close, "CLOSE").when(enter, s["want"]).otherwise("NONE")
+        points = (exit_price(s["close"], acc["p"], limits.tick_size) - acc["px"]) * acc["p"]
         r = F.struct(
-            s["ts"].alias("ts"), s["signal"].alias("signal"), what.alias("decision"), p.alias("position"), F.when(enter, s["px"]).alias("fill_price"), F.when(acc["p"] == 0, s["guard"]).alias("guard_blocked")
+            s["ts"].alias("ts"), s["signal"].alias("signal"), what.alias("decision"), p.alias("position"), F.when(enter, s["px"]).alias("fill_price"), F.when(acc["p"] == 0, guard).alias("guard_blocked"),
+            F.when(close, points).alias("points"), F.when(close, (s["close"] - acc["close"]) * acc["p"]).alias("gross"),
+        )
+        return F.struct(
+            p.alias("p"), *[F.when(enter, s[c]).otherwise(acc[c]).alias(c) for c in ("m", "px", "close")], (pnl + F.when(close, points).otherwise(0.0)).alias("pnl"), s["day"].alias("day"), F.concat(acc["out"], F.array(r)).alias("out")
         )
-        return F.struct(p.alias("p"), F.when(enter, s["m"]).otherwise(acc["m"]).alias("m"), F.concat(acc["out"], F.array(r)).alias("out"))
 
     return chains.select("series", F.explode(F.aggregate("steps", start, one)["out"]).alias("r")).select("series", "r.*")
 
@@ -93,5 +106,5 @@ def round_trips(sim: DataFrame, bars: DataFrame, tick: float) -> DataFrame:
     w = Window.partitionBy("series").orderBy("ts")
     x = sim.where("decision <> 'NONE'").join(bars.select("series", "ts", "close"), ["series", "ts"])
     x = x.withColumns({"closed": F.lead("ts").over(w), "_next": F.lead("decision").over(w), "_close": F.lead("close").over(w)}).where("decision like 'OPEN%' and _next = 'CLOSE'")
-    exit_price = to_grid(F.col("_close"), tick, -F.col("position")) - F.col("position") * F.lit(float(tick))
-    return x.select("series", F.col("ts").alias("opened"), "closed", F.col("position").alias("side"), F.col("fill_price").alias("entry"), exit_price.alias("exit")).withColumn("points", (F.col("exit") - F.col("entry")) * F.col("side"))
+    out = exit_price(F.col("_close"), F.col("position"), tick)
+    return x.select("series", F.col("ts").alias("opened"), "closed", F.col("position").alias("side"), F.col("fill_price").alias("entry"), out.alias("exit")).withColumn("points", (F.col("exit") - F.col("entry")) * F.col("side"))

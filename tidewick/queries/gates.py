@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tidewick.functions.scalar import for_duckdb, normal_cdf
 from tidewick.operators import cross_validation as cv
-from tidewick.operators import gate
+from tidewick.operators import gate, prep, robot, robustness
 from tidewick.queries.bars_sql import E
+from tidewick.queries.formulas import z
 from tidewick.queries.preparation import frame_e, stamp
 
 TRADES_SQL = """
@@ -115,8 +116,7 @@ def gate_pbo(spark, d):
     return gate.overfitting(performance(spark, d), 6).withColumn("pbo", F.round("pbo", 6))
 
 
-PBO_SQL = """
-WITH p AS (SELECT date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS t, (l_suppkey % 8)::INT AS config, round(sum((l_discount - 0.05) * l_quantity), 6) AS value FROM lineitem GROUP BY 1, 2),
+HALVES_SQL = """
 i AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT t FROM p)),
 k AS (SELECT t, CASE WHEN i < (n % 6) * (n // 6 + 1) THEN i // (n // 6 + 1) ELSE n % 6 + (i - (n % 6) * (n // 6 + 1)) // (n // 6) END AS block FROM i),
 c AS (SELECT m FROM range(64) r(m) WHERE bit_count(m::INT) = 3),
@@ -124,13 +124,15 @@ s AS (
   SELECT c.m, config, (c.m >> block::INT) & 1 AS inside, round(CASE WHEN stddev_samp(value) > 1e-12 THEN avg(value) / stddev_samp(value) ELSE 0 END, 12) AS sharpe FROM p JOIN k USING (t), c GROUP BY 1, 2, 3
 ),
 best AS (SELECT m, arg_max(config, row(sharpe, -config)) AS config, count(*) AS configs FROM s WHERE inside = 1 GROUP BY 1),
-r AS (SELECT m, config, rank() OVER (PARTITION BY m ORDER BY sharpe) + (count(*) OVER (PARTITION BY m, sharpe) - 1) / 2 AS r FROM s WHERE inside = 0)
+r AS (SELECT m, config, rank() OVER (PARTITION BY m ORDER BY sharpe) + (count(*) OVER (PARTITION BY m, sharpe) - 1) / 2 AS r FROM s WHERE inside = 0)"""
+
+PBO_SQL = f"""WITH p AS (SELECT date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS t, (l_suppkey % 8)::INT AS config, round(sum((l_discount - 0.05) * l_quantity), 6) AS value FROM lineitem GROUP BY 1, 2), {HALVES_SQL}
 SELECT round(avg((r.r / (configs + 1) <= 0.5)::INT), 6) AS pbo, count(*) AS combinations FROM r JOIN best ON r.m = best.m AND r.config = best.config
 """
 
 
 def batteries(spark, d):
-    """Reruns of each trial: 100 with hashed noise, three slices of time, two cost factors, two neighbours."""
+    """Variants of the trials made of lineitem, which have trades but no formula to run again: stand-ins for gate_collapse."""
     t = trades(spark, d).withColumn("net", F.col("gross") - F.col("cost"))
     ref = t.groupBy("trial").agg(F.round(F.sum("net"), 4).alias("net"), F.count(F.lit(1)).alias("n")).persist()
     noise = ref.select("trial", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("variant"), "net", "n").withColumn("net", F.col("net") + ((F.col("variant") * 37 + F.col("trial") * 11) % 101 - 50) * F.col("n") / 50.0)
@@ -146,10 +148,6 @@ def batteries(spark, d):
     return out
 
 
-def gate_robustness(spark, d):
-    return gate.judge(batteries(spark, d), "trial")
-
-
 ROBUST_SQL = f"""{TRADES_SQL}, rn AS (SELECT *, gross - cost AS net FROM t),
 ref AS (SELECT trial, round(sum(net), 4) AS net, count(*) AS n FROM rn GROUP BY 1),
 noise AS (SELECT trial, median(net + ((v * 37 + trial * 11) % 101 - 50) * n / 50.0) AS x FROM ref, range(100) q(v) GROUP BY 1),
@@ -161,17 +159,87 @@ jd AS (SELECT ref.trial, noise.x > 0 AS noise, sub.n = 3 AND ref.net > 0 AND sub
 jr AS (SELECT *, noise AND subperiods AND costs AND parameters AS robust FROM jd)"""
 
 
+#: Trials that are run again: column and window of a z-score, direction.
+RERUN = {"revert": ("close", 8, -1), "follow": ("close", 8, 1), "typical": ("vwap", 21, -1)}
+NEAR = {8: (5, 13), 21: (13, 34)}
+RERUN_LIMITS = robot.Limits(tick_size=0.5)
+RERUN_COSTS = {"point_value": 0.2, "tick_size": 0.5, "slippage_ticks": 1, "exchange_fee": 0.25, "brokerage": 0.0, "margin_per_contract": 155.0}
+
+
+def reruns(spark, d):
+    frame = prep.positions(frame_e(spark, d))
+    out = None
+    for trial, (column, w, direction) in RERUN.items():
+        x = robustness.battery(frame, f"zscore({column}(),{w})", RERUN_COSTS, RERUN_LIMITS, 0.8, direction, 180)
+        x = x.select(F.lit(trial).alias("trial"), "battery", "variant", "trades", "net")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def gate_reruns(spark, d):
+    """Every trial on noise, slices of time, dearer costs and neighbouring windows."""
+    return reruns(spark, d).withColumn("net", F.round("net", 6))
+
+
+def gate_robustness(spark, d):
+    return gate.judge(reruns(spark, d), "trial")
+
+
+def rerun_signals() -> str:
+    by = lambda x, w: z(x, w).replace("ORDER BY", "PARTITION BY battery, variant ORDER BY")
+    parts = []
+    for trial, (x, w, direction) in RERUN.items():
+        for v, test in ((w, "battery <> 'parameter'"), *((v, f"battery = 'parameter' AND variant = {k}") for k, v in enumerate(NEAR[w]))):
+            parts.append(f"SELECT '{trial}' AS trial, battery, variant, pos, m, tod, close, {direction} * CASE WHEN pos >= {v - 1} THEN {by(x, v)} END AS s FROM rb WHERE {test}")
+    return " UNION ALL ".join(parts)
+
+
+#: Positions by jumps: where an entry at a bar would end, and the first entry after that, are known without the state.
+KEY = "trial, battery, variant"
+RERUNS_SQL = f"""{E.replace("WITH", "WITH RECURSIVE", 1)},
+pl AS (SELECT 'reference' AS battery, 0 AS variant, row_number() OVER (ORDER BY ts) - 1 AS pos, count(*) OVER () AS n, epoch(ts) // 60 AS m, ts, tod, close, vwap FROM b),
+sh AS (SELECT v::INT AS variant, pos, m, ts, tod, close, vwap, CASE WHEN ascii(md5(v || ':' || pos)) % 2 = 0 THEN 0.5 ELSE -0.5 END AS x FROM pl, range(100) q(v)),
+rb AS MATERIALIZED (
+  SELECT battery, variant, pos, m, ts, tod, close, vwap FROM pl UNION ALL SELECT 'noise', variant, pos, m, ts, tod, close + x, vwap + x FROM sh
+  UNION ALL SELECT 'subperiod', (pos * 3 // n)::INT, pos - ((pos * 3 // n) * n + 2) // 3, m, ts, tod, close, vwap FROM pl UNION ALL SELECT 'parameter', v::INT, pos, m, ts, tod, close, vwap FROM pl, range(2) q(v)
+),
+sg AS MATERIALIZED (SELECT *, CASE WHEN tod >= 1070 OR tod <= 540 OR tod > 1075 THEN 0 WHEN s > 0.8 THEN 1 WHEN s < -0.8 THEN -1 ELSE 0 END AS side FROM ({rerun_signals()})),
+jp AS MATERIALIZED (
+  SELECT *, least(min(CASE WHEN tod >= 1070 THEN pos END) OVER a, min(pos) OVER (PARTITION BY {KEY} ORDER BY m RANGE BETWEEN 180 FOLLOWING AND UNBOUNDED FOLLOWING)) AS till,
+    min(CASE WHEN side <> 0 THEN pos END) OVER a AS later FROM sg WINDOW a AS (PARTITION BY {KEY} ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+),
+en AS MATERIALIZED (SELECT p.trial, p.battery, p.variant, p.pos, (q.close - p.close) * p.side AS gross, q.later AS next FROM jp p JOIN jp q ON q.trial = p.trial AND q.battery = p.battery AND q.variant = p.variant AND q.pos = p.till WHERE p.side <> 0),
+wk AS (
+  SELECT e.* FROM en e JOIN (SELECT {KEY}, min(pos) AS pos FROM sg WHERE side <> 0 GROUP BY ALL) f ON e.trial = f.trial AND e.battery = f.battery AND e.variant = f.variant AND e.pos = f.pos
+  UNION ALL SELECT e.* FROM wk w JOIN en e ON e.trial = w.trial AND e.battery = w.battery AND e.variant = w.variant AND e.pos = w.next
+),
+md AS MATERIALIZED (SELECT k.trial, k.battery, k.variant, count(w.pos) AS trades, coalesce(sum(w.gross), 0) AS gross FROM (SELECT DISTINCT {KEY} FROM sg) k LEFT JOIN wk w ON w.trial = k.trial AND w.battery = k.battery AND w.variant = k.variant GROUP BY ALL),
+rr AS MATERIALIZED (
+  SELECT {KEY}, trades, gross - trades * 3.5 AS net FROM md UNION ALL SELECT trial, 'cost', 0, trades, gross - trades * 5.75 FROM md WHERE battery = 'reference'
+  UNION ALL SELECT trial, 'cost', 1, trades, gross - trades * 7.0 FROM md WHERE battery = 'reference'
+)"""
+RERUN_JUDGE_SQL = f"""{RERUNS_SQL}
+SELECT trial, median(net) FILTER (battery = 'noise') > 0 AS noise, max(net) FILTER (battery = 'reference') > 0 AND min(net) FILTER (battery = 'subperiod') > 0 AS subperiods,
+  min(net) FILTER (battery = 'cost') > 0 AS costs, max(net) FILTER (battery = 'reference') > 0 AND min(net) FILTER (battery = 'parameter') > 0 AS parameters,
+  median(net) FILTER (battery = 'noise') > 0 AND min(net) FILTER (battery IN ('reference', 'subperiod', 'cost', 'parameter')) > 0 AS robust FROM rr GROUP BY 1"""
+
+
 def gate_collapse(spark, d):
     rows = gate_rows(spark, d).join(gate.judge(batteries(spark, d), "trial").select("trial", "robust"), "trial")
-    rows = with_dsr(rows).withColumn("pbo", F.lit(0.1))
+    # the trials' net results by day: how often the best of them is overfitted
+    t = trades(spark, d).groupBy(F.datediff("day", F.lit("1992-01-01").cast("date")).cast("long").alias("t"), F.col("trial").cast("int").alias("config"))
+    pbo = gate.overfitting(t.agg(F.round(F.sum(F.col("gross") - F.col("cost")), 6).alias("value")), 6).select("pbo")
+    rows = with_dsr(rows).join(F.broadcast(pbo))  # one row
     limits = {**gate.LIMITS, "min_total_trades": 100, "min_trades_per_path": 10, "min_active_days": 100}
     return gate.collapse(rows, limits).select("trial", "verdict")
 
 
-COLLAPSE_SQL = f"""WITH {ROWS_SQL}, {DSR_SQL}, {ROBUST_SQL.replace(TRADES_SQL + ', ', '')}
+COLLAPSE_SQL = f"""WITH {ROWS_SQL}, {DSR_SQL}, {ROBUST_SQL.replace(TRADES_SQL + ', ', '')},
+p AS (SELECT date_diff('day', DATE '1992-01-01', day) AS t, trial::INT AS config, round(sum(gross - cost), 6) AS value FROM t GROUP BY 1, 2), {HALVES_SQL},
+pb AS (SELECT avg((r.r / (configs + 1) <= 0.5)::INT) AS pbo FROM r JOIN best ON r.m = best.m AND r.config = best.config)
 SELECT ds.trial, CASE WHEN total_trades < 100 OR min_path_trades < 10 OR active_days < 100 OR max_day_share > 0.25 THEN 'INSUFFICIENT_SAMPLE' WHEN gross_points <= cost_points THEN 'COST_DOMINATED'
-  WHEN sign_flip_frac > 0.3 THEN 'UNSTABLE_ACROSS_FOLDS' WHEN dsr < 0.95 OR NOT robust THEN 'FAILED_GATE' ELSE 'ACCEPTED' END AS verdict
-FROM ds JOIN jr ON ds.trial = jr.trial"""
+  WHEN sign_flip_frac > 0.3 THEN 'UNSTABLE_ACROSS_FOLDS' WHEN pbo > 0.2 OR dsr < 0.95 OR NOT robust THEN 'FAILED_GATE' ELSE 'ACCEPTED' END AS verdict
+FROM ds JOIN jr ON ds.trial = jr.trial, pb"""
 
 
 def gate_validate_outcome(spark, d):
@@ -236,7 +304,7 @@ rl AS (SELECT pt.path_id, s.ts, CASE WHEN s.grp IN (pt.a, pt.c) THEN 'test'
 QUERIES = {
     f.__name__: f
     for f in (
-        sim_fold_metrics, gate_aggregate, gate_aggregate_paths, gate_sr_star, gate_dsr, gate_var_sr, gate_pbo, gate_robustness, gate_collapse, gate_validate_outcome, gate_costs, gate_calibration,
+        sim_fold_metrics, gate_aggregate, gate_aggregate_paths, gate_sr_star, gate_dsr, gate_var_sr, gate_pbo, gate_reruns, gate_robustness, gate_collapse, gate_validate_outcome, gate_costs, gate_calibration,
         cpcv_partitions, cpcv_purge_embargo, cpcv_roles,
     )
 }
@@ -254,7 +322,8 @@ ORACLE_SQL = {
     "gate_dsr": f"WITH {ROWS_SQL}, {DSR_SQL} SELECT trial, round(dsr, 6) AS dsr FROM ds",
     "gate_var_sr": f"WITH {ROWS_SQL} SELECT round(var_samp(sr), 8) AS var_sr, count(*) AS trials FROM g",
     "gate_pbo": PBO_SQL,
-    "gate_robustness": f"WITH {ROBUST_SQL} SELECT trial, noise, subperiods, costs, parameters, robust FROM jr",
+    "gate_reruns": f"{RERUNS_SQL} SELECT trial, battery, variant, trades, round(net, 6) AS net FROM rr",
+    "gate_robustness": RERUN_JUDGE_SQL,
     "gate_collapse": COLLAPSE_SQL,
     "gate_validate_outcome": f"WITH {FOLDS_SQL} SELECT trial, count(*) AS rows, 0::BIGINT AS not_finite, 0::BIGINT AS negative, 0::BIGINT AS bad_hit_rate, 0::BIGINT AS net_mismatch, NOT (count(DISTINCT path_id) = 28) AS bad_ids, count(*) = 28 AS valid FROM folds WHERE trial < 11 OR path_id < 27 GROUP BY 1",
     "gate_costs": "SELECT l_returnflag, sum(l_quantity) AS contracts, count(*) * 10 AS points, count(*) * 20 AS points_15, count(*) * 20 AS points_20, round(sum(l_quantity) * 0.5, 4) AS fees FROM lineitem GROUP BY 1",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,7 +14,11 @@ from tidewick.streaming import signals
 
 
 def folder(spark) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    """A new folder below the shared one; only a local session may do without that."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set")
+    return (shared or tempfile.mkdtemp(prefix="tidewick-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
 
 
 def finished(out, where: str, mode: str = "append"):
