@@ -101,12 +101,12 @@ def split_holdout(frame: DataFrame, months: int) -> tuple[DataFrame, DataFrame]:
     return sides[0], sides[1]
 
 
-def positions(frame: DataFrame) -> DataFrame:
-    """frame with pos, the bar's ordinal in its series: the day's offset plus the place in the day."""
+def positions(frame: DataFrame, pos: str = "pos") -> DataFrame:
+    """frame with a column pos, the bar's ordinal in its series: the day's offset plus the place in the day."""
     days = frame.groupBy("series", "day").agg(F.count(F.lit(1)).alias("_n"))
     offset = days.withColumn("_offset", F.coalesce(F.sum("_n").over(Window.partitionBy("series").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     place = F.row_number().over(Window.partitionBy("series", "day").orderBy("ts"))
-    return frame.join(offset, ["series", "day"]).withColumn("pos", F.col("_offset") + place - 1).drop("_offset")
+    return frame.join(offset, ["series", "day"]).withColumn(pos, F.col("_offset") + place - 1).drop("_offset")
 
 
 def data_hash(frame: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -5,13 +5,16 @@ are put in stages: a stage adds every windowed column whose inputs are ready.
 All stages share one partitioning and order, so the bars are shuffled and sorted
 once. Everything that is not windowed stays an expression in whole-stage code.
 
-A window over one series is one task. ``evaluate(..., block=n)`` cuts each series into blocks of n bars, gives every
-block the ``lookback`` bars before it as well, evaluates blocks in parallel and drops the lent bars again; values are
-the same. Formulas with an ema need all that came before: they stay whole and are evaluated after the others.
+A window over one series is one task: enough where series are many, and the bars are read once. For few long series
+``evaluate(..., block=n)`` cuts each series into blocks of n bars, gives every block the bars before it that its formulas
+look back to as well, evaluates blocks in parallel and drops the lent bars again. An ema needs all that came before: the
+innermost ones are solved first, in stretches (``ema_in_blocks``), and are columns to what stands around them. Values are
+the same. The bars are read once more to number them and once for each level of emas, so dear ones are best written first.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 from tidewick.functions import scalar as s
 from tidewick.plans.formula import WINDOWED, MarketDataError, Node, check_shape, lookback, minutes, parse
 
-BY, AT, BLOCK = "series", "ts", "_block"
+BY, AT, BLOCK, OWN, POS = "series", "ts", "_block", "_own", "_pos"
+SINCE_OPEN = Node("_since_open")  # its column, once it is there
 SERIES_KEY = (BY,)
 
 
@@ -68,32 +72,57 @@ def windowed(n: Node, x: Column, by: tuple[str, ...] = SERIES_KEY) -> Column:
     raise MarketDataError(op)
 
 
-def ema(df: DataFrame, x: str, w: int, out: str) -> DataFrame:
+def stretch(w: int) -> int:
+    """How many values g ** -i stays finite for, with g = 1 - 2 / (w + 1)."""
+    return max(1, int(250 / -math.log10(1.0 - 2.0 / (w + 1))))
+
+
+def ema(df: DataFrame, x: str, w: int, out: str, seen: str | None = None, by: tuple[str, ...] = SERIES_KEY) -> DataFrame:
     """e[t] = (1 - a) e[t-1] + a x[t] with a = 2 / (w + 1), from the first value on; NULL until w values and where x is, which leaves e as it was.
 
-    The recurrence is solved in blocks: within a block a running sum of x / g**i, scaled back by g**i; over blocks the
-    end of the one before, scaled. A block is as long as g**-i stays finite, so what lies two blocks back is below 1e-250.
+    The recurrence is solved in stretches: within a stretch a running sum of x / g**i, scaled back by g**i; over stretches
+    the end of the one before, scaled. A stretch is as long as g**-i stays finite, so what lies two stretches back is below
+    1e-250. seen: a column with the number of values up to each bar, where by does not hold the series from its first on.
     """
     if w == 1:
         return df.withColumn(out, F.col(x))
     a = 2.0 / (w + 1)
     g = 1.0 - a
-    import math
-
-    size = max(1, int(250 / -math.log10(g)))
-    n, i, block, part, end = (f"{out}_{k}" for k in ("n", "i", "block", "part", "end"))
-    order = Window.partitionBy(BY).orderBy(AT)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn(n, F.count(x).over(upto))
-    df = df.withColumn(block, F.floor((F.col(n) - 1) / size)).withColumn(i, (F.col(n) - 1) % size)
+    size = stretch(w)
+    n, i, part_of, part, end = (f"{out}_{k}" for k in ("n", "i", "stretch", "part", "end"))
+    order = Window.partitionBy(*by).orderBy(AT)
+    df = df.withColumn(n, F.col(seen) if seen else F.count(x).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn(part_of, F.floor((F.col(n) - 1) / size)).withColumn(i, (F.col(n) - 1) % size)
     weight = F.when(F.col(n) == 1, 1.0).otherwise(a)
-    inside = Window.partitionBy(BY, block).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, part_of).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
     scale = F.pow(F.lit(g), F.col(i).cast("double"))
     df = df.withColumn(part, F.sum(weight * F.col(x) / scale).over(inside) * scale)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn(end, F.last(F.when(F.col(i) == size - 1, F.col(part)), ignorenulls=True).over(before))
-    carry = F.when(F.col(block) > 0, F.col(end) * scale * g).otherwise(0.0)
-    return df.withColumn(out, F.when(F.col(x).isNotNull() & (F.col(n) >= w), F.col(part) + carry)).drop(n, i, block, part, end)
+    carry = F.when(F.col(part_of) > 0, F.col(end) * scale * g).otherwise(0.0)
+    return df.withColumn(out, F.when(F.col(x).isNotNull() & (F.col(n) >= w), F.col(part) + carry)).drop(n, i, part_of, part, end)
+
+
+def ema_in_blocks(bars: DataFrame, emas: Mapping[str, tuple[str, int]]) -> DataFrame:
+    """bars with a column for each name: (x, w) of emas, in parallel.
+
+    Values are counted in each block; a row for each block then tells how many came before it. A stretch is evaluated
+    together with the one before it, whose end it goes on from.
+    """
+    counts = {x: f"{x}_seen" for x, _ in emas.values()}
+    so_far = Window.partitionBy(BY).orderBy(OWN).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = bars.groupBy(BY, OWN).agg(*[F.count(x).alias(n) for x, n in counts.items()])
+    earlier = earlier.select(BY, OWN, *[F.coalesce(F.sum(n).over(so_far), F.lit(0)).alias(n) for n in counts.values()])
+    within = Window.partitionBy(BY, OWN).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
+    bars = bars.join(earlier, [BY, OWN]).withColumns({n: F.col(n) + F.count(x).over(within) for x, n in counts.items()})
+    for out, (x, w) in emas.items():
+        if w == 1:
+            bars = bars.withColumn(out, F.col(x))
+            continue
+        own = F.floor((F.col(counts[x]) - 1) / stretch(w))
+        bars = bars.withColumn("_from", own).withColumn(BLOCK, F.explode(F.array(own, own + 1)))
+        bars = ema(bars, x, w, out, counts[x], (BY, BLOCK)).where(F.col(BLOCK) == F.col("_from")).drop("_from", BLOCK)
+    return bars.drop(*counts, *counts.values())
 
 
 def plain(n: Node, done: Mapping[Node, str], columns: set[str]) -> Column:
@@ -121,19 +150,43 @@ def plain(n: Node, done: Mapping[Node, str], columns: set[str]) -> Column:
     }[op]()
 
 
+def since_open() -> Column:
+    minute = s.minute_of_day(F.col(AT))
+    return (minute - F.min(minute).over(Window.partitionBy(BY, F.to_date(AT))) + 1).cast("double")
+
+
 def needs_window(n: Node) -> bool:
     return n.op in WINDOWED or n.op == "minutes_since_open"
 
 
-def in_blocks(bars: DataFrame, block: int, halo: int) -> DataFrame:
-    """bars with BLOCK and _lent: each bar in its block, and lent to the blocks that look back to it."""
+def placed(bars: DataFrame, block: int, trees: Mapping[str, Node]) -> DataFrame:
+    """bars with their place in the series (POS) and their block (OWN), and the minutes since the open if a formula asks for them."""
     from tidewick.operators.prep import positions
 
-    placed = positions(bars if "day" in bars.columns else bars.withColumn("day", F.to_date(AT)))
-    own = F.floor(F.col("pos") / block)
-    last = F.floor((F.col("pos") + halo) / block)
-    out = placed.withColumn("_own", own).withColumn(BLOCK, F.explode(F.sequence(own, last)))
-    return out.withColumn("_lent", F.col(BLOCK) != F.col("_own")).drop("_own", *({"pos", "day"} - set(bars.columns)))
+    if any(n.op == "minutes_since_open" for t in trees.values() for n in t.walk()):
+        bars = bars.withColumn(SINCE_OPEN.op, since_open())
+    day = "day" in bars.columns
+    bars = positions(bars if day else bars.withColumn("day", F.to_date(AT)), POS).withColumn(OWN, F.floor(F.col(POS) / block))
+    return bars if day else bars.drop("day")
+
+
+def blockwise(bars: DataFrame, trees: Mapping[str, Node], block: int) -> DataFrame:
+    """staged, in blocks: each bar goes to its own and is lent to those that look back to it."""
+    if not any(needs_window(n) for t in trees.values() for n in t.walk()):
+        return staged(bars, trees)
+    last = F.floor((F.col(POS) + max(map(lookback, trees.values()))) / block)
+    lent = bars.withColumn(BLOCK, F.explode(F.sequence(F.col(OWN), last)))
+    return staged(lent, trees, (BY, BLOCK)).where(F.col(BLOCK) == F.col(OWN)).drop(BLOCK)
+
+
+def replaced(n: Node, by: Mapping[Node, Node]) -> Node:
+    """n with the subtrees that by names replaced."""
+    return by.get(n) or Node(n.op, tuple(replaced(a, by) if isinstance(a, Node) else a for a in n.args))
+
+
+def innermost_emas(trees: Mapping[str, Node]) -> list[Node]:
+    every = dict.fromkeys(n for t in trees.values() for n in t.walk() if n.op == "ema")
+    return [n for n in every if not any(c.op == "ema" for c in n.args[0].walk())]
 
 
 def evaluate(bars: DataFrame, formulas: Mapping[str, str | Node], block: int | None = None) -> DataFrame:
@@ -141,15 +194,24 @@ def evaluate(bars: DataFrame, formulas: Mapping[str, str | Node], block: int | N
     trees = {k: parse(f) if isinstance(f, str) else f for k, f in formulas.items()}
     for t in trees.values():
         check_shape(t)
-    columns, by, cut = set(bars.columns), SERIES_KEY, False
-    if block and (whole := {k: t for k, t in trees.items() if any(n.op == "ema" for n in t.walk())}):
-        rest = {k: t for k, t in trees.items() if k not in whole}
-        return evaluate(evaluate(bars, rest, block) if rest else bars, whole)
-    if block:
-        if any(n.op == "minutes_since_open" for t in trees.values() for n in t.walk()):
-            minute = s.minute_of_day(F.col(AT))
-            bars = bars.withColumn("_since_open", (minute - F.min(minute).over(Window.partitionBy(BY, F.to_date(AT))) + 1).cast("double"))
-        bars, by, cut = in_blocks(bars, block, max(map(lookback, trees.values()))), (BY, BLOCK), True
+    if not block or not any(needs_window(n) for t in trees.values() for n in t.walk()):
+        return staged(bars, trees)
+    bars = placed(bars, block, trees)
+    trees = {k: replaced(t, {Node("minutes_since_open"): SINCE_OPEN}) for k, t in trees.items()}
+    helpers = [POS, OWN, SINCE_OPEN.op]
+    while emas := innermost_emas(trees):
+        names = {n: f"_e{len(helpers) + k}" for k, n in enumerate(emas)}
+        inputs = {c: f"{names[n]}_x" for n in emas for c in n.children()}
+        bars = blockwise(bars, {x: c for c, x in inputs.items()}, block)
+        bars = ema_in_blocks(bars, {names[n]: (inputs[n.args[0]], n.args[1]) for n in emas})
+        trees = {k: replaced(t, {n: Node(x) for n, x in names.items()}) for k, t in trees.items()}
+        helpers += names.values()
+    return blockwise(bars, trees, block).drop(*helpers)
+
+
+def staged(bars: DataFrame, trees: Mapping[str, Node], by: tuple[str, ...] = SERIES_KEY) -> DataFrame:
+    """bars with a column for each tree, by stages of windows over by."""
+    columns = set(bars.columns)
     level: dict[Node, int] = {}
 
     def place(n: Node) -> int:
@@ -164,22 +226,10 @@ def evaluate(bars: DataFrame, formulas: Mapping[str, str | Node], block: int | N
         names = {n: f"_w{len(done) + j}" for j, n in enumerate(new)}
         inputs = {n: f"{names[n]}_x" for n in new if n.op != "minutes_since_open"}
         bars = bars.withColumns({inputs[n]: plain(n.args[0], done, columns) for n in inputs})
-        ready = {}
-        for n in new:
-            if n.op == "minutes_since_open" and cut:
-                ready[names[n]] = F.col("_since_open")
-            elif n.op == "minutes_since_open":
-                minute = s.minute_of_day(F.col(AT))
-                ready[names[n]] = (minute - F.min(minute).over(Window.partitionBy(BY, F.to_date(AT))) + 1).cast("double")
-            elif n.op != "ema":
-                ready[names[n]] = windowed(n, F.col(inputs[n]), by)
-        bars = bars.withColumns(ready)
+        bars = bars.withColumns({names[n]: windowed(n, F.col(inputs[n]), by) if n in inputs else since_open() for n in new if n.op != "ema"})
         for n in new:
             if n.op == "ema":
                 bars = ema(bars, inputs[n], n.args[1], names[n])
         bars = bars.drop(*inputs.values())
         done |= names
-    bars = bars.withColumns({k: plain(t, done, columns) for k, t in trees.items()})
-    if cut:
-        bars = bars.where(~F.col("_lent")).drop("_lent", BLOCK, "_since_open")
-    return bars.drop(*done.values())
+    return bars.withColumns({k: plain(t, done, columns) for k, t in trees.items()}).drop(*done.values())

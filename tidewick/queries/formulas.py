@@ -11,6 +11,7 @@ from tidewick.sources import bars
 
 VIEWS = {"L": bars.lineitem_bars, "E": bars.event_bars}
 H001 = 'mul(in_window("10:30","16:30"), sub(zscore(ret(ref("ES"),2),55), zscore(ret(close(),2),55)))'
+BLOCK = 500  # bars
 CORE = 'sub(zscore(ret(ref("ES"),2),55), zscore(ret(close(),2),55))'
 
 #: name: (bars, formula, SQL of the value over b, or of a whole FROM clause)
@@ -101,34 +102,34 @@ BATCH = {
 }
 
 
-def value_of(view: str, formula: str):
+def value_of(view: str, formula: str, block: int | None = None):
     def query(spark, sf_dir):
         frame = bars.build_frame(VIEWS[view](spark, sf_dir))
-        return evaluate(frame, {"value": parse(formula)}).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.round("value", 6).alias("value"))
+        return evaluate(frame, {"value": parse(formula)}, block).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.round("value", 6).alias("value"))
 
     return query
 
 
-def batch(spark, sf_dir):
+def batch(block: int | None = None):
     """Long form: ts, formula, value."""
-    out = evaluate(bars.build_frame(bars.lineitem_bars(spark, sf_dir)), BATCH)
-    pairs = ", ".join(f"'{k}', `{k}`" for k in BATCH)
-    return out.selectExpr("date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS ts", f"stack({len(BATCH)}, {pairs}) AS (formula, value)").withColumn("value", F.round("value", 6))
 
+    def query(spark, sf_dir):
+        out = evaluate(bars.build_frame(bars.lineitem_bars(spark, sf_dir)), BATCH, block)
+        pairs = ", ".join(f"'{k}', `{k}`" for k in BATCH)
+        return out.selectExpr("date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS ts", f"stack({len(BATCH)}, {pairs}) AS (formula, value)").withColumn("value", F.round("value", 6))
 
-def formula_spread_blocks(spark, sf_dir):
-    """The spread again, in parallel blocks of 500 bars that are lent the bars that they look back to."""
-    out = evaluate(bars.build_frame(bars.lineitem_bars(spark, sf_dir)), {"value": CORE}, block=500)
-    return out.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.round("value", 6).alias("value"))
+    return query
 
 
 def entry_frame(spark, sf_dir):
     return value_of("L", CORE)(spark, sf_dir)
 
 
-QUERIES = {name: value_of(view, formula) for name, (view, formula, _) in CASES.items()} | {"formula_batch_shared": batch, "formula_spread_blocks": formula_spread_blocks}
+QUERIES = {name: value_of(view, formula) for name, (view, formula, _) in CASES.items()} | {
+    "formula_batch_shared": batch(), "formula_batch_blocks": batch(BLOCK), "formula_spread_blocks": value_of("L", CORE, BLOCK), "op_ema_blocks": value_of("L", "ema(close(),34)", BLOCK),
+}
 ORACLE_SQL = {name: f"{L if view == 'L' else E} {sql}" for name, (view, _, sql) in CASES.items()}
-ORACLE_SQL["formula_spread_blocks"] = ORACLE_SQL["formula_spread"]
+ORACLE_SQL |= {"formula_spread_blocks": ORACLE_SQL["formula_spread"], "op_ema_blocks": ORACLE_SQL["op_ema"]}
 
 
 def ema_sql(x: str, w: int) -> str:
@@ -149,4 +150,4 @@ BATCH_SQL = f"""{L}, s1 AS (
     CASE WHEN dn = 21 THEN 2.0 * (len(list_filter(dl, lambda v: v < r3)) + 0.5 * (len(list_filter(dl, lambda v: v = r3)) - 1)) / 20 - 1 END AS "rank", zw * zh AS "range", smooth, (m34 < e13)::INT::DOUBLE AS "cross", long_vol FROM s4
 )
 {' UNION ALL '.join(f"SELECT ts, '{k}' AS formula, round({chr(34)}{k}{chr(34)}, 6) AS value FROM s5" for k in BATCH)}"""
-ORACLE_SQL["formula_batch_shared"] = BATCH_SQL
+ORACLE_SQL |= {"formula_batch_shared": BATCH_SQL, "formula_batch_blocks": BATCH_SQL}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REFS = ("ES", "WDO")
@@ -43,10 +45,15 @@ def event_bars(spark: SparkSession, sf_dir: str, hours: int = 1) -> DataFrame:
 
 
 def build_frame(bars: DataFrame, main: str = "WIN", refs: tuple[str, ...] = REFS, session: tuple[int, int] = (0, 1440)) -> DataFrame:
-    """The main symbol's bars at the timestamps that every reference has too."""
-    out = bars.where(F.col("symbol") == main).drop("symbol").withColumn("series", F.lit(main))
-    for r in refs:
-        out = out.join(bars.where(F.col("symbol") == r).select("ts", F.col("close").alias(f"ref_{r}")), "ts")
+    """The main symbol's bars at the timestamps that every reference has too.
+
+    The bars are read once: those of one time meet in a window. Of a reference's repeated bars the largest close counts.
+    """
+    at = Window.partitionBy("ts")
+    met = bars.where(F.col("symbol").isin(main, *refs) & F.col("ts").isNotNull())
+    met = met.withColumns({f"ref_{r}": F.max(F.when(F.col("symbol") == r, F.col("close"))).over(at) for r in refs} | {f"_has_{r}": F.count_if(F.col("symbol") == r).over(at) > 0 for r in refs})
+    out = met.where(F.col("symbol") == main).where(reduce(Column.__and__, [F.col(f"_has_{r}") for r in refs], F.lit(True)))
+    out = out.drop("symbol", *[f"_has_{r}" for r in refs]).withColumn("series", F.lit(main))
     tod = F.hour("ts") * 60 + F.minute("ts")
     return out.withColumns({
         "vwap": (F.col("high") + F.col("low") + F.col("close")) / 3, "session_mask": (tod > session[0]) & (tod <= session[1]), "day": F.to_date("ts"),
@@ -55,8 +62,6 @@ def build_frame(bars: DataFrame, main: str = "WIN", refs: tuple[str, ...] = REFS
 
 def invariants(frame: DataFrame, refs: tuple[str, ...] = REFS) -> DataFrame:
     """One row of counts that must all be 0 (but rows)."""
-    from pyspark.sql import Window
-
     values = ["close", "high", "low", "volume", "trades", "vwap", *(f"ref_{r}" for r in refs)]
     bad = F.lit(False)
     for v in values:
