@@ -132,6 +132,17 @@ def test_frame_keeps_the_times_of_all_references(spark):
     assert sorted((r.ts, r.close, r.ref_ES, r.ref_WDO) for r in frame.collect()) == [(t[0], 1.0, 7.0, 8.0), (t[2], 3.0, None, 9.0)]
 
 
+def test_alignment_of_two_references_in_one_pass(spark):
+    rng = np.random.default_rng(5)
+    level = np.exp(np.cumsum(rng.normal(0, 0.01, 304)))
+    t0 = dt.datetime(2026, 1, 5)
+    rows = [("WIN", t0 + dt.timedelta(minutes=i), float(level[i]), float(level[i + 2]), float(level[i])) for i in range(300)]
+    frame = spark.createDataFrame(rows, "series string, ts timestamp_ntz, close double, ref_ES double, ref_WDO double")
+    assert {r.symbol: (r.lag, round(r["corr"], 9)) for r in prep.alignment(frame, "ES", "WDO").collect()} == {"ES": (2, 1.0), "WDO": (0, 1.0)}
+    assert sorted(prep.alignment(frame.limit(50), "ES", "WDO").collect()) == [("ES", 0, 0.0), ("WDO", 0, 0.0)]
+    assert sorted(prep.alignment(frame.limit(0), "ES", "WDO").collect()) == [("ES", 0, 0.0), ("WDO", 0, 0.0)]
+
+
 def test_a_prefix_of_the_bars_gives_a_prefix_of_the_values(many):
     cut = many.orderBy("ts").limit(400)
     names = {f"v{i}": t for i, t in enumerate(FORMULAS)}

@@ -21,7 +21,7 @@ def data(spark, a) -> int:
     named = [x.select(F.lit(s).alias("symbol"), "ts", "open", "high", "low", "close", F.col("tick_volume").alias("trades"), F.col("real_volume").alias("volume")) for s, x in parts.items()]
     refs = tuple(s for s in parts if s != "WIN")
     frame = bars.build_frame(reduce(lambda x, y: x.unionByName(y), named), refs=refs, session=tuple(a.session))
-    found, lost = prep.gaps(frame).count(), [r for s in refs if (r := prep.alignment(frame, s).first()).lag != 0 and abs(r["corr"]) >= prep.MIN_CORR]
+    found, lost = prep.gaps(frame).count(), [r for r in (prep.alignment(frame, *refs).collect() if refs else []) if r.lag != 0 and abs(r["corr"]) >= prep.MIN_CORR]
     print(prep.quality(frame).first().asDict(), "gaps", found, "out of step", [r.symbol for r in lost])
     if (found or lost) and not a.force:
         return 1

@@ -46,10 +46,17 @@ def dropped(bars: DataFrame, main: str, refs: tuple[str, ...]) -> DataFrame:
     return times.agg(F.count(F.lit(1)).alias("bars")).crossJoin(kept.agg(F.count(F.lit(1)).alias("aligned"))).withColumn("dropped", F.col("bars") - F.col("aligned"))  # one row each
 
 
-def alignment(frame: DataFrame, symbol: str, max_lag: int = 3, least: int = 100) -> DataFrame:
-    """lag, corr: at which shift the log returns of the main symbol and a reference agree best; the first of equals, (0, 0.0) without enough data."""
+def alignment(frame: DataFrame, *symbols: str, max_lag: int = 3, least: int = 100) -> DataFrame:
+    """symbol, lag, corr for each of symbols: at which shift the log returns of the main symbol and a reference agree best; the first of equals, (0, 0.0) without enough data.
+
+    The frame is read once; references are shifted side by side.
+    """
     w = Window.partitionBy("series").orderBy("ts")
-    r = frame.select("series", "ts", F.log(F.col("close") / F.lag("close").over(w)).alias("m"), F.log(F.col(f"ref_{symbol}") / F.lag(f"ref_{symbol}").over(w)).alias("r")).where("m is not null and r is not null")
+    gain = lambda c: F.log(F.col(c) / F.lag(c).over(w))
+    gains = frame.select("series", "ts", gain("close").alias("m"), *[gain(f"ref_{s}").alias(f"r_{s}") for s in symbols])
+    pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("symbol"), F.col(f"r_{s}").alias("r")) for s in symbols]))
+    r = gains.select("series", "ts", "m", pairs.alias("x")).select("series", "ts", "m", "x.*").where("m is not null and r is not null")
+    w = Window.partitionBy("series", "symbol").orderBy("ts")
     lags = list(range(-max_lag, max_lag + 1))
     shifted = r.withColumns({f"m{i}": F.lead("m", k).over(w) if k >= 0 else F.lag("m", -k).over(w) for i, k in enumerate(lags)})
     aggs = []
@@ -57,10 +64,11 @@ def alignment(frame: DataFrame, symbol: str, max_lag: int = 3, least: int = 100)
         pair = F.col(f"m{i}").isNotNull()
         x, y = F.when(pair, F.col(f"m{i}")), F.when(pair, F.col("r"))
         aggs += [F.count(x).alias(f"n{i}"), F.stddev_pop(x).alias(f"sx{i}"), F.stddev_pop(y).alias(f"sy{i}"), F.corr(x, y).alias(f"c{i}")]
-    one = shifted.agg(*aggs)
+    every = frame.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, symbols))).alias("symbol"))
+    one = every.join(shifted.groupBy("symbol").agg(*aggs), "symbol", "left")
     options = F.array(*[F.when((F.col(f"n{i}") >= least) & (F.col(f"sx{i}") > 0) & (F.col(f"sy{i}") > 0), F.struct(F.col(f"c{i}").alias("corr"), F.lit(-i).alias("first"), F.lit(k).alias("lag"))) for i, k in enumerate(lags)])
     best = F.array_max(F.array_compact(options))
-    return one.select(F.lit(symbol).alias("symbol"), F.coalesce(best["lag"], F.lit(0)).alias("lag"), F.coalesce(best["corr"], F.lit(0.0)).alias("corr"))
+    return one.select("symbol", F.coalesce(best["lag"], F.lit(0)).alias("lag"), F.coalesce(best["corr"], F.lit(0.0)).alias("corr"))
 
 
 def gaps(frame: DataFrame, minutes: int = MAX_GAP_MINUTES) -> DataFrame:

@@ -61,8 +61,7 @@ FROM s WHERE (till IS NULL OR ts < till) AND (since IS NULL OR ts >= since)
 
 
 def prep_alignment_lag(spark, d):
-    f = frame_l(spark, d)
-    return prep.alignment(f, "ES").unionByName(prep.alignment(f, "WDO")).withColumn("corr", F.round("corr", 6))
+    return prep.alignment(frame_l(spark, d), "ES", "WDO").withColumn("corr", F.round("corr", 6))
 
 
 def alignment_sql() -> str:
@@ -135,7 +134,7 @@ def prep_report_ok(spark, d):
     """One row for each view: the counts of the report and whether the frame may be used."""
     out = None
     for name, frame, minutes in (("lineitem", frame_l(spark, d), prep.MAX_GAP_MINUTES), ("events", frame_e(spark, d), 60)):
-        lags = prep.alignment(frame, "ES").unionByName(prep.alignment(frame, "WDO")).agg(F.collect_list(F.struct("lag", "corr")).alias("lags"))
+        lags = prep.alignment(frame, "ES", "WDO").agg(F.collect_list(F.struct("lag", "corr")).alias("lags"))
         row = prep.quality(frame).join(prep.gaps(frame, minutes).agg(F.count(F.lit(1)).alias("gaps"))).join(lags)  # one row each
         row = row.select(F.lit(name).alias("view"), "bars", "gaps", "duplicated", prep.report_ok(F.col("gaps"), F.col("duplicated"), F.col("lags")).alias("ok"))
         out = row if out is None else out.unionByName(row)
