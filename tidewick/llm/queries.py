@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fixity, html_text, licenses, line_dedup, mixing, near_dup, pii, quality_classifier, quality_rules
+from . import decontaminate, fixity, html_text, licenses, line_dedup, manifest, mixing, near_dup, packing, pii, quality_classifier, quality_rules, spelling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,23 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = manifest.manifest(table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    x = packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return x.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_quality_rules, op3_decontaminate, op4_near_duplicates, op5_personal_data, op6_quality_classifier,
-        op7_line_dedup, op8_fixity_audit, op9_license_scan, op10_html_text, pipeline,
+        op7_line_dedup, op8_fixity_audit, op9_license_scan, op10_html_text, op11_spelling_variants, op12_dataset_manifest, op13_best_fit_packing, pipeline,
     )
 }
 
@@ -132,4 +149,80 @@ WITH p AS (
 SELECT page_id, file::BIGINT AS file, begin_at::BIGINT AS begin, size::BIGINT AS size, primary_hash, replica_hash FROM o WHERE primary_hash IS DISTINCT FROM replica_hash
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing_sql(), "op7_line_dedup": LINES_SQL, "op8_fixity_audit": FIXITY_SQL}
+# CRC-32 in SQL: the 256 steps of the register, and the fold over the UTF-8 bytes of letters up to U+00FF.
+CRC_STEPS = "SELECT list(list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) r(i)"
+
+
+def crc_sql(text: str) -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)"
+    codes = f"flatten(list_transform({codes}, lambda c: CASE WHEN c < 128 THEN [c] ELSE [195, c - 64] END))"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+# The distance in SQL counts bytes, so the letters from U+00C0 on become one byte each first.
+ACCENTED = "".join(chr(c) for c in range(0xC0, 0x100))
+ONE_BYTE = "".join([chr(c) for c in range(33, 127) if not chr(c).islower() and chr(c) != "'"][: len(ACCENTED)])
+
+SPELLING_SQL = f"""
+WITH s AS MATERIALIZED ({CRC_STEPS}), r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' AS d, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents WHERE text IS NOT NULL
+), l AS (SELECT d, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM r WHERE length(run) >= {spelling.MIN_LETTERS}
+), h AS (SELECT run, {crc_sql('d || run')} AS h FROM l, s
+), w AS MATERIALIZED (
+  SELECT CASE WHEN h % {spelling.RATE} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, count(*) AS n FROM h
+  GROUP BY 1 HAVING length(word) >= {spelling.MIN_LETTERS} AND count(*) >= {spelling.MIN_COUNT}
+), v AS MATERIALIZED (SELECT *, translate(word, '{ACCENTED}', '{ONE_BYTE}') AS bytes FROM w
+), p AS MATERIALIZED (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM v a JOIN v b ON length(b.word) BETWEEN length(a.word) - 1 AND length(a.word) + 1 AND levenshtein(a.bytes, b.bytes) = 1
+), b AS (SELECT word, count(*) AS n_near, max(near_n) AS near_n FROM p GROUP BY 1
+), f AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= {spelling.RATIO} * w.n THEN (SELECT min(p.near) FROM p WHERE p.word = w.word AND p.near_n = b.near_n) END AS form, CASE WHEN b.near_n >= {spelling.RATIO} * w.n THEN b.near_n END AS form_n
+  FROM w LEFT JOIN b ON b.word = w.word
+), e AS (WITH RECURSIVE g AS (SELECT word, word AS at FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.at WHERE f.form IS NOT NULL)
+  SELECT g.word, g.at AS root FROM g JOIN f ON f.word = g.at WHERE f.form IS NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM f JOIN e ON e.word = f.word
+"""
+
+
+def manifest_sql(depth: int = 8, top_depth: int = 4) -> str:
+    """The trees written out level by level, and every proof folded level by level; groups of up to 8 ** depth documents."""
+    fan = manifest.FAN
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    body = lambda text: "sha256(" + " || ".join(field(text if c == "text" else c) for c in manifest.FIELDS) + ")"
+    ctes = [
+        f"s AS MATERIALIZED ({CRC_STEPS})",
+        f"x AS MATERIALIZED (SELECT doc_id, lang, {body('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc_sql('doc_id::VARCHAR')} % 3 = 0 THEN {body(lower)} ELSE {body('text')} END AS given FROM documents, s)",
+        "g AS MATERIALIZED (SELECT lang, count(*) AS size, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM x GROUP BY 1)",
+        "a0 AS MATERIALIZED (SELECT x.doc_id, x.leaf, x.given, g.tree, g.size, row_number() OVER (PARTITION BY g.tree ORDER BY x.doc_id NULLS FIRST, x.leaf) - 1 AS idx FROM x JOIN g ON g.lang IS NOT DISTINCT FROM x.lang)",
+    ]
+
+    def tree(name: str, first: str, levels: int) -> None:
+        ctes.append(f"{name}0 AS ({first})")
+        for k in range(levels):
+            ctes.append(f"{name}r{k} AS MATERIALIZED (SELECT tree, idx // {fan} AS run, (size + {fan - 1}) // {fan} AS size, string_agg(digest, '' ORDER BY idx) AS d FROM {name}{k} WHERE size > 1 GROUP BY ALL)")
+            ctes.append(f"{name}{k + 1} AS MATERIALIZED (SELECT tree, run AS idx, size, sha256(d) AS digest FROM {name}r{k})")
+        ctes.append(f"{name}p AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT tree, digest FROM {name}{k} WHERE size = 1" for k in range(levels + 1)) + ")")
+
+    def proofs(name: str, start: str, levels: int, other: str) -> None:
+        """other: the columns that go through. start has tree, idx, proof, node."""
+        ctes.append(f"{name}f0 AS ({start})")
+        for k in range(levels):
+            at = f"(f.idx // {fan**k} % {fan})::BIGINT"
+            left, right = f"coalesce(substr(r.d, 1, 64 * {at}), '')", f"coalesce(substr(r.d, 64 * {at} + 65), '')"
+            ctes.append(
+                f"{name}f{k + 1} AS MATERIALIZED (SELECT {other}, f.tree, f.idx, f.proof || {left} || {right} AS proof, CASE WHEN r.d IS NULL THEN f.node ELSE sha256({left} || f.node || {right}) END AS node "
+                f"FROM {name}f{k} f LEFT JOIN {name}r{k} r ON r.tree = f.tree AND r.run = f.idx // {fan ** (k + 1)})"
+            )
+
+    tree("n", "SELECT tree, idx, size, leaf AS digest FROM a0", depth)
+    tree("t", "SELECT 0 AS tree, n.tree AS idx, (SELECT count(*) FROM g) AS size, n.digest FROM np n", top_depth)
+    proofs("n", "SELECT doc_id, leaf, tree, idx, '' AS proof, given AS node FROM a0", depth, "f.doc_id, f.leaf")
+    proofs("t", f"SELECT n.doc_id, n.leaf, p.digest AS subroot, 0 AS tree, n.tree AS idx, n.proof, n.node FROM nf{depth} n JOIN np p ON p.tree = n.tree", top_depth, "f.doc_id, f.leaf, f.subroot")
+    out = "f.doc_id, f.leaf, f.subroot, tp.digest AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = tp.digest AS verified"
+    return "WITH " + ", ".join(ctes) + f" SELECT {out} FROM tf{top_depth} f, tp"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": mixing_sql(), "op7_line_dedup": LINES_SQL, "op8_fixity_audit": FIXITY_SQL, "op11_spelling_variants": SPELLING_SQL, "op12_dataset_manifest": manifest_sql(),
+}
