@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidewick.queries.bars_sql import E
 from tidewick.queries.formulas import CASES, CORE
 from tidewick.queries.preparation import frame_e, stamp
+from tidewick.sources.shared import new_folder
 from tidewick.streaming import signals
 
 
-def folder(spark) -> str:
-    """A new folder below the shared one; only a local session may do without that."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set")
-    return (shared or tempfile.mkdtemp(prefix="tidewick-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
-
-
 def finished(out, where: str, mode: str = "append"):
     """Runs a stream over what is there and returns what it wrote."""
     q = out.writeStream.outputMode(mode).format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
@@ -30,7 +20,7 @@ def finished(out, where: str, mode: str = "append"):
 
 def stream_signal(spark, d):
     """The bars are written in four files, in order, and read as a stream of one file at a time."""
-    where = folder(spark)
+    where = new_folder(spark, "stream")
     bars = frame_e(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).drop("day", "session_mask")
     bars = bars.repartition(1).sortWithinPartitions("ts")  # hourly bars: a few for each day
     for k in range(4):
@@ -45,7 +35,7 @@ def stream_daily(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     source = source.withColumn("ts", F.col("ts").cast("timestamp"))
-    out = finished(signals.stream_daily(source), folder(spark))
+    out = finished(signals.stream_daily(source), new_folder(spark, "stream"))
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
