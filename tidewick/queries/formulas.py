@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewick.functions.scalar import BUCKETS
 from tidewick.plans.compiler import evaluate
-from tidewick.plans.formula import parse
+from tidewick.plans.formula import SERIES, WINDOWED, Node, minutes, parse
 from tidewick.queries.bars_sql import E, L
 from tidewick.sources import bars
 
@@ -82,26 +83,28 @@ CASES: dict[str, tuple[str, str, str]] = {
     "op_minutes_since_open": ("E", "minutes_since_open()", over("(tod - min(tod) OVER (PARTITION BY day) + 1)::DOUBLE")),
     "formula_h001": ("E", H001, f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round((tod > 630 AND tod <= 990)::INT * ({z('re', 55)} - ({z('rc', 55)})), 6) AS value FROM (SELECT *, {ret('ref_ES', 2)} AS re, {ret('close', 2)} AS rc FROM b)"),
     "formula_spread": ("L", CORE, f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round({z('re', 55)} - ({z('rc', 55)}), 6) AS value FROM (SELECT *, {ret('ref_ES', 2)} AS re, {ret('close', 2)} AS rc FROM b)"),
-    "formula_vol_regime": ("L", "zscore(rolling_std(vwap(),13),34)", f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round({z('s', 34)}, 6) AS value FROM (SELECT *, {full('vwap', 13, std('vwap', 13))} AS s FROM b)"),
     "formula_cross_mean": ("L", "gt(rolling_mean(close(),21),rolling_mean(close(),55))", over(f"(({full('close', 21, f'avg(close) {roll(21)}')}) > ({full('close', 55, f'avg(close) {roll(55)}')}))::INT::DOUBLE")),
-    "formula_lagged_return": ("L", 'lag(lt(ret(close(),2),ret(ref("ES"),2)),3)', f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(lag(g, 3) {O}, 6) AS value FROM (SELECT ts, (rc < re)::INT::DOUBLE AS g FROM (SELECT *, {ret('ref_ES', 2)} AS re, {ret('close', 2)} AS rc FROM b))"),
 }
 
-#: A batch whose formulas share subtrees; each is evaluated once.
-BATCH = {
-    "spread": CORE,
-    "vol": "zscore(rolling_std(vwap(),13),34)",
-    "saturated": "zscore(clip(zscore(delta(close(),3),34),-2,2),13)",
-    "level": "zscore(low(),89)",
-    "ratio": "clip(zscore(div(rolling_max(close(),8), rolling_min(close(),8)),55),-1,1)",
-    "rank": "rank_ts(ret(close(),3),21)",
-    "range": 'mul(zscore(ret(ref("ES"),2),34), zscore(sub(close(),low()),13))',
-    "smooth": "zscore(ema(rolling_mean(delta(close(),3),8),13),55)",
-    "cross": "lt(rolling_mean(vwap(),34), ema(vwap(),13))",
-    "long_vol": "rolling_std(ret(vwap(),1),89)",
+#: Formulas whose SQL is written by translation().
+TRANSLATED = {
+    "formula_vol_regime": ("L", "gt(rolling_std(delta(high(),1),8), rolling_mean(rolling_std(delta(high(),1),8),55))"),
+    "formula_lagged_return": ("L", "clip(div(ret(vwap(),1), lag(rolling_mean(ret(vwap(),1),5),1)),-3,3)"),
 }
 
 
+def shared_batch() -> dict[str, str]:
+    """A batch by rule: every windowed operator over one series and another window, standardised, and each neighbouring two of these in one formula, so that all subtrees are shared."""
+    inputs = ("close()", "high()", "low()", "vwap()", "volume()", 'ref("ES")', "trades()")
+    parts = [f"zscore({op}({inputs[i % len(inputs)]},{BUCKETS[2 + i % 5]}),{BUCKETS[5 + i % 5]})" for i, op in enumerate(sorted(WINDOWED))]
+    joins = ("add({0},{1})", "sub({0},{1})", "mul({0},{1})", "div({0},{1})", "gt({0},{1})", "lt({0},{1})", "and_(gt({0},{1}),lt({0},{1}))", "or_(gt({0},{1}),lt({0},{1}))", "clip(add({0},{1}),-2,2)", "mul(lt({0},{1}),{0})")
+    return {f"f{i}": j.format(parts[i % len(parts)], parts[(i + 1) % len(parts)]) for i, j in enumerate(joins)}
+
+
+#: A batch whose formulas share subtrees; each is evaluated once.
+BATCH = shared_batch()
+
+
 def value_of(view: str, formula: str, block: int | None = None):
     def query(spark, sf_dir):
         frame = bars.build_frame(VIEWS[view](spark, sf_dir))
@@ -116,7 +119,7 @@ def batch(block: int | None = None):
     def query(spark, sf_dir):
         out = evaluate(bars.build_frame(bars.lineitem_bars(spark, sf_dir)), BATCH, block)
         pairs = ", ".join(f"'{k}', `{k}`" for k in BATCH)
-        return out.selectExpr("date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS ts", f"stack({len(BATCH)}, {pairs}) AS (formula, value)").withColumn("value", F.round("value", 6))
+        return out.selectExpr("date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS ts", f"stack({len(BATCH)}, {pairs}) AS (formula, value)").withColumn("value", F.round("value", 6)).withColumn("value", F.when(F.col("value") == 0, 0.0).otherwise(F.col("value")))  # no -0.0
 
     return query
 
@@ -125,29 +128,85 @@ def entry_frame(spark, sf_dir):
     return value_of("L", CORE)(spark, sf_dir)
 
 
-QUERIES = {name: value_of(view, formula) for name, (view, formula, _) in CASES.items()} | {
-    "formula_batch_shared": batch(), "formula_batch_blocks": batch(BLOCK), "formula_spread_blocks": value_of("L", CORE, BLOCK), "op_ema_blocks": value_of("L", "ema(close(),34)", BLOCK),
-}
-ORACLE_SQL = {name: f"{L if view == 'L' else E} {sql}" for name, (view, _, sql) in CASES.items()}
-ORACLE_SQL |= {"formula_spread_blocks": ORACLE_SQL["formula_spread"], "op_ema_blocks": ORACLE_SQL["op_ema"]}
-
-
 def ema_sql(x: str, w: int) -> str:
     seen = f"list_filter(list({x}) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING), lambda v: v IS NOT NULL)"
     return f"CASE WHEN {x} IS NOT NULL AND len({seen}) >= {w} THEN list_reduce({seen}, lambda e, v: e * ({w - 1}.0::DOUBLE / {w + 1}) + v * (2.0::DOUBLE / {w + 1})) END"
 
 
-BATCH_SQL = f"""{L}, s1 AS (
-  SELECT *, {ret('vwap', 1)} AS v1, {ret('close', 2)} AS r2, {ret('close', 3)} AS r3, {ret('ref_ES', 2)} AS e2, close - lag(close, 3) {O} AS d3, {full('vwap', 13, std('vwap', 13))} AS s13, {full('close', 8, f'max(close) {roll(8)}')} AS mx,
-    {full('close', 8, f'min(close) {roll(8)}')} AS mn, close - low AS cl, {full('vwap', 34, f'avg(vwap) {roll(34)}')} AS m34, {ema_sql('vwap', 13)} AS e13 FROM b
-), s2 AS (
-  SELECT *, {z('e2', 55)} AS ze, {z('r2', 55)} AS zc, {z('d3', 34)} AS zd, {z('s13', 34)} AS vol, {z('low', 89)} AS level, mx / mn AS q, {z('e2', 34)} AS zw, {z('cl', 13)} AS zh, {full('d3', 8, f'avg(d3) {roll(8)}')} AS m8,
-    {full('v1', 89, std('v1', 89))} AS long_vol, list(r3) {roll(21)} AS dl, count(r3) {roll(21)} AS dn FROM s1
-), s3 AS (SELECT *, {z('q', 55)} AS zq, CASE WHEN zd IS NOT NULL THEN least(greatest(zd, -2.0), 2.0) END AS c34, {ema_sql('m8', 13)} AS em FROM s2
-), s4 AS (SELECT *, {z('c34', 13)} AS saturated, {z('em', 55)} AS smooth FROM s3
-), s5 AS (
-  SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, ze - zc AS spread, vol, saturated, level, CASE WHEN zq IS NOT NULL THEN least(greatest(zq, -1.0), 1.0) END AS ratio,
-    CASE WHEN dn = 21 THEN 2.0 * (len(list_filter(dl, lambda v: v < r3)) + 0.5 * (len(list_filter(dl, lambda v: v = r3)) - 1)) / 20 - 1 END AS "rank", zw * zh AS "range", smooth, (m34 < e13)::INT::DOUBLE AS "cross", long_vol FROM s4
-)
-{' UNION ALL '.join(f"SELECT ts, '{k}' AS formula, round({chr(34)}{k}{chr(34)}, 6) AS value FROM s5" for k in BATCH)}"""
+def rank_sql(x: str, w: int) -> str:
+    below = lambda sign: f"len(list_filter(list({x}) {roll(w)}, lambda v: v {sign} {x}))"
+    return full(x, w, f"2.0 * ({below('<')} + 0.5 * ({below('=')} - 1)) / {max(w - 1, 1)} - {int(w > 1)}")
+
+
+def node_sql(n: Node, c: list[str]) -> str:
+    """SQL of a node over the columns of its children."""
+    x, w = (c + [""])[0], n.args[1] if n.op in WINDOWED else 0
+    pair = lambda value: f"CASE WHEN {c[0]} IS NOT NULL AND {c[1]} IS NOT NULL THEN {value} END"
+    truth = lambda value: pair(f"({value})::INT::DOUBLE")
+    if n.op in SERIES:
+        return n.op
+    match n.op:
+        case "ref":
+            return f"ref_{n.args[0]}"
+        case "const":
+            return f"{n.args[0]}::DOUBLE"
+        case "in_window":
+            return f"(tod > {minutes(n.args[0])} AND tod <= {minutes(n.args[1])})::INT::DOUBLE"
+        case "minutes_since_open":
+            return "(tod - min(tod) OVER (PARTITION BY day) + 1)::DOUBLE"
+        case "lag":
+            return f"lag({x}, {w}) {O}"
+        case "delta":
+            return f"{x} - lag({x}, {w}) {O}"
+        case "ret":
+            return ret(x, w)
+        case "rolling_mean" | "rolling_max" | "rolling_min":
+            return full(x, w, f"{ {'rolling_mean': 'avg', 'rolling_max': 'max', 'rolling_min': 'min'}[n.op]}({x}) {roll(w)}")
+        case "rolling_std":
+            return full(x, w, std(x, w))
+        case "zscore":
+            return z(x, w)
+        case "ema":
+            return ema_sql(x, w)
+        case "rank_ts":
+            return rank_sql(x, w)
+        case "clip":
+            return f"CASE WHEN {x} IS NOT NULL THEN least(greatest({x}, {n.args[1]}::DOUBLE), {n.args[2]}::DOUBLE) END"
+        case "add" | "sub" | "mul":
+            return f"{c[0]} { {'add': '+', 'sub': '-', 'mul': '*'}[n.op]} {c[1]}"
+        case "div":
+            return pair(f"CASE WHEN abs({c[1]}) < 1e-12 THEN 0.0 ELSE {c[0]} / {c[1]} END")
+        case "gt" | "lt":
+            return truth(f"{c[0]} {'>' if n.op == 'gt' else '<'} {c[1]}")
+        case "and_" | "or_":
+            return truth(f"{c[0]} <> 0 {'AND' if n.op == 'and_' else 'OR'} {c[1]} <> 0")
+
+
+def translation(view: str, formulas: dict[str, str], more: str = "") -> str:
+    """SQL of formulas over a view's bars: ts, formula, value. One stage for each depth, each subtree once."""
+    trees = {k: parse(t) for k, t in formulas.items()}
+    column: dict[str, str] = {}
+    stages: dict[int, list[str]] = {}
+    for t in trees.values():
+        for n in reversed(list(t.walk())):
+            if str(n) not in column:
+                sql = node_sql(n, [column[str(x)] for x in n.children()])
+                column[str(n)] = f"v{len(column)}"
+                stages.setdefault(n.depth(), []).append(f"{sql} AS {column[str(n)]}")
+    ctes, at = [], "b"
+    for d in sorted(stages):
+        ctes.append(f"d{d} AS MATERIALIZED (SELECT *, {', '.join(stages[d])} FROM {at})")
+        at = f"d{d}"
+    number = lambda x: f"CASE WHEN round({x}, 6) = 0 THEN 0.0::DOUBLE ELSE round({x}, 6) END"  # noqa: E731  no -0.0
+    rows = " UNION ALL ".join(f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, '{k}' AS formula, {number(column[str(t)])} AS value FROM {at}" for k, t in trees.items())
+    return f"{L if view == 'L' else E}, {', '.join(ctes)}{more} {rows}"
+
+
+QUERIES = {name: value_of(view, formula) for name, (view, formula, _) in CASES.items()} | {name: value_of(view, formula) for name, (view, formula) in TRANSLATED.items()} | {
+    "formula_batch_shared": batch(), "formula_batch_blocks": batch(BLOCK), "formula_spread_blocks": value_of("L", CORE, BLOCK), "op_ema_blocks": value_of("L", "ema(close(),34)", BLOCK),
+}
+ORACLE_SQL = {name: f"{L if view == 'L' else E} {sql}" for name, (view, _, sql) in CASES.items()}
+ORACLE_SQL |= {name: f"SELECT ts, value FROM ({translation(view, {'value': formula})})" for name, (view, formula) in TRANSLATED.items()}
+ORACLE_SQL |= {"formula_spread_blocks": ORACLE_SQL["formula_spread"], "op_ema_blocks": ORACLE_SQL["op_ema"]}
+BATCH_SQL = translation("L", BATCH)
 ORACLE_SQL |= {"formula_batch_shared": BATCH_SQL, "formula_batch_blocks": BATCH_SQL}

@@ -5,31 +5,77 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewick.queries.bars_sql import E
-from tidewick.queries.formulas import CASES, CORE
+from tidewick.queries.formulas import CASES, CORE, translation
 from tidewick.queries.preparation import frame_e, stamp
+from tidewick.sources.bars import REFS, event_bars
 from tidewick.sources.shared import new_folder
 from tidewick.streaming import signals
 
 
 def finished(out, where: str, mode: str = "append"):
     """Runs a stream over what is there and returns what it wrote."""
-    q = out.writeStream.outputMode(mode).format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    spark = out.sparkSession
+    before = {k: spark.conf.get(k, None) for k in signals.STORE}
+    for k, v in signals.STORE.items():
+        spark.conf.set(k, v)
+    try:
+        q = out.writeStream.outputMode(mode).format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     q.awaitTermination()
-    return out.sparkSession.read.schema(out.schema).parquet(f"{where}/out")
+    return spark.read.schema(out.schema).parquet(f"{where}/out")
+
+
+def in_order(bars, where: str, files: int = 4) -> str:
+    """Writes bars as files of slices of time, the earliest first, and returns their folder. Ranges of time are sorted each on its own."""
+    lo, hi = bars.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts"))).first()
+    width = ((hi or 0) - (lo or 0)) // files + 1
+    for k in range(files):
+        bars.where(F.floor((F.unix_timestamp("ts") - F.lit(lo or 0)) / width) == k).coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(f"{where}/in")
+    return f"{where}/in"
+
+
+def streamed(spark, bars, where: str):
+    """The bars as a stream of one file at a time."""
+    return spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(in_order(bars, where))
+
+
+def stream_bars(spark, d):
+    return frame_e(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).drop("day", "session_mask")
 
 
 def stream_signal(spark, d):
-    """The bars are written in four files, in order, and read as a stream of one file at a time."""
     where = new_folder(spark, "stream")
-    bars = frame_e(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).drop("day", "session_mask")
-    bars = bars.repartition(1).sortWithinPartitions("ts")  # hourly bars: a few for each day
-    for k in range(4):
-        bars.where(F.floor(F.dayofmonth("ts") / 8) == k).write.mode("append").parquet(f"{where}/in")
-    source = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
-    out = finished(signals.stream_signal(source, CORE), where)
+    out = finished(signals.stream_signal(streamed(spark, stream_bars(spark, d), where), CORE), where)
     return out.select(stamp("ts").alias("ts"), F.round("signal", 6).alias("value"), "error")
 
 
+#: Every kind of node once, some of them inside each other.
+NODES = {
+    "fields": "sub(high(),low())", "reference": 'delta(ref("WDO"),2)', "lagged": "lag(ret(close(),2),3)", "mean": "rolling_mean(vwap(),13)", "spread": "rolling_std(delta(close(),1),21)",
+    "extremes": "sub(rolling_max(high(),8),rolling_min(low(),8))", "smooth": "ema(rolling_mean(close(),5),8)", "standard": "clip(zscore(close(),34),-2,2)", "rank": "rank_ts(volume(),21)",
+    "clock": 'and_(in_window("09:00","17:00"), gt(minutes_since_open(), const(120,"Time")))',
+}
+
+
+def stream_nodes(spark, d):
+    """The first hundred hours of the bars are history that fills the state; the others stream."""
+    where, bars = new_folder(spark, "stream"), stream_bars(spark, d)
+    begin = bars.agg(F.min("ts")).first()[0]
+    new = F.col("ts") > F.lit(begin) + F.expr("interval 100 hours")
+    out = finished(signals.stream_signals(streamed(spark, bars.where(new), where), NODES, bars.where(~new)), where)
+    return out.select(stamp("ts").alias("ts"), F.col("name").alias("formula"), F.when(F.round("value", 6) == 0, 0.0).otherwise(F.round("value", 6)).alias("value"))
+
+
+def stream_frame(spark, d):
+    """The bars of all symbols stream; each main bar waits for its references, then for its signal."""
+    where, b = new_folder(spark, "stream"), event_bars(spark, d)
+    b = b.withColumn("ts", F.col("ts").cast("timestamp"))
+    frame = finished(signals.stream_frame(streamed(spark, b, where), "WIN", REFS), where)
+    return frame.select(stamp("ts").alias("ts"), "series", *[F.round(c, 6).alias(c) for c in ("close", "high", "low", "volume", "ref_ES", "ref_WDO")])
+
+
 def stream_daily(spark, d):
     """The last day stays open: no later event moves the watermark past it."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
@@ -39,9 +85,11 @@ def stream_daily(spark, d):
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-QUERIES = {"stream_signal": stream_signal, "stream_daily": stream_daily}
+QUERIES = {f.__name__: f for f in (stream_signal, stream_nodes, stream_frame, stream_daily)}
 ORACLE_SQL = {
     "stream_signal": f"{E} SELECT ts, value, NULL::VARCHAR AS error FROM ({CASES['formula_spread'][2]})",
+    "stream_nodes": f"SELECT ts, formula, value FROM ({translation('E', NODES)}) WHERE ts::TIMESTAMP > (SELECT min(ts::TIMESTAMP) FROM ({translation('E', {'first': 'close()'})})) + INTERVAL 100 HOUR",
+    "stream_frame": f"{E} SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, 'WIN' AS series, {', '.join(f'round({c}, 6) AS {c}' for c in ('close', 'high', 'low', 'volume', 'ref_ES', 'ref_WDO'))} FROM b",
     "stream_daily": """WITH m AS (SELECT max(ts)::TIMESTAMP - INTERVAL 1 DAY AS mark FROM events)
 SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, m WHERE ts::DATE + INTERVAL 1 DAY <= mark GROUP BY 1, 2""",
 }
