@@ -1,6 +1,6 @@
 """Grouping of spelling variants: words that are one edit apart, and the form that each is a variant of.
 
-Words are counted over all texts. Positional grams tile every word, three at least, each of two to four letters. One edit
+Words are counted over all texts. Positional grams tile every word, three to eight, each of two to four letters in words of up to 32. One edit
 touches one of them, so of the m grams of the longer word the other has m - 1: as they stand before the edit, and at most one place further left behind it.
 This is the overlap bound. The index has a posting list for each set of m - 1 grams with their places and the
 length of the longer word; words enter it once by their own length and once by the next. A sort-merge join runs through the lists, and pairs that meet are
@@ -30,6 +30,8 @@ MIN_LETTERS = 6
 MIN_COUNT = 5
 #: A form occurs at least so many times as often as its variant.
 RATIO = 5
+#: Grams of a word of 24 letters and more; they grow longer with it.
+MOST_GRAMS = 8
 BLOCK = 8 << 20
 LONG_WORD = 64
 
@@ -142,7 +144,7 @@ def count_words(docs: DataFrame, rate: int = RATE, least: int = MIN_LETTERS) ->
 def postings(words: DataFrame, longer: int) -> DataFrame:
     """key, word, n: for each gram of a word one letter longer (or as long), the other grams, where they stand and that length."""
     size = F.char_length("word") + longer
-    m = F.greatest(F.lit(3), F.floor(size / 3)).cast("int")
+    m = F.least(F.greatest(F.lit(3), F.floor(size / 3)), F.lit(MOST_GRAMS)).cast("int")
     x = words.withColumns({"size": size, "m": m}).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     left = F.floor(F.col("c") * F.col("size") / F.col("m")).cast("int")
     right = F.floor((F.col("c") + 1) * F.col("size") / F.col("m")).cast("int") - longer  # as many letters less stand before it
@@ -177,7 +179,7 @@ def spelling_variants(docs: DataFrame, rate: int = RATE, least: int = MIN_LETTER
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/spelling-{uuid.uuid4().hex}"
     words = written(count_words(docs, rate, least).where(F.col("n") >= min_count), f"{folder}/words")
-    near = near_words(words)
+    near = written(near_words(words), f"{folder}/near")
     both = near.select(F.col("a").alias("word"), F.struct((-F.col("b_n")).alias("rank"), F.col("b").alias("near")).alias("x"))
     both = both.unionByName(near.select(F.col("b").alias("word"), F.struct((-F.col("a_n")).alias("rank"), F.col("a").alias("near")).alias("x")))
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min("x").alias("best"))
