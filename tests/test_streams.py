@@ -111,3 +111,73 @@ def test_a_single_window(spark, bars, tmp_path):
     one = {"lag": "lag(close(),1)", "rank": "rank_ts(close(),1)", "std": "rolling_std(close(),1)", "ema": "ema(close(),1)", "max": "rolling_max(close(),1)"}
     rows = finished(signals.stream_signals(source(spark, str(tmp_path / "in")), one), str(tmp_path / "run")).collect()
     same(rows, {k: v for k, v in batch(bars, one).items() if k[1].day <= 6})
+
+
+COSTS = {"point_value": 0.2, "tick_size": 5, "slippage_ticks": 1, "exchange_fee": 0.25, "brokerage": 0.0, "margin_per_contract": 155.0}
+
+
+def telemetry(spark, days, hypotheses=("h1", "h2"), kill=lambda h, d: float(d)):
+    rows = []
+    for h in hypotheses:
+        for d in days:
+            for m in range(4):
+                t = dt.datetime(2026, 2, d, 10, m)
+                rows.append((h, t.isoformat(), t, None, 1.5, "OPEN_LONG" if m == 1 else "REJECTED" if m == 2 and d % 2 else "NONE", 1 if m == 1 else 0, 100.0, None, 2.0 if m == 1 else None, "", 0, float(m + d), None, "spread", kill(h, d)))
+    schema = "hypothesis_id string, ts string, bar_time timestamp_ntz, signal double, threshold double, decision string, contracts int, ref_price double, fill_price double, slippage_ticks double, order_status string, position int, daily_pnl_points double, guard_blocked string, kill_metric_name string, kill_metric_value double"
+    return spark.createDataFrame(rows, schema)
+
+
+def held(c):
+    return [sorted(map(str, x.collect())) for x in (c.daily(), c.kills(), c.alerts())]
+
+
+def test_collector_writes_each_row_once(spark, tmp_path):
+    from tidewick.operators import monitor
+    from tidewick.sources import files as fl
+    from tidewick.streaming.collector import Collector
+
+    calendar = spark.createDataFrame([(dt.date(2026, 2, d), 4 if d < 6 else 5) for d in range(1, 12)], "day date, bars_expected int")
+    c = Collector(spark, str(tmp_path / "out"), calendar, COSTS, 1.0, 3, 4.0)
+    assert held(c) == [[], [], []]
+    every = telemetry(spark, range(1, 10))
+    for days in (range(1, 4), range(4, 7), range(7, 10)):  # a new query each time, from the same checkpoint
+        fl.write_telemetry(every.where(F.dayofmonth("bar_time").isin(*days)), str(tmp_path / "in"), ("hypothesis_id",), "append")
+        c.run(fl.stream_telemetry(spark, str(tmp_path / "in")), str(tmp_path / "state"))
+    whole = monitor.daily_summary(every.withColumn("day", F.to_date("bar_time")), calendar, COSTS)
+    kills = monitor.first_kills(monitor.kill_states(whole, 3, 4.0))
+    columns = c.daily().columns
+    assert held(c) == [sorted(map(str, x.collect())) for x in (whole.select(*columns), kills, monitor.alerts(whole, 1.0))]
+    assert c.kills().count() == 2 and c.alerts().where("reason = 'bars'").count() == 8
+    before = held(c)
+    # A batch is run again by force, with the rows that it had, then one with days that were collected before.
+    c.collect(every.where(F.dayofmonth("bar_time").between(4, 6)), 1)
+    assert held(c) == before
+    c.collect(telemetry(spark, range(1, 9), kill=lambda h, d: 99.0), 3)
+    assert held(c) == before
+
+
+def test_collector_after_a_crash_between_its_writes(spark, tmp_path, monkeypatch):
+    from tidewick.sources import files as fl
+    from tidewick.streaming.collector import Collector
+
+    calendar = spark.createDataFrame([(dt.date(2026, 2, 1), 4)], "day date, bars_expected int")
+    c = Collector(spark, str(tmp_path / "out"), calendar, COSTS, 1.0, 1, 0.5)
+    fl.write_telemetry(telemetry(spark, [1]), str(tmp_path / "in"), ("hypothesis_id",))
+    rows = lambda: fl.stream_telemetry(spark, str(tmp_path / "in"))
+    write, told = Collector.write, []
+
+    def broken(self, df, name, *a):
+        told.append(name)
+        if name == "kills":
+            raise RuntimeError("lost")
+        return write(self, df, name, *a)
+
+    monkeypatch.setattr(Collector, "write", broken)
+    with pytest.raises(Exception, match="lost"):
+        c.run(rows(), str(tmp_path / "state"))
+    assert told == ["daily", "alerts", "kills"] and c.daily().count() == 2 and c.kills().count() == 0
+    monkeypatch.setattr(Collector, "write", write)
+    c.run(rows(), str(tmp_path / "state"))
+    assert c.daily().count() == 2 and c.kills().count() == 2 and c.alerts().where("reason = 'rejections'").count() == 2
+    c.collect(telemetry(spark, []), 1)  # nothing came
+    assert c.daily().count() == 2

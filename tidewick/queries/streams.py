@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from tidewick.queries.bars_sql import E
 from tidewick.queries.formulas import CASES, CORE, translation
+from tidewick.queries.operations import COSTS, KILL_SQL, expected_bars, telemetry
 from tidewick.queries.preparation import frame_e, stamp
+from tidewick.sources import files
 from tidewick.sources.bars import REFS, event_bars
 from tidewick.sources.shared import new_folder
 from tidewick.streaming import signals
+from tidewick.streaming.collector import Collector
 
 
 def finished(out, where: str, mode: str = "append"):
@@ -76,6 +79,24 @@ def stream_frame(spark, d):
     return frame.select(stamp("ts").alias("ts"), "series", *[F.round(c, 6).alias(c) for c in ("close", "high", "low", "volume", "ref_ES", "ref_WDO")])
 
 
+def stream_collect(spark, d):
+    """Telemetry is written as files of a week each and collected as a stream: daily rows, kills and alerts, in long form."""
+    where, rows = new_folder(spark, "stream"), telemetry(spark, d)
+    begin = rows.agg(F.min("day")).first()[0]
+    lines = rows.withColumns({"ts": F.lpad(F.col("ts").cast("string"), 12, "0"), "threshold": F.lit(1.0), "ref_price": F.lit(0.0), "position": F.lit(0), "kill_metric_name": F.lit("value")})
+    lines = lines.withColumns({"signal": F.lit(None), "fill_price": F.lit(None), "week": F.floor(F.datediff("day", F.lit(begin)) / 7)})
+    weeks = (lines.agg(F.max("week")).first()[0] or 0) + 1
+    c = Collector(spark, f"{where}/out", expected_bars(rows), COSTS, 1.0, 5, 12.0)
+    for k in range(weeks):  # a file of each hypothesis for each week, and a micro-batch for each week
+        files.write_telemetry(lines.where(F.col("week") == k).repartition("hypothesis_id"), f"{where}/in", ("hypothesis_id",), "append")
+        c.run(files.stream_telemetry(spark, f"{where}/in"), f"{where}/state")
+    daily, kills, alerts = c.daily(), c.kills(), c.alerts()
+    out = daily.select(F.lit("daily").alias("kind"), "hypothesis_id", "day", F.lit(None).cast("string").alias("what"), "bars_recorded", "trades", "rejections", F.round("net_pnl_points", 6).alias("value"))
+    out = out.unionByName(kills.select(F.lit("kill").alias("kind"), "hypothesis_id", "day", F.round("value", 6).alias("value")), allowMissingColumns=True)
+    out = out.unionByName(alerts.select(F.lit("alert").alias("kind"), "hypothesis_id", "day", F.concat_ws(":", "alert", "reason").alias("what")), allowMissingColumns=True)
+    return out.withColumn("day", F.col("day").cast("string"))
+
+
 def stream_daily(spark, d):
     """The last day stays open: no later event moves the watermark past it."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
@@ -85,11 +106,17 @@ def stream_daily(spark, d):
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (stream_signal, stream_nodes, stream_frame, stream_daily)}
+QUERIES = {f.__name__: f for f in (stream_signal, stream_nodes, stream_frame, stream_collect, stream_daily)}
 ORACLE_SQL = {
     "stream_signal": f"{E} SELECT ts, value, NULL::VARCHAR AS error FROM ({CASES['formula_spread'][2]})",
     "stream_nodes": f"SELECT ts, formula, value FROM ({translation('E', NODES)}) WHERE ts::TIMESTAMP > (SELECT min(ts::TIMESTAMP) FROM ({translation('E', {'first': 'close()'})})) + INTERVAL 100 HOUR",
     "stream_frame": f"{E} SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, 'WIN' AS series, {', '.join(f'round({c}, 6) AS {c}' for c in ('close', 'high', 'low', 'volume', 'ref_ES', 'ref_WDO'))} FROM b",
+    "stream_collect": f"""{KILL_SQL}
+SELECT 'daily' AS kind, hypothesis_id, day::VARCHAR AS day, NULL::VARCHAR AS what, bars_recorded, trades, rejections, round(net_pnl_points, 6) AS value FROM dd
+UNION ALL SELECT 'kill', hypothesis_id, min(day)::VARCHAR, NULL, NULL, NULL, NULL, round(arg_min(value, day), 6) FROM ks WHERE state = 'DEAD' GROUP BY hypothesis_id
+UNION ALL SELECT 'alert', hypothesis_id, day::VARCHAR, what, NULL, NULL, NULL, NULL FROM (
+  SELECT hypothesis_id, day, unnest([CASE WHEN bars_recorded <> bars_expected THEN 'OPERATIONAL:bars' END, CASE WHEN rejections > 0 THEN 'OPERATIONAL:rejections' END, CASE WHEN strange THEN 'OPERATIONAL:guards' END,
+    CASE WHEN abs(slippage_ticks_avg - 1) / 1 > 0.3 THEN 'DIVERGENCE:slippage' END]) AS what FROM dd) WHERE what IS NOT NULL""",
     "stream_daily": """WITH m AS (SELECT max(ts)::TIMESTAMP - INTERVAL 1 DAY AS mark FROM events)
 SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, m WHERE ts::DATE + INTERVAL 1 DAY <= mark GROUP BY 1, 2""",
 }

@@ -76,12 +76,17 @@ def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
     return out.drop("_file")
 
 
-def stream_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    return typed_telemetry(spark.readStream.schema(TELEMETRY).option("header", True).csv(path))
+def stream_telemetry(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """Telemetry with hypothesis_id as a stream of the files below path/hypothesis_id=.., at most so many in a micro-batch."""
+    schema = T.StructType([*TELEMETRY.fields, T.StructField("hypothesis_id", T.StringType())])
+    reader = spark.readStream.schema(schema).option("header", True)
+    return typed_telemetry((reader.option("maxFilesPerTrigger", files) if files else reader).csv(path))
 
 
-def write_telemetry(rows: DataFrame, path: str) -> None:
-    rows.select(*[F.coalesce(F.col(f.name).cast("string"), F.lit("")).alias(f.name) for f in TELEMETRY]).write.mode("overwrite").csv(path, header=True)
+def write_telemetry(rows: DataFrame, path: str, by: tuple[str, ...] = (), mode: str = "overwrite") -> None:
+    """CSV with the exact header; `by` names columns beside it that become folders."""
+    text = rows.select(*[F.coalesce(F.col(f.name).cast("string"), F.lit("")).alias(f.name) for f in TELEMETRY], *by)
+    text.write.mode(mode).partitionBy(*by).csv(path, header=True)
 
 
 def load_costs(path: str) -> dict[str, float]:
