@@ -117,7 +117,7 @@ def move_lag(frame: DataFrame, symbol: str = "ES") -> DataFrame:
     w = Window.partitionBy("series").orderBy("ts")
     move = lambda c: F.signum(F.col(c) - F.lag(c).over(w))
     x = frame.withColumns({"_m": move("close"), "_q": move(f"ref_{symbol}")})
-    on = w.rowsBetween(0, Window.unboundedFollowing)
+    on = Window.partitionBy("series").orderBy(F.col("ts").desc()).rowsBetween(Window.unboundedPreceding, 0)  # from the last bar back, so that one pass does
     at = lambda sign: F.min(F.when(F.col("_m") == sign, F.col("ts"))).over(on)
     x = x.withColumn("_at", F.when(F.col("_q") > 0, at(1.0)).when(F.col("_q") < 0, at(-1.0)))
     ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))

@@ -15,16 +15,40 @@ from tidewick.functions.scalar import BUCKETS
 from tidewick.plans.formula import OPERATORS, SERIES, Constraints, Node, minutes
 
 #: Name, mechanism, typical payer, data, horizon in minutes, allowed and forbidden operators, session, available.
-CATALOGUE = [
-    ("INTERMERCADO_SP500", "atraso na transmissão de choque do S&P futuro", "market maker que alarga spread na incerteza e não repassa", "WIN ES", 2, 10, "zscore ret lag rolling_std sub mul in_window ref", "rank_ts", "10:30 16:30", True),
-    ("ABERTURA_E_GAP", "informação do overnight ainda não precificada", "quem precisa executar na abertura, independente do preço", "WIN", 5, 30, "zscore ret lag rolling_mean rolling_std sub gt in_window minutes_since_open", "rank_ts ref", "09:00 11:00", True),
-    ("REGIME_DE_VOL", "mudança de regime altera o comportamento do preço", "quem opera com parâmetro fixo através da mudança", "WIN", 20, 60, "zscore rolling_std ema ret div gt in_window clip", "rank_ts ref", "", True),
-    ("INTERMERCADO_DOLAR", "fluxo estrangeiro move o dólar antes do índice", "hedger local que precisa ajustar exposição", "WIN WDO", 5, 20, "zscore ret lag rolling_std sub mul in_window ref", "rank_ts", "09:00 17:00", True),
-    ("REVERSAO_HORARIA", "exagero em horários de baixa liquidez", "retail alavancado, liquidado em cascata", "WIN", 10, 40, "zscore ret rolling_mean rolling_std sub lt gt in_window minutes_since_open", "rank_ts ref", "", True),
-    ("LIQUIDEZ_E_HORARIO", "spread e profundidade variam previsivelmente ao longo do dia", "quem executa no horário errado por conveniência", "WIN", 5, 20, "zscore rolling_mean rolling_std div in_window minutes_since_open gt", "rank_ts ref", "", True),
-    ("ROLAGEM_DE_VENCIMENTO", "distorção de preço na virada do contrato", "quem rola tarde e paga o spread alargado", "WIN", 1440, 4320, "zscore ret lag rolling_mean sub gt", "rank_ts ref in_window", "", True),
-    ("FLUXO_DE_AGRESSAO", "desequilíbrio entre agressores de compra e venda", "market maker que não reprecifica a tempo", "WIN BOOK", 1, 5, "zscore div rolling_mean gt in_window", "rank_ts", "", False),
-]
+CATALOGUE = (
+    (
+        "INTERMERCADO_SP500", "atraso na transmissão de choque do S&P futuro", "market maker que alarga spread na incerteza e não repassa",
+        ("WIN", "ES"), 2, 10, ("zscore", "ret", "lag", "rolling_std", "sub", "mul", "in_window", "ref"), ("rank_ts",), ("10:30", "16:30"), True,
+    ),
+    (
+        "ABERTURA_E_GAP", "informação do overnight ainda não precificada", "quem precisa executar na abertura, independente do preço",
+        ("WIN",), 5, 30, ("zscore", "ret", "lag", "rolling_mean", "rolling_std", "sub", "gt", "in_window", "minutes_since_open"), ("rank_ts", "ref"), ("09:00", "11:00"), True,
+    ),
+    (
+        "REGIME_DE_VOL", "mudança de regime altera o comportamento do preço", "quem opera com parâmetro fixo através da mudança",
+        ("WIN",), 20, 60, ("zscore", "rolling_std", "ema", "ret", "div", "gt", "in_window", "clip"), ("rank_ts", "ref"), (), True,
+    ),
+    (
+        "INTERMERCADO_DOLAR", "fluxo estrangeiro move o dólar antes do índice", "hedger local que precisa ajustar exposição",
+        ("WIN", "WDO"), 5, 20, ("zscore", "ret", "lag", "rolling_std", "sub", "mul", "in_window", "ref"), ("rank_ts",), ("09:00", "17:00"), True,
+    ),
+    (
+        "REVERSAO_HORARIA", "exagero em horários de baixa liquidez", "retail alavancado, liquidado em cascata",
+        ("WIN",), 10, 40, ("zscore", "ret", "rolling_mean", "rolling_std", "sub", "lt", "gt", "in_window", "minutes_since_open"), ("rank_ts", "ref"), (), True,
+    ),
+    (
+        "LIQUIDEZ_E_HORARIO", "spread e profundidade variam previsivelmente ao longo do dia", "quem executa no horário errado por conveniência",
+        ("WIN",), 5, 20, ("zscore", "rolling_mean", "rolling_std", "div", "in_window", "minutes_since_open", "gt"), ("rank_ts", "ref"), (), True,
+    ),
+    (
+        "ROLAGEM_DE_VENCIMENTO", "distorção de preço na virada do contrato", "quem rola tarde e paga o spread alargado",
+        ("WIN",), 1440, 4320, ("zscore", "ret", "lag", "rolling_mean", "sub", "gt"), ("rank_ts", "ref", "in_window"), (), True,
+    ),
+    (
+        "FLUXO_DE_AGRESSAO", "desequilíbrio entre agressores de compra e venda", "market maker que não reprecifica a tempo",
+        ("WIN", "BOOK"), 1, 5, ("zscore", "div", "rolling_mean", "gt", "in_window"), ("rank_ts",), (), False,
+    ),
+)
 STARTERS = ("INTERMERCADO_SP500", "ABERTURA_E_GAP", "REGIME_DE_VOL")
 #: Kill metrics that can be measured.
 INSTRUMENTABLE = ("lag_ms", "spread_ticks", "realized_vol", "gap_overnight", "minutes_to_open", "ref_corr", "fill_ratio")
@@ -41,8 +65,7 @@ def families(spark: SparkSession, names: tuple[str, ...] | None = None) -> DataF
     names = tuple(known) if names is None else names
     if len(set(names)) != len(names) or any(n not in known for n in names):
         raise SettingError("unknown or repeated family")
-    words = lambda t: t.split()
-    rows = [(n, m, p, words(d), lo, hi, words(a), words(f), words(s) or None, ok, i) for i, (n, m, p, d, lo, hi, a, f, s, ok) in enumerate(known[n] for n in names)]
+    rows = [(n, m, p, d, lo, hi, a, f, s or None, ok, i) for i, (n, m, p, d, lo, hi, a, f, s, ok) in enumerate(known[n] for n in names)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -51,8 +74,8 @@ def catalogue_sha256(names: tuple[str, ...] | None = None) -> str:
     body = []
     for n, m, p, d, lo, hi, a, f, s, ok in CATALOGUE:
         if names is None or n in names:
-            upper = lambda t: sorted(x.upper() for x in t.split())
-            body.append({"name": n, "mechanism": m, "typical_payer": p, "data_needed": sorted(d.split()), "horizon_range": [lo, hi], "allowed_ops": upper(a), "forbidden_ops": upper(f), "session_hint": s.split() or None, "available": ok})
+            upper = lambda words: sorted(x.upper() for x in words)
+            body.append({"name": n, "mechanism": m, "typical_payer": p, "data_needed": sorted(d), "horizon_range": [lo, hi], "allowed_ops": upper(a), "forbidden_ops": upper(f), "session_hint": list(s) or None, "available": ok})
     return hashlib.sha256(json.dumps(body, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
 

@@ -20,20 +20,34 @@ METRIC_WORDS = ("sharpe", "pnl", "drawdown", "sortino", "kurtosis", "deflated")
 METRIC_FIELDS = ("test_id", "path_id", "n_trades", "gross_pnl_points", "cost_points", "net_pnl_points", "max_dd_points", "hit_rate", "avg_holding_s", "max_day_share", "active_days", "rejected_orders")
 
 
-def _accents() -> tuple[str, str]:
-    """Lower-case letters that decompose to an ASCII letter and marks."""
-    have, want = [], []
-    for code in range(0xC0, 0x1F00):
-        d = unicodedata.normalize("NFKD", chr(code))
-        if len(d) > 1 and d[0].isascii() and d[0].isalnum() and all(map(unicodedata.combining, d[1:])):
-            have.append(chr(code))
-            want.append(d[0])
-    return "".join(have), "".join(want)
+def _forms() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility form holds ASCII letters or digits: those that become one of them, what they become, and those that become more than one character.
+
+    Marks go, and so does what is neither; letters are lower-cased first, here as in the text.
+    """
+    have, want, longer = [], [], {}
+    for code in (*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F1AD), *range(0x1FBF0, 0x1FBFA)):
+        c = chr(code)
+        d = "".join(x for x in unicodedata.normalize("NFKD", c).lower() if not unicodedata.combining(x))
+        if c == d or not any(x.isascii() and x.isalnum() for x in d):
+            continue
+        if len(d) == 1:
+            have.append(c)
+            want.append(d)
+        else:
+            longer[c] = d
+    return "".join(have), "".join(want), longer
 
 
 def normalized(text: Column) -> Column:
-    """Lower case without accents; words of a-z and 0-9 joined by single spaces."""
-    plain = F.regexp_replace(F.translate(F.lower(text), *_accents()), "[\\u0300-\\u036f]", "")
+    """Lower case without accents, compatibility forms as what they stand for; words of a-z and 0-9 joined by single spaces."""
+    have, want, longer = _forms()
+    plain = F.translate(F.lower(text), have, want)
+    # Characters that stand for several are rare: a text without one is left alone, in another its characters are looked up one by one.
+    table = F.map_from_arrays(F.array(*map(F.lit, longer)), F.array(*map(F.lit, longer.values())))
+    spelled = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    plain = F.when(F.regexp_like(plain, F.lit("[" + "".join(longer) + "]")), spelled).otherwise(plain)
+    plain = F.regexp_replace(plain, "\\p{Mn}", "")
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 

@@ -10,13 +10,21 @@ A window over one series is one task: enough where series are many, and the bars
 look back to as well, evaluates blocks in parallel and drops the lent bars again. An ema needs all that came before: the
 innermost ones are solved first, in stretches (``ema_in_blocks``), and are columns to what stands around them. Values are
 the same. The bars are read once more to number them and once for each level of emas, so dear ones are best written first.
+
+A sliding frame aggregates its whole window again for each row. Windows longer than LINEAR rows are therefore put together from
+two running aggregates, whose cost doesn't depend on the window: rows are cut into chunks of its length, and every window is the end
+of one chunk and the begin of the next (``scan``). Ranks in such windows are kept in order while a chunk is gone through (``ranks``).
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import math
 from collections.abc import Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +34,9 @@ from tidewick.plans.formula import WINDOWED, MarketDataError, Node, check_shape,
 BY, AT, BLOCK, OWN, POS = "series", "ts", "_block", "_own", "_pos"
 SINCE_OPEN = Node("_since_open")  # its column, once it is there
 SERIES_KEY = (BY,)
+#: Rows of a window up to which a sliding frame is used.
+LINEAR = 256
+SCANNED = ("rolling_mean", "rolling_max", "rolling_min", "rolling_std", "zscore")
 
 
 def windowed(n: Node, x: Column, by: tuple[str, ...] = SERIES_KEY) -> Column:
@@ -72,6 +83,74 @@ def windowed(n: Node, x: Column, by: tuple[str, ...] = SERIES_KEY) -> Column:
     raise MarketDataError(op)
 
 
+def scan(df: DataFrame, nodes: Mapping[Node, tuple[str, str]], by: tuple[str, ...] = SERIES_KEY) -> DataFrame:
+    """df with the columns of windowed nodes (node -> input, output) that are in SCANNED, at a cost that doesn't grow with the windows.
+
+    A window of w rows ends in a chunk of w rows and begins in the one before. The running aggregates of a chunk from its first row on and
+    from its last row back hold both parts; counts add up, extremes are compared, means and squared deviations are merged, so nothing is
+    the difference of large sums.
+    """
+    order = Window.partitionBy(*by).orderBy(AT)
+    df = df.withColumn("_row", F.row_number().over(order) - 1)
+    helpers = ["_row"]
+    parts = {"n": F.count, "m": F.avg, "v": F.var_pop, "hi": F.max, "lo": F.min}
+    for w in sorted({n.args[1] for n in nodes}):
+        chunk = f"_chunk{w}"
+        df = df.withColumn(chunk, F.floor(F.col("_row") / w))
+        inside = Window.partitionBy(*by, chunk)
+        forth, back = (inside.orderBy(k).rowsBetween(Window.unboundedPreceding, 0) for k in (F.col(AT).asc(), F.col(AT).desc()))
+        inputs = {n: x for n, (x, _) in nodes.items() if n.args[1] == w}
+        some = dict.fromkeys(inputs.values())
+        df = df.withColumns({f"{x}_p{k}{w}": f(x).over(forth) for x in some for k, f in parts.items()})
+        df = df.withColumns({f"{x}_s{k}{w}": f(x).over(back) for x in some for k, f in parts.items()})
+        whole = F.col("_row") % w == w - 1  # the window is the chunk
+        df = df.withColumns({f"{x}_s{k}{w}": F.when(~whole, F.lag(f"{x}_s{k}{w}", w - 1).over(order)) for x in some for k in parts})
+        new = {}
+        for n, x in inputs.items():
+            p, q = ({k: F.col(f"{x}_{side}{k}{w}") for k in parts} for side in "ps")
+            pn, qn = p["n"], F.coalesce(q["n"], F.lit(0))
+            full = (pn + qn == w) & (F.col("_row") >= w - 1)
+            hi, lo = F.greatest(p["hi"], q["hi"]), F.least(p["lo"], q["lo"])
+            mean = F.when(qn > 0, (pn * p["m"] + qn * q["m"]) / w).otherwise(p["m"])
+            apart = F.when(qn > 0, qn * q["v"] + (p["m"] - q["m"]) * (p["m"] - q["m"]) * pn * qn / w).otherwise(0.0)
+            sd = F.when(hi == lo, 0.0).otherwise(F.sqrt((pn * p["v"] + apart) / (w - 1)))
+            value = {
+                "rolling_mean": lambda: mean, "rolling_max": lambda: hi, "rolling_min": lambda: lo, "rolling_std": lambda: sd,
+                "zscore": lambda: F.when(sd < s.GUARD, 0.0).otherwise(F.try_divide(F.col(x) - mean, sd)),
+            }[n.op]()
+            new[nodes[n][1]] = F.when(full, value)
+        df = df.withColumns(new).drop(chunk, *[f"{x}_{side}{k}{w}" for x in some for side in "ps" for k in parts])
+    return df.drop(*helpers)
+
+
+def ranks(df: DataFrame, n: Node, x: str, out: str, by: tuple[str, ...] = SERIES_KEY) -> DataFrame:
+    """df with the rank of x in the last rows of n, in out. A task holds two chunks of the window's length at a time: a chunk is gone through with its window kept in order."""
+    w = n.args[1]
+    df = df.withColumn("_row", F.row_number().over(Window.partitionBy(*by).orderBy(AT)) - 1)
+    keys = [*by, "_row"]
+    lent = df.select(*keys, F.col(x).cast("double").alias("x"), F.floor(F.col("_row") / w).alias("own")).withColumn("chunk", F.explode(F.array("own", F.col("own") + 1)))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_row")
+        v, own = table["x"].to_numpy(zero_copy_only=False), table["own"].to_numpy()
+        begin = int(np.searchsorted(own, table["chunk"][0].as_py()))
+        got, kept = np.full(len(v), np.nan), []
+        for i, a in enumerate(v):
+            if a == a:
+                bisect.insort(kept, a)
+            if i >= w and v[i - w] == v[i - w]:
+                del kept[bisect.bisect_left(kept, v[i - w])]
+            if i >= begin and len(kept) == w:
+                less = bisect.bisect_left(kept, a)
+                got[i] = 2.0 * (less + 0.5 * (bisect.bisect_right(kept, a) - less - 1)) / (w - 1) - 1.0
+        return table.select(keys).append_column(out, pa.array(got, from_pandas=True)).slice(begin)
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lent.select(*keys).schema)
+    found = lent.groupBy(*by, "chunk").applyInArrow(run, f"{types}, {out} double")
+    same = functools.reduce(Column.__and__, [df[k].eqNullSafe(found[k]) for k in keys])
+    return df.join(found, same, "left").select(*[df[c] for c in df.columns if c != "_row"], found[out])
+
+
 def stretch(w: int) -> int:
     """How many values g ** -i stays finite for, with g = 1 - 2 / (w + 1)."""
     return max(1, int(250 / -math.log10(1.0 - 2.0 / (w + 1))))
@@ -226,7 +305,13 @@ def staged(bars: DataFrame, trees: Mapping[str, Node], by: tuple[str, ...] = SER
         names = {n: f"_w{len(done) + j}" for j, n in enumerate(new)}
         inputs = {n: f"{names[n]}_x" for n in new if n.op != "minutes_since_open"}
         bars = bars.withColumns({inputs[n]: plain(n.args[0], done, columns) for n in inputs})
-        bars = bars.withColumns({names[n]: windowed(n, F.col(inputs[n]), by) if n in inputs else since_open() for n in new if n.op != "ema"})
+        long = [n for n in inputs if n.args[1] > LINEAR and n.op in (*SCANNED, "rank_ts")]
+        bars = bars.withColumns({names[n]: windowed(n, F.col(inputs[n]), by) if n in inputs else since_open() for n in new if n.op != "ema" and n not in long})
+        if scanned := {n: (inputs[n], names[n]) for n in long if n.op in SCANNED}:
+            bars = scan(bars, scanned, by)
+        for n in long:
+            if n.op == "rank_ts":
+                bars = ranks(bars, n, inputs[n], names[n], by)
         for n in new:
             if n.op == "ema":
                 bars = ema(bars, inputs[n], n.args[1], names[n])

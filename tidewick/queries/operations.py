@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewick.operators import ledger, monitor, robot, texts
+from tidewick.operators import ledger, monitor, research, robot, texts
 from tidewick.plans.compiler import evaluate
 from tidewick.functions.scalar import BUCKETS, for_duckdb
 from tidewick.operators.gate import sr_star_sql
@@ -250,8 +250,8 @@ def ledger_config_hash(spark, d):
     return t.select("n_nationkey", ledger.config_hash(F.sha2(F.col("n_name"), 256), F.sha2(F.col("n_nationkey").cast("string"), 256)).alias("config_hash"))
 
 
-FAMILIES = ("INTERMERCADO_SP500", "ABERTURA_E_GAP", "REGIME_DE_VOL", "INTERMERCADO_DOLAR", "REVERSAO_HORARIA", "LIQUIDEZ_E_HORARIO", "ROLAGEM_DE_VENCIMENTO", "FLUXO_DE_AGRESSAO")
-UNAVAILABLE = ("FLUXO_DE_AGRESSAO",)
+FAMILIES = tuple(r[0] for r in research.CATALOGUE)
+UNAVAILABLE = tuple(r[0] for r in research.CATALOGUE if not r[-1])
 
 
 def families(spark):
@@ -279,7 +279,7 @@ def bandit_reward(spark, d):
 
 HISTORY = f"""fm AS (SELECT unnest({list(FAMILIES)}) AS name, unnest(range(8))::INT AS place), rw AS (SELECT unnest({list(ledger.REWARDS)}) AS verdict, unnest({list(ledger.REWARDS.values())})::DOUBLE AS reward, unnest(range(9)) AS k),
 hy AS (SELECT fm.name, count(*) AS pulls, avg(reward) AS mean FROM events e JOIN fm ON fm.place = e.user_id % 8 JOIN rw ON rw.k = e.event_id % 9 WHERE user_id % 8 <> 4 GROUP BY 1),
-sc AS (SELECT fm.name, fm.place, coalesce(pulls, 0) AS pulls, sum(coalesce(pulls, 0)) OVER () AS total, mean FROM fm LEFT JOIN hy ON fm.name = hy.name WHERE fm.name <> 'FLUXO_DE_AGRESSAO'),
+sc AS (SELECT fm.name, fm.place, coalesce(pulls, 0) AS pulls, sum(coalesce(pulls, 0)) OVER () AS total, mean FROM fm LEFT JOIN hy ON fm.name = hy.name WHERE NOT list_contains({list(UNAVAILABLE)}, fm.name)),
 so AS (SELECT name, place, pulls, CASE WHEN pulls > 0 THEN mean + 0.8 * sqrt(ln(total / pulls)) END AS score FROM sc)"""
 HISTORY = HISTORY.replace("sqrt(ln(total / pulls))", "sqrt(ln(total) / pulls)")
 
