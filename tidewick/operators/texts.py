@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewick.functions.scalar import nearest_bucket
@@ -81,6 +81,24 @@ def holds_number(text: Column, forms: Column) -> Column:
     return F.exists(forms, lambda s: F.contains(text, s) & F.regexp_like(text, F.concat(F.lit("(?<![0-9.])"), F.regexp_replace(s, "\\.", "\\\\."), F.lit("(?![0-9])"))))
 
 
+def numbers_of(text: Column) -> Column:
+    """The distinct ways in which numbers of the text can be read: of each run of digits and points its first digits, with the point and the digits after it if there are some."""
+    runs = F.regexp_extract_all(text, F.lit(r"(?<![0-9.])([0-9]+(?:\.[0-9]*)?)"), F.lit(1))
+    whole = F.transform(runs, lambda r: F.regexp_replace(r, r"\..*$", ""))
+    return F.array_distinct(F.concat(runs, whole))
+
+
+def leaked_numbers(documents: DataFrame, metrics: DataFrame, key: str, metric: str) -> DataFrame:
+    """key, metric: which private numbers (metric, value) stand in which documents (key, text), each pair once.
+
+    Numbers are pulled from the texts and joined with the forms that a private number may take, so the work grows with the texts and not with
+    texts times numbers. A null text or number leaks nothing.
+    """
+    said = documents.select(key, F.explode(numbers_of(F.col("text"))).alias("form"))
+    forms = metrics.select(metric, F.explode(F.array_distinct(number_forms(F.col("value")))).alias("form"))
+    return said.join(forms, "form").select(key, metric).distinct()
+
+
 def route_gate(verdict: Column, attempt: Column, most: Column) -> Column:
     spent = attempt >= most
     return F.when(verdict == "ACCEPTED", "codegen").when(verdict == "FAILED_GATE", "abandon").when(verdict.isin("INSUFFICIENT_SAMPLE", "COST_DOMINATED", "UNSTABLE_ACROSS_FOLDS"), F.when(spent, "abandon").otherwise("retry"))

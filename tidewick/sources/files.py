@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,29 +26,52 @@ TELEMETRY = T.StructType([
 OPTIONAL = ("signal", "fill_price", "slippage_ticks", "kill_metric_value")
 
 
+#: Characters at the begin of a file that decide what separates its fields.
+SNIFFED = 4096
+
+
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, line: the lines of text files with their numbers, from 1, blank ones counted.
+
+    A file is read in splits. A line's number is its place in the split and the count of lines in the splits before, which is a row for each split.
+    """
+    x = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("at"))
+    splits = x.groupBy("file", "begin").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return x.join(splits.withColumn("before", before), ["file", "begin"]).select("value", "file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"))
+
+
 def read_market_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Bars ts, open, high, low, close, tick_volume, real_volume of a CSV or TSV file; ts is the bar's end, a minute after the file's time."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    head = lines.select(F.regexp_replace("value", "^﻿", "").alias("v")).first()
-    if head is None:
+    """Bars ts, open, high, low, close, tick_volume, real_volume of a CSV or TSV file; ts is the bar's end, a minute after the file's time.
+
+    A field that is no time or no finite number is refused, with the number of its line; so is a line with too few fields. Columns that the file lacks are 0.
+    """
+    lines = numbered(spark, path).where("trim(value) <> ''").withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+    head = lines.orderBy("line").limit(64).collect()  # enough for the characters that decide
+    if not head:
         raise MarketDataError(f"{path} is empty")
-    sep = "\t" if head.v.count("\t") >= head.v.count(",") else ","
-    names = [re.sub(r"[^a-z_]", "", x.lower()) for x in head.v.split(sep)]
-    raw = spark.read.csv(path, sep=sep, header=True, schema=T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]), enforceSchema=True)
-    col = {ours: F.col(f"c{names.index(a)}") for ours, known in ALIASES.items() for a in known if a in names}
-    if "close" not in col or not ("datetime" in col or "date" in col):
+    start = "\n".join(r.value for r in head)[:SNIFFED]
+    sep = max("\t,;", key=start.count)
+    names = [re.sub(r"[^a-z_]", "", x.lower()) for x in head[0].value.split(sep)]
+    place = {ours: names.index(a) for ours, known in ALIASES.items() for a in known if a in names}
+    if "close" not in place or not ("datetime" in place or "date" in place):
         raise MarketDataError(f"{path} lacks a time or close column")
-    text = col["datetime"] if "datetime" in col else F.concat_ws(" ", col["date"], col.get("time", F.lit("00:00")))
-    text = F.regexp_replace(F.trim(text), r"[./]", "-")
+    fields = F.split("value", re.escape(sep))
+    field = lambda c: F.trim(F.get(fields, F.lit(place[c])))
+    text = field("datetime") if "datetime" in place else F.concat_ws(" ", field("date"), field("time") if "time" in place else F.lit("00:00"))
+    text = F.regexp_replace(text, r"[./]", "-")
     ts = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss")]).cast("timestamp_ntz")
-    number = lambda c: F.expr("0.0D") if c not in col else col[c].try_cast("double")
-    out = raw.select((ts + F.expr("INTERVAL 1 MINUTE")).alias("ts"), *[number(c).alias(c) for c in ("open", "high", "low", "close", "tick_volume", "real_volume")], F.monotonically_increasing_id().alias("_line"))
-    bad = out.where(F.col("ts").isNull() | F.col("close").isNull()).orderBy("_line").first()
-    if bad is not None:
-        raise MarketDataError(f"{path}: a row near {bad.ts or bad._line} can't be read")
-    if out.isEmpty():
+    number = {c: field(c).try_cast("double") for c in ("open", "high", "low", "close", "tick_volume", "real_volume") if c in place}
+    rows = lines.where(F.col("line") > head[0].line).select("line", (ts + F.expr("INTERVAL 1 MINUTE")).alias("ts"), *[v.alias(c) for c, v in number.items()])
+    wrong = F.when(F.col("ts").isNull(), "time")
+    for c in number:
+        wrong = F.coalesce(wrong, F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")), c))
+    found = rows.withColumn("wrong", wrong).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("wrong").isNotNull(), F.struct("line", "wrong"))).alias("bad")).first()
+    if found.bad is not None:
+        raise MarketDataError(f"{path}: line {found.bad.line}: no {found.bad.wrong} can be read")
+    if not found.n:
         raise MarketDataError(f"{path} has no rows")
-    return out.drop("_line")
+    return rows.select("ts", *[F.col(c) if c in number else F.lit(0.0).alias(c) for c in ("open", "high", "low", "close", "tick_volume", "real_volume")])
 
 
 def write_calendar(calendar: DataFrame, path: str) -> None:
@@ -67,8 +90,6 @@ def typed_telemetry(raw: DataFrame) -> DataFrame:
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
     """Batch read; the header must be exact and bar_time must increase."""
-    from pyspark.sql import Window
-
     out = typed_telemetry(spark.read.csv(path, header=True, schema=TELEMETRY, enforceSchema=False)).withColumn("_file", F.input_file_name())
     before = F.lag("bar_time").over(Window.partitionBy("_file").orderBy(F.monotonically_increasing_id()))
     if not out.withColumn("_b", before).where("bar_time <= _b").isEmpty():
