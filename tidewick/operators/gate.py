@@ -99,42 +99,40 @@ def collapse(rows: DataFrame, limits: dict = LIMITS) -> DataFrame:
     return rows.withColumn("verdict", v)
 
 
-def overfitting(perf: DataFrame, n_blocks: int = 16) -> DataFrame:
-    """pbo, combinations: of perf (t, config, value), how often the best configuration in one half of the blocks is in the lower half of the other.
+def overfitting(perf: DataFrame, n_blocks: int = 16, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, pbo, combinations: of perf (by, t, config, value), how often the best configuration in one half of the blocks is in the lower half of the other.
 
     Each (block, config) is reduced to count, mean and squared deviations once; halves merge those, so the work beyond the
-    first aggregation depends on blocks and configurations only.
+    first aggregation depends on blocks and configurations only. All groups of `by` are worked on together.
     """
     if n_blocks < 2 or n_blocks % 2:
         raise StatisticsError("blocks must be even")
-    spark = perf.sparkSession
-    size = perf.agg(F.countDistinct("t").alias("n"), F.min("t").alias("t0"))
-    place = perf.select("t").distinct().withColumn("day", F.floor(F.col("t") / 1024)).persist()
+    spark, by = perf.sparkSession, list(by)
+    place = perf.select(*by, "t").distinct().withColumn("day", F.floor(F.col("t") / 1024))
     # the ordinal of t: offsets of chunks of t, then the place within the chunk
-    chunk = place.groupBy("day").agg(F.count(F.lit(1)).alias("c"))
-    chunk = chunk.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    index = place.join(chunk, "day").withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("day").orderBy("t")) - 1)
-    n = F.broadcast(size)  # one row
-    index = index.join(n).select("t", "i", "n")
+    chunk = place.groupBy(*by, "day").agg(F.count(F.lit(1)).alias("c"))
+    whole = Window.partitionBy(*by)
+    chunk = chunk.withColumns({"before": F.coalesce(F.sum("c").over(whole.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("c").over(whole)})
+    index = place.join(chunk, [*by, "day"]).withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy(*by, "day").orderBy("t")) - 1)
     base, extra = F.floor(F.col("n") / n_blocks), F.col("n") % n_blocks
     wide = extra * (base + 1)
     block = F.when(F.col("i") < wide, F.floor(F.col("i") / (base + 1))).otherwise(extra + F.floor((F.col("i") - wide) / F.greatest(base, F.lit(1))))
-    stats = perf.join(index.select("t", block.cast("int").alias("block")), "t").groupBy("block", "config").agg(
+    stats = perf.join(index.select(*by, "t", block.cast("int").alias("block")), [*by, "t"]).groupBy(*by, "block", "config").agg(
         F.count("value").alias("c"), F.avg("value").alias("m"), F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("v")
     )
     halves = list(combinations(range(n_blocks), n_blocks // 2))
     member = spark.createDataFrame([(k, b, int(b in set(h))) for k, h in enumerate(halves) for b in range(n_blocks)], "combo int, block int, inside int")
     side = stats.join(F.broadcast(member), "block")  # as many rows as halves times blocks, whatever the data
-    side = side.groupBy("combo", "config", "inside").agg(F.sum("c").alias("c"), (F.sum(F.col("c") * F.col("m")) / F.sum("c")).alias("m"), F.collect_list(F.struct("c", "m", "v")).alias("parts"))
+    side = side.groupBy(*by, "combo", "config", "inside").agg(F.sum("c").alias("c"), (F.sum(F.col("c") * F.col("m")) / F.sum("c")).alias("m"), F.collect_list(F.struct("c", "m", "v")).alias("parts"))
     m2 = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["c"] * p["v"] + p["c"] * (p["m"] - F.col("m")) * (p["m"] - F.col("m")))
     side = side.withColumn("sd", F.sqrt(m2 / (F.col("c") - 1)))
     side = side.withColumn("sharpe", F.when(F.col("sd") > 1e-12, F.col("m") / F.col("sd")).otherwise(0.0)).withColumn("sharpe", F.round("sharpe", 12))
-    best = side.where("inside = 1").groupBy("combo").agg(F.max(F.struct("sharpe", -F.col("config"))).alias("b"), F.count(F.lit(1)).alias("configs"))
-    best = best.select("combo", (-F.col("b").getField("col2")).alias("config"), "configs")
-    w = Window.partitionBy("combo")
-    rank = side.where("inside = 0").withColumn("r", F.rank().over(w.orderBy("sharpe"))).withColumn("r", F.col("r") + (F.count(F.lit(1)).over(Window.partitionBy("combo", "sharpe")) - 1) / 2.0)
-    omega = rank.join(best, ["combo", "config"]).withColumn("omega", F.col("r") / (F.col("configs") + 1))
-    return omega.agg(F.avg((F.col("omega") <= 0.5).cast("double")).alias("pbo"), F.count(F.lit(1)).alias("combinations"))
+    best = side.where("inside = 1").groupBy(*by, "combo").agg(F.max(F.struct("sharpe", -F.col("config"))).alias("b"), F.count(F.lit(1)).alias("configs"))
+    best = best.select(*by, "combo", (-F.col("b").getField("col2")).alias("config"), "configs")
+    w = Window.partitionBy(*by, "combo")
+    rank = side.where("inside = 0").withColumn("r", F.rank().over(w.orderBy("sharpe"))).withColumn("r", F.col("r") + (F.count(F.lit(1)).over(Window.partitionBy(*by, "combo", "sharpe")) - 1) / 2.0)
+    omega = rank.join(best, [*by, "combo", "config"]).withColumn("omega", F.col("r") / (F.col("configs") + 1))
+    return omega.groupBy(*by).agg(F.avg((F.col("omega") <= 0.5).cast("double")).alias("pbo"), F.count(F.lit(1)).alias("combinations"))
 
 
 def judge(nets: DataFrame, key: str) -> DataFrame:
@@ -176,23 +174,3 @@ def round_trip_points(costs: dict, factor: float = 1.0) -> float:
 
 def fees(costs: dict, contracts: Column, sides: int = 2, factor: float = 1.0) -> Column:
     return contracts * F.lit(float(sides * factor * (costs["exchange_fee"] + costs["brokerage"])))
-
-
-def noise_trades(spark, strategies: int = 1000, paths: int = 28, trades: int = 12) -> DataFrame:
-    """Trades of strategies without any edge, from arithmetic on their numbers: trial, path_id, day, seq, gross, cost, holding_s."""
-    i = spark.range(strategies * paths * trades)
-    n = F.col("id")
-    trial, path, k = F.floor(n / (paths * trades)), F.floor(n / trades) % paths, n % trades
-    mixed = ((trial * 7919 + path * 104729 + k * 1299709 + trial * path * 31 + path * k * 17) % 10007).cast("double")
-    return i.select(
-        trial.alias("trial"), path.cast("int").alias("path_id"), F.date_add(F.lit("2026-01-01").cast("date"), (path * trades + k).cast("int")).alias("day"), k.alias("seq"),
-        (mixed / 10007.0 - 0.5).alias("gross"), F.lit(0.01).alias("cost"), F.lit(60.0).alias("holding_s"),
-    )
-
-
-def calibration(folds: DataFrame, limits: dict) -> DataFrame:
-    """verdict, n: what the gate says of worthless strategies."""
-    rows = aggregate_folds(folds, ["trial"])
-    rows = rows.withColumn("star", F.lit(sr_star(0.001, 3000)))
-    rows = deflated_sharpe(rows, "sr", "star", "n_obs", "skew", "kurtosis").withColumns({"pbo": F.lit(0.0), "robust": F.lit(True)})
-    return collapse(rows, limits).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))

@@ -182,8 +182,8 @@ def node_sql(n: Node, c: list[str]) -> str:
             return truth(f"{c[0]} <> 0 {'AND' if n.op == 'and_' else 'OR'} {c[1]} <> 0")
 
 
-def translation(view: str, formulas: dict[str, str], more: str = "") -> str:
-    """SQL of formulas over a view's bars: ts, formula, value. One stage for each depth, each subtree once."""
+def translation(view: str, formulas: dict[str, str], digits: int | None = 6) -> str:
+    """SQL of formulas over a view's bars: ts, formula, value (rounded to digits, None: as it is). One stage for each depth, each subtree once."""
     trees = {k: parse(t) for k, t in formulas.items()}
     column: dict[str, str] = {}
     stages: dict[int, list[str]] = {}
@@ -197,9 +197,9 @@ def translation(view: str, formulas: dict[str, str], more: str = "") -> str:
     for d in sorted(stages):
         ctes.append(f"d{d} AS MATERIALIZED (SELECT *, {', '.join(stages[d])} FROM {at})")
         at = f"d{d}"
-    number = lambda x: f"CASE WHEN round({x}, 6) = 0 THEN 0.0::DOUBLE ELSE round({x}, 6) END"  # noqa: E731  no -0.0
+    number = lambda x: x if digits is None else f"CASE WHEN round({x}, {digits}) = 0 THEN 0.0::DOUBLE ELSE round({x}, {digits}) END"  # noqa: E731  no -0.0
     rows = " UNION ALL ".join(f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, '{k}' AS formula, {number(column[str(t)])} AS value FROM {at}" for k, t in trees.items())
-    return f"{L if view == 'L' else E}, {', '.join(ctes)}{more} {rows}"
+    return f"{L if view == 'L' else E}, {', '.join(ctes)} {rows}"
 
 
 QUERIES = {name: value_of(view, formula) for name, (view, formula, _) in CASES.items()} | {name: value_of(view, formula) for name, (view, formula) in TRANSLATED.items()} | {

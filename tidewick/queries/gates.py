@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tidewick.functions.scalar import for_duckdb, normal_cdf
 from tidewick.operators import cross_validation as cv
-from tidewick.operators import gate, prep, robot, robustness
+from tidewick.operators import calibration, gate, prep, robot, robustness
 from tidewick.queries.bars_sql import E
-from tidewick.queries.formulas import z
+from tidewick.queries.formulas import translation, z
 from tidewick.queries.preparation import frame_e, stamp
 
 TRADES_SQL = """
@@ -255,24 +255,37 @@ def gate_costs(spark, d):
     )
 
 
-SMALL = {**gate.LIMITS, "min_total_trades": 5, "min_trades_per_path": 5, "min_active_days": 5}
+#: A thousand strategies over the hourly bars, whose prices have no memory; limits for a month of data.
+SIGNALS = {f"{op}_{column}_{w}": f"zscore({op}({column}(),2),{w})" for op in ("ret", "delta", "rolling_mean", "rolling_std", "lag") for column in ("close",) for w in (8, 13, 21, 34, 55)}
+GRID = calibration.settings((0.8, 1.2, 1.6, 2.0), (1, -1), (1, 2, 3, 5, 8))
+NOISE_COST, NOISE_TICK = 0.5, 0.5
+SMALL = {**gate.LIMITS, "min_total_trades": 10, "min_trades_per_path": 2, "min_active_days": 3, "max_trade_concentration": 0.7}
 
 
 def gate_calibration(spark, d):
-    """1,000 strategies of noise through the gate with limits for short samples."""
-    folds_ = gate.fold_metrics(gate.noise_trades(spark), ["trial", "path_id"])
-    return gate.calibration(folds_, SMALL)
+    """What the gate says of strategies over the given bars."""
+    found = calibration.verdicts(frame_e(spark, d), SIGNALS, GRID, NOISE_COST, NOISE_TICK, SMALL)
+    return calibration.rates(found).withColumn("share", F.round("share", 6))
 
 
-CALIBRATION_SQL = f"""
-t AS MATERIALIZED (
-  SELECT trial, path_id, k, ((trial * 7919 + path_id * 104729 + k * 1299709 + trial * path_id * 31 + path_id * k * 17) % 10007) / 10007.0::DOUBLE - 0.5 AS gross, 0.01::DOUBLE AS cost
-  FROM (SELECT i // 336 AS trial, (i // 12) % 28 AS path_id, i % 12 AS k FROM range(336000) r(i))
-), x AS (SELECT *, gross - cost AS net, avg(gross - cost) OVER (PARTITION BY trial, path_id) AS m FROM t),
-folds AS MATERIALIZED (
-  SELECT trial, path_id, count(*) AS n_trades, sum(gross) AS gross_pnl_points, sum(cost) AS cost_points, sum(net) AS net_pnl_points, avg(net) / stddev_samp(net) * {math.sqrt(252.0)!r} AS sharpe,
-    avg((net - m) ** 3) / pow(avg((net - m) ** 2), 1.5) AS skew, avg((net - m) ** 4) / pow(avg((net - m) ** 2), 2) AS kurtosis, count(*) AS active_days, 1.0 / count(*) AS max_day_share FROM x GROUP BY 1, 2
-)"""
+def gate_pbo_groups(spark, d):
+    """The overfitting probability of the configurations of each line status."""
+    t = spark.read.parquet(f"{d}/lineitem.parquet")
+    perf = t.groupBy("l_linestatus", F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date")).cast("long").alias("t"), (F.col("l_suppkey") % 8).cast("int").alias("config"))
+    perf = perf.agg(F.round(F.sum((F.col("l_discount") - 0.05) * F.col("l_quantity")), 6).alias("value"))
+    return gate.overfitting(perf, 6, ("l_linestatus",)).withColumn("pbo", F.round("pbo", 6))
+
+
+def grouped_halves(key: str) -> str:
+    """HALVES_SQL over p (key, t, config, value), for each key."""
+    return f"""
+i AS (SELECT {key}, t, row_number() OVER (PARTITION BY {key} ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY {key}) AS n FROM (SELECT DISTINCT {key}, t FROM p)),
+k AS (SELECT {key}, t, CASE WHEN i < (n % 6) * (n // 6 + 1) THEN i // (n // 6 + 1) ELSE n % 6 + (i - (n % 6) * (n // 6 + 1)) // (n // 6) END AS block FROM i),
+c AS (SELECT m FROM range(64) r(m) WHERE bit_count(m::INT) = 3),
+s AS (SELECT p.{key}, c.m, config, (c.m >> block::INT) & 1 AS inside, round(CASE WHEN stddev_samp(value) > 1e-12 THEN avg(value) / stddev_samp(value) ELSE 0 END, 12) AS sharpe FROM p JOIN k ON k.{key} = p.{key} AND k.t = p.t, c GROUP BY 1, 2, 3, 4),
+best AS (SELECT {key}, m, arg_max(config, row(sharpe, -config)) AS config, count(*) AS configs FROM s WHERE inside = 1 GROUP BY 1, 2),
+r AS (SELECT {key}, m, config, rank() OVER (PARTITION BY {key}, m ORDER BY sharpe) + (count(*) OVER (PARTITION BY {key}, m, sharpe) - 1) / 2 AS r FROM s WHERE inside = 0),
+pbo AS (SELECT r.{key}, avg((r.r / (configs + 1) <= 0.5)::INT) AS pbo, count(*) AS combinations FROM r JOIN best ON r.{key} = best.{key} AND r.m = best.m AND r.config = best.config GROUP BY 1)"""
 
 
 def cpcv_partitions(spark, d):
@@ -304,7 +317,7 @@ rl AS (SELECT pt.path_id, s.ts, CASE WHEN s.grp IN (pt.a, pt.c) THEN 'test'
 QUERIES = {
     f.__name__: f
     for f in (
-        sim_fold_metrics, gate_aggregate, gate_aggregate_paths, gate_sr_star, gate_dsr, gate_var_sr, gate_pbo, gate_reruns, gate_robustness, gate_collapse, gate_validate_outcome, gate_costs, gate_calibration,
+        sim_fold_metrics, gate_aggregate, gate_aggregate_paths, gate_sr_star, gate_dsr, gate_var_sr, gate_pbo, gate_reruns, gate_robustness, gate_collapse, gate_validate_outcome, gate_costs, gate_calibration, gate_pbo_groups,
         cpcv_partitions, cpcv_purge_embargo, cpcv_roles,
     )
 }
@@ -331,5 +344,38 @@ ORACLE_SQL = {
     "cpcv_purge_embargo": f"{ROLES_SQL} SELECT path_id, role, count(*) AS samples FROM rl GROUP BY 1, 2",
     "cpcv_roles": f"{ROLES_SQL} SELECT path_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, role FROM rl",
 }
-ORACLE_SQL["gate_calibration"] = f"""WITH {CALIBRATION_SQL}, {ROWS_SQL.replace(FOLDS_SQL + ",", "")}, {DSR_SQL}
-SELECT CASE WHEN gross_points <= cost_points THEN 'COST_DOMINATED' WHEN sign_flip_frac > 0.3 THEN 'UNSTABLE_ACROSS_FOLDS' WHEN dsr < 0.95 THEN 'FAILED_GATE' ELSE 'ACCEPTED' END AS verdict, count(*) AS n FROM ds GROUP BY 1"""
+ORACLE_SQL["gate_pbo_groups"] = f"""WITH p AS (SELECT l_linestatus, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS t, (l_suppkey % 8)::INT AS config, round(sum((l_discount - 0.05) * l_quantity), 6) AS value FROM lineitem GROUP BY 1, 2, 3),
+{grouped_halves('l_linestatus')} SELECT l_linestatus, round(pbo, 6) AS pbo, combinations FROM pbo"""
+
+
+def calibration_sql() -> str:
+    """Every cut but the reruns: what passes all others here would be ACCEPTED, and nothing does on bars of this kind."""
+    x = SMALL
+    grid = ", ".join(f"({s.config}, {s.threshold}, {s.direction}, {s.hold})" for s in GRID)
+    folds = """fo AS (SELECT t.name, t.config, pg.path_id, t.day, t.ts, t.gross, 0.5 AS cost, t.gross - 0.5 AS net FROM t JOIN dg ON dg.day = t.day JOIN pg ON pg.grp = dg.grp),
+fm AS (SELECT *, avg(net) OVER w AS m, count(*) OVER (PARTITION BY name, config, path_id, day) AS n_day FROM fo WINDOW w AS (PARTITION BY name, config, path_id)),
+folds AS MATERIALIZED (
+  SELECT name, config, path_id, count(*) AS n_trades, sum(gross) AS gross_pnl_points, sum(cost) AS cost_points, sum(net) AS net_pnl_points,
+    CASE WHEN stddev_samp(net) > 1e-12 THEN avg(net) / stddev_samp(net) * {root} ELSE 0 END AS sharpe, CASE WHEN avg((net - m) ** 2) <= 1e-24 THEN 0.0 ELSE avg((net - m) ** 3) / pow(avg((net - m) ** 2), 1.5) END AS skew,
+    CASE WHEN avg((net - m) ** 2) <= 1e-24 THEN 3.0 ELSE avg((net - m) ** 4) / pow(avg((net - m) ** 2), 2) END AS kurtosis, count(DISTINCT day) AS active_days, max(n_day) / count(*) AS max_day_share FROM fm GROUP BY 1, 2, 3)""".format(root=repr(math.sqrt(252.0)))
+    leads = ", ".join(f"lead(close, {h}) OVER (ORDER BY ts) AS x{h}" for h in sorted({s.hold for s in GRID}))
+    ahead = "CASE hold " + " ".join(f"WHEN {h} THEN x{h}" for h in sorted({s.hold for s in GRID})) + " END"
+    return f"""{GROUPS_SQL}, v AS MATERIALIZED (SELECT q.ts::TIMESTAMP AS ts, q.formula AS name, q.value FROM ({translation('E', SIGNALS, digits=None)}) q WHERE q.value IS NOT NULL),
+ld AS (SELECT ts, day, close, {leads} FROM b), gd AS (SELECT * FROM (VALUES {grid}) g(config, threshold, direction, hold)),
+t AS MATERIALIZED (SELECT name, config, day, ts, (e - close) * sign(value) * direction AS gross FROM (SELECT v.name, gd.config, ld.day, v.ts, ld.close, v.value, gd.direction, {ahead} AS e FROM v JOIN ld ON ld.ts = v.ts JOIN gd ON abs(v.value) > gd.threshold) WHERE e IS NOT NULL),
+{folds}, md AS (SELECT name, config, median(net_pnl_points) AS net FROM folds GROUP BY 1, 2),
+g AS MATERIALIZED (
+  SELECT f.name, f.config, floor(median(n_trades))::BIGINT AS total_trades, min(n_trades) AS min_path_trades, floor(median(active_days))::BIGINT AS active_days, max(max_day_share) AS max_day_share, sum(gross_pnl_points) AS gross_points, sum(cost_points) AS cost_points,
+    avg((net_pnl_points * (CASE WHEN md.net >= 0 THEN 1 ELSE -1 END) < 0)::INT) AS sign_flip_frac, median(sharpe) / {math.sqrt(252.0)!r} AS sr, median(skew) AS skew, median(kurtosis) AS kurtosis, greatest(floor(median(n_trades))::BIGINT, 2) AS n_obs
+  FROM folds f JOIN md ON md.name = f.name AND md.config = f.config GROUP BY 1, 2),
+p AS (SELECT q.name, date_diff('day', DATE '1970-01-01', dg.day) AS t, q.config, round(coalesce(n.net, 0), 6) AS value FROM (SELECT DISTINCT name, config FROM t) q CROSS JOIN dg
+  LEFT JOIN (SELECT name, config, day, sum(gross - 0.5) AS net FROM t GROUP BY 1, 2, 3) n ON n.name = q.name AND n.config = q.config AND n.day = dg.day),
+{grouped_halves('name')}, vs AS (SELECT var_samp(sr) AS var_sr, count(*) AS trials FROM g), sz AS (SELECT {for_duckdb(gate.sr_star_sql('var_sr', 'trials'))} AS star FROM (SELECT var_sr, trials::DOUBLE AS trials FROM vs)),
+dz AS (SELECT g.*, pbo.pbo, CASE WHEN 1 - skew * sr + (kurtosis - 1) / 4 * sr * sr > 0 THEN (sr - star) * sqrt(n_obs - 1) / sqrt(1 - skew * sr + (kurtosis - 1) / 4 * sr * sr) END AS z FROM g JOIN pbo ON pbo.name = g.name, sz),
+ds AS (SELECT *, CASE WHEN z IS NOT NULL THEN {for_duckdb(normal_cdf('z'))} END AS dsr FROM dz),
+vd AS (SELECT CASE WHEN total_trades < {x['min_total_trades']} OR min_path_trades < {x['min_trades_per_path']} OR active_days < {x['min_active_days']} OR max_day_share > {x['max_trade_concentration']} THEN 'INSUFFICIENT_SAMPLE'
+  WHEN gross_points <= cost_points THEN 'COST_DOMINATED' WHEN sign_flip_frac > 0.3 THEN 'UNSTABLE_ACROSS_FOLDS' WHEN pbo > 0.2 OR dsr < 0.95 THEN 'FAILED_GATE' ELSE 'ACCEPTED' END AS verdict FROM ds)
+SELECT verdict, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM vd GROUP BY 1"""
+
+
+ORACLE_SQL["gate_calibration"] = calibration_sql()
