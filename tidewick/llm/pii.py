@@ -2,7 +2,7 @@
 
 ``base_spans`` gives the four fixed kinds. ``extra_spans`` adds bank accounts
 (mod-97), short payment cards (Luhn), local phone numbers, social security
-numbers and secrets (keys and tokens of mixed characters). Every proposal, of the
+numbers and secrets (keys by their issuer's form, private keys in PEM lines, values of passwords, and near a context word tokens of mixed characters). Every proposal, of the
 base kinds too, has a score: it starts from the prior of its pattern, moves when
 the check of its kind holds or fails, and rises when a context word stands near.
 Added spans are reported from ``threshold``; base ones always.
@@ -44,7 +44,15 @@ IBAN_LENGTHS = {c: int(n) for n, cs in (x.split(":") for x in (
 ).split()) for c in cs.split(",")}
 LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,512}={0,2}(?![A-Za-z0-9_+/=-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}+(?![A-Za-z0-9_+/=-])")
+#: How issuers begin their keys, and what follows.
+ISSUED = re.compile(
+    r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{16,}+|github_pat_[A-Za-z0-9_]{20,}+|glpat-[A-Za-z0-9_-]{16,}+|npm_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{30,}+"
+    r"|sk-[A-Za-z0-9_-]{16,}+|[rs]k_(?:live|test)_[A-Za-z0-9]{10,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|SG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"
+)
+PEM_BEGIN, PEM_END = re.compile(r"-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----"), re.compile(r"-----END (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----")
+#: A value given to a password, with a digit or a sign in it.
+GIVEN = re.compile(r"(?i)(?<![^\W_])(?:password|passwd|passphrase|passwort|contraseña|pwd)[\"']? ?[:=] ?[\"']?([^\s\"',;]{5,})")
 #: Words that, whole and in any case, speak for a kind that stands near.
 CONTEXT = {k: re.compile(rf"(?<![^\W_])(?:{words.replace(' ', '|').replace('~', '[ _-]?')})(?![^\W_])", re.I) for k, words in {
     "email": "email e-mail mail contact write kontakt courriel correo",
@@ -58,9 +66,11 @@ CONTEXT = {k: re.compile(rf"(?<![^\W_])(?:{words.replace(' ', '|').replace('~',
     "secret": "token tokens secret secrets password passwd pwd api~key access~key private~key bearer authorization credential credentials",
 }.items()}
 #: Of each kind the score of its pattern, and what its check adds where it holds and where it fails.
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.4, "phone": 0.6, "iban": 0.3, "card_short": 0.2, "phone_local": 0.4, "ssn": 0.5, "secret": 0.2}
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.4, "phone": 0.6, "iban": 0.3, "card_short": 0.2, "phone_local": 0.4, "ssn": 0.5, "secret": 0.2, "issued": 0.9, "given": 0.7}
 CHECK = {"iban": (0.5, -0.3), "card": (0.4, -0.4), "card_short": (0.3, -0.2), "secret": (0.2, -0.2)}
 NEAR = 0.3
+#: Proposals that are reported as another kind.
+REPORTED = {"issued": "secret", "given": "secret"}
 BASE_KINDS = ("email", "ip", "card", "phone")
 
 
@@ -98,7 +108,7 @@ def mixed(key: str) -> bool:
 
 def context(kind: str, text: str, start: int, end: int) -> bool:
     """Whether a context word of the kind stands, whole, within CONTEXT_CHARS before or half as many behind."""
-    word, lo, hi = CONTEXT[kind], max(0, start - CONTEXT_CHARS), min(len(text), end + CONTEXT_CHARS // 2)
+    word, lo, hi = CONTEXT[REPORTED.get(kind, kind)], max(0, start - CONTEXT_CHARS), min(len(text), end + CONTEXT_CHARS // 2)
     return any(lo <= m.start() and m.end() <= hi and (m.end() <= start or m.start() >= end) for m in (*word.finditer(text, max(0, lo - 1), start), *word.finditer(text, end, min(len(text), hi + 1))))
 
 
@@ -108,6 +118,24 @@ def scored(kind: str, text: str, start: int, end: int, holds: bool | None = None
     return round(min(1.0, max(0.0, PRIOR[kind] + change + NEAR * context(kind, text, start, end))), 2)
 
 
+def issued(text: str):
+    """(start, end, kind of proposal) of keys that their form gives away: with an issuer's beginning, in PEM lines, or as the value of a password."""
+    for m in ISSUED.finditer(text):
+        yield (*m.span(), "issued")
+    begin = PEM_BEGIN.search(text)
+    while begin:
+        end = PEM_END.search(text, begin.end())
+        yield (begin.start(), end.end() if end else begin.end(), "issued")
+        if not end:  # so no later one ends either
+            for m in PEM_BEGIN.finditer(text, begin.end()):
+                yield (*m.span(), "issued")
+            break
+        begin = PEM_BEGIN.search(text, end.end())
+    for m in GIVEN.finditer(text):
+        if re.search(r"[0-9!#$%&*@^~+]", m[1]):
+            yield (*m.span(1), "given")
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     out, free, at = [], 0, text.find("@")
     while at >= 0:
@@ -155,16 +183,28 @@ def proposals(text: str):
     for kind, pattern in (("phone_local", LOCAL_PHONE), ("ssn", SSN)):
         for m in pattern.finditer(text):
             yield (kind, *m.span(), None)
+    told, free = sorted(issued(text)), 0
+    known = []
+    for s, e, kind in told:
+        if s >= free:
+            known.append((s, e))
+            yield (kind, s, e, None)
+            free = e
+    k = 0
     for m in SECRET.finditer(text):
-        yield ("secret", *m.span(), mixed(m[0]))
+        s, e = m.span()
+        while k < len(known) and known[k][1] <= s:
+            k += 1
+        if k == len(known) or known[k][0] >= e:
+            yield ("secret", s, e, mixed(m[0]))
 
 
 def extra_spans(text: str, taken: list[tuple[str, int, int]], threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
     """Scored proposals of the further kinds; those inside a base span are left to it."""
-    if not DIGIT.search(text):
+    if not DIGIT.search(text) and "-----BEGIN" not in text and not GIVEN.search(text) and not ISSUED.search(text):
         return []
     inside = lambda s, e: any(b <= s and e <= f for _, b, f in taken)
-    scores = ((k, s, e, scored(k, text, s, e, holds)) for k, s, e, holds in proposals(text) if not inside(s, e))
+    scores = ((REPORTED.get(k, k), s, e, scored(k, text, s, e, holds)) for k, s, e, holds in proposals(text) if not inside(s, e))
     return [x for x in scores if x[3] >= threshold]
 
 
