@@ -1,17 +1,14 @@
 """Main text of web pages: flat text blocks and a small decision tree.
 
-A page is cut into blocks at block-level tags. Each block gets its word count
-and link density, those of its neighbours, and three flags (inside the page's
-article or main, inside boilerplate markup, heading). A decision tree, trained on
-the labelled table below, keeps or drops each block; kept blocks are joined in page
-order. Of a page that marks its article the flags say which blocks are its own;
-elsewhere the words and links of a block and of its neighbours decide.
-
-Boilerplate markup are tags and names (class, id, role) of the kinds that the
-contract lists. A name counts as a whole: all its words must be of these kinds or
-tell of a place or a box. It marks its element and what is below, but not where the
-element holds the page's main or, without a main, its article. A header goes
-wherever it stands; text that is hidden, linked or in noscript or math stays.
+A page is cut into blocks at block-level tags. Each block gets its words, links and link density, words and density of its neighbours,
+whether it stands in the page's article or main, what the names around it say, and whether it is a heading. A decision tree, trained on
+the labelled table below, keeps or drops each block; kept blocks are joined in page order. Lists of links, labels between them and lines at the edge of a menu
+go by words and density, where the page marks no article; inside an article they decide wherever a name is doubtful.
+
+Boilerplate markup are tags and names (class, id, role) of the kinds that the contract lists. The words of a name are scored: words of those kinds speak for
+it, the more so at its end, words of a place or a box say nothing, unknown ones speak against it a little and words like "has" or "without" much. A high score is boilerplate, a low one a
+doubt. A name marks its element and what is below, but not where the element holds the page's main or, without a main, its article. A
+header goes wherever it stands; text that is hidden, linked or in noscript or math stays.
 
 Defined results: null and empty pages give an empty text; an empty table gives no
 rows; unclosed tags end with their container; an unclosed comment ends with its
@@ -41,52 +38,58 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style template textarea title iframe svg".split())
 BAD_TAGS = frozenset("head nav header footer aside form button select dialog menu fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of names that mark menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
-BAD_NAMES = frozenset(
-    "menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer contentinfo sidebar complementary cookie cookies consent gdpr notice banner "
-    "ad ads adbox advert adverts advertisement advertisements advertising sponsor sponsored promo form newsletter subscribe signup login search comment comments disqus respond".split()
+#: Words of names that mark menus, footers, sidebars, notices, adverts and reader comments, and such as are used for other things too.
+STRONG = frozenset(
+    "nav navbar navigation breadcrumb breadcrumbs masthead topbar footer contentinfo sidebar complementary cookie cookies consent gdpr "
+    "ad ads adbox advert adverts advertisement advertisements advertising adsense sponsor sponsored newsletter comments disqus respond".split()
 )
-#: Words of names that tell of a place, a box or a number of things.
+WEAK = frozenset("menu header notice banner promo form subscribe signup login search comment".split())
+#: Words of names that tell of a place, a box, a number of things or what they belong to.
 PLACES = frozenset(
     "site page global main primary secondary top bottom left right upper lower inner outer sticky fixed mobile desktop wrap wrapper container box bar area block section row column panel "
-    "slot unit list item items body content text link links holder region group thread reply replies reader readers user users policy message google bar".split()
+    "slot unit list item items body content text link links holder region group thread reply replies reader readers user users policy message google bar div post article entry story blog widget module info law".split()
 )
-
-#: Fixed values, the labelled table: words, link density, then both for the block before and the block after, in an article, in boilerplate markup, heading, label.
-LABELLED = [
-    # in boilerplate markup, in an article or not
-    (1, 1.00, 0, 0.0, 1, 1.0, 0, 1, 0, 0), (6, 0.00, 2, 1.0, 9, 0.0, 0, 1, 0, 0), (45, 0.00, 30, 0.0, 60, 0.0, 0, 1, 0, 0), (80, 0.05, 2, 1.0, 6, 0.0, 0, 1, 0, 0),
-    (30, 0.00, 25, 0.0, 40, 0.0, 1, 1, 0, 0), (120, 0.00, 80, 0.0, 90, 0.0, 1, 1, 0, 0), (3, 1.00, 60, 0.0, 3, 1.0, 1, 1, 0, 0), (7, 0.00, 0, 0.0, 55, 0.0, 0, 1, 1, 0),
-    (14, 0.00, 120, 0.0, 0, 0.0, 0, 1, 0, 0), (4, 0.00, 9, 0.0, 20, 0.0, 1, 1, 1, 0), (200, 0.00, 90, 0.0, 70, 0.0, 0, 1, 0, 0), (25, 0.10, 70, 0.0, 0, 0.0, 1, 1, 0, 0),
-    # in the page's article: prose, short lines, headings, linked paragraphs, lists of links
-    (1, 0.00, 60, 0.0, 40, 0.0, 1, 0, 0, 1), (2, 0.00, 0, 0.0, 30, 0.0, 1, 0, 1, 1), (60, 0.00, 10, 0.0, 70, 0.0, 1, 0, 0, 1), (15, 0.40, 60, 0.0, 50, 0.0, 1, 0, 0, 1),
-    (9, 1.00, 60, 0.0, 50, 0.0, 1, 0, 0, 1), (3, 1.00, 3, 1.0, 3, 1.0, 1, 0, 0, 1), (12, 0.90, 4, 1.0, 20, 0.9, 1, 0, 0, 1), (5, 0.80, 7, 0.9, 6, 1.0, 1, 0, 0, 1),
-    (1, 0.00, 1, 1.0, 1, 1.0, 1, 0, 0, 1), (8, 0.00, 3, 1.0, 2, 1.0, 1, 0, 1, 1), (200, 0.02, 3, 0.0, 1, 0.0, 1, 0, 0, 1), (30, 1.00, 0, 0.0, 0, 0.0, 1, 0, 0, 1),
-    (4, 1.00, 0, 0.0, 3, 1.0, 1, 0, 0, 1), (20, 0.80, 5, 1.0, 18, 0.9, 1, 0, 0, 1), (35, 0.60, 10, 1.0, 8, 1.0, 1, 0, 0, 1), (3, 0.00, 1, 1.0, 1, 1.0, 1, 0, 0, 1),
-    (5, 0.00, 2, 1.0, 4, 0.5, 1, 0, 0, 1), (16, 0.00, 4, 1.0, 5, 1.0, 1, 0, 0, 1), (12, 0.00, 20, 1.0, 22, 1.0, 1, 0, 0, 1), (6, 0.00, 0, 0.0, 0, 0.0, 1, 0, 0, 1),
-    (8, 0.00, 60, 0.0, 0, 0.0, 1, 0, 0, 1), (2, 0.00, 5, 0.0, 6, 0.0, 1, 0, 0, 1), (5, 1.00, 60, 0.0, 4, 1.0, 1, 0, 0, 1), (3, 0.00, 50, 0.9, 40, 0.8, 1, 0, 0, 1),
-    (7, 0.00, 40, 0.0, 2, 1.0, 1, 0, 0, 1), (4, 0.00, 3, 1.0, 45, 0.0, 1, 0, 0, 1), (24, 0.10, 6, 1.0, 7, 0.9, 1, 0, 0, 1), (1, 1.00, 1, 1.0, 1, 1.0, 1, 0, 0, 1),
-    # elsewhere: long blocks with few links, whatever stands beside them
-    (60, 0.05, 40, 0.0, 3, 1.0, 0, 0, 0, 1), (120, 0.10, 2, 1.0, 90, 0.0, 0, 0, 0, 1), (45, 0.00, 4, 1.0, 3, 1.0, 0, 0, 0, 1), (90, 0.20, 5, 0.9, 6, 1.0, 0, 0, 0, 1),
-    (40, 0.00, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (70, 0.15, 60, 0.1, 80, 0.2, 0, 0, 0, 1), (38, 0.00, 2, 0.0, 4, 0.0, 0, 0, 0, 1), (55, 0.25, 45, 0.2, 3, 1.0, 0, 0, 0, 1),
-    # short blocks between prose
-    (6, 0.00, 50, 0.0, 45, 0.0, 0, 0, 0, 1), (3, 0.00, 40, 0.0, 38, 0.0, 0, 0, 0, 1), (12, 0.00, 35, 0.1, 60, 0.0, 0, 0, 0, 1), (18, 0.20, 35, 0.0, 28, 0.0, 0, 0, 0, 1),
-    (2, 0.00, 80, 0.0, 70, 0.0, 0, 0, 0, 1), (9, 0.00, 90, 0.1, 33, 0.1, 0, 0, 0, 1), (22, 0.10, 60, 0.0, 44, 0.0, 0, 0, 0, 1), (5, 0.30, 70, 0.0, 50, 0.0, 0, 0, 0, 1),
-    # linked paragraphs and headings before prose
-    (8, 1.00, 60, 0.0, 55, 0.0, 0, 0, 0, 1), (14, 0.90, 45, 0.0, 70, 0.0, 0, 0, 0, 1), (7, 0.00, 2, 1.0, 60, 0.0, 0, 0, 1, 1), (4, 0.00, 3, 0.0, 55, 0.0, 0, 0, 1, 1),
-    (6, 0.00, 0, 0.0, 48, 0.0, 0, 0, 1, 1), (5, 1.00, 60, 0.0, 65, 0.1, 0, 0, 1, 1), (3, 0.00, 70, 0.0, 90, 0.0, 0, 0, 1, 1), (9, 0.00, 1, 1.0, 40, 0.0, 0, 0, 1, 1),
-    (3, 0.00, 2, 1.0, 50, 0.0, 0, 0, 1, 1), (4, 0.00, 1, 1.0, 70, 0.1, 0, 0, 1, 1), (5, 0.00, 4, 1.0, 45, 0.0, 0, 0, 1, 1), (2, 0.00, 0, 0.0, 60, 0.0, 0, 0, 1, 1),
-    # lists of links, captions and teasers between links, scraps at the edges
-    (1, 1.00, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (4, 1.00, 0, 0.0, 3, 1.0, 0, 0, 0, 0), (20, 0.80, 5, 1.0, 18, 0.9, 0, 0, 0, 0), (35, 0.60, 10, 1.0, 8, 1.0, 0, 0, 0, 0),
-    (3, 0.00, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (5, 0.00, 2, 1.0, 4, 0.5, 0, 0, 0, 0), (16, 0.00, 4, 1.0, 5, 1.0, 0, 0, 0, 0), (24, 0.10, 6, 1.0, 7, 0.9, 0, 0, 0, 0),
-    (12, 0.00, 20, 1.0, 22, 1.0, 0, 0, 0, 0), (4, 0.00, 12, 1.0, 2, 1.0, 0, 0, 1, 0), (6, 0.00, 0, 0.0, 0, 0.0, 0, 0, 0, 0), (8, 0.00, 60, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (2, 0.00, 5, 0.0, 6, 0.0, 0, 0, 0, 0), (5, 1.00, 60, 0.0, 4, 1.0, 0, 0, 0, 0), (6, 1.00, 3, 1.0, 50, 0.0, 0, 0, 0, 0), (3, 0.00, 50, 0.9, 40, 0.8, 0, 0, 0, 0),
-    (10, 0.00, 45, 0.7, 60, 0.6, 0, 0, 0, 0), (7, 0.00, 40, 0.0, 2, 1.0, 0, 0, 0, 0), (4, 0.00, 3, 1.0, 45, 0.0, 0, 0, 0, 0), (18, 0.30, 3, 1.0, 4, 1.0, 0, 0, 0, 0),
-    (8, 0.00, 2, 1.0, 50, 0.0, 0, 0, 0, 0), (9, 0.00, 1, 1.0, 60, 0.1, 0, 0, 0, 0), (3, 0.00, 2, 1.0, 55, 0.0, 0, 0, 0, 0), (2, 0.00, 4, 1.0, 3, 1.0, 0, 0, 1, 0),
+#: Words of names that tell what something is not, or what it is about.
+DENYING = frozenset("has have no not non with without on about for of to the than hoc".split())
+UNKNOWN, LAST, DENIED, SURE = -0.6, 0.5, -3.0, 1.0
+
+# The labelled table. A block is prose, a short line, one that is a link, or a list of links; so are its neighbours, or there is none.
+#: Words, links and link density of examples of each kind.
+EXAMPLES = {
+    "prose": [(26, 0, 0.0), (60, 2, 0.1), (120, 5, 0.3)],
+    "short": [(2, 0, 0.0), (9, 0, 0.0), (18, 1, 0.3)],
+    "linked": [(1, 1, 1.0), (7, 1, 0.9), (14, 2, 0.7)],
+    "links": [(3, 3, 1.0), (20, 5, 0.7), (72, 12, 1.0)],
+    "none": [(0, 0, 0.0)],
+}
+#: What stays where the page marks no article: kind, then before and after it; "any" is any of the kinds.
+STAYS = [
+    ("prose", "any", "any"), ("short", "prose", "any"), ("short", "any", "prose"), ("short", "short", "short"), ("short", "short", "linked"), ("short", "linked", "short"), ("short", "short", "links"), ("short", "links", "short"),
+    ("short", "short", "none"), ("short", "none", "short"), ("short", "none", "none"), ("linked", "prose", "prose"), ("linked", "prose", "short"), ("linked", "short", "prose"),
 ]
-
-
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
+HEADING_STAYS = [("short", "any", "prose"), ("short", "any", "short"), ("short", "any", "none"), ("linked", "any", "prose"), ("prose", "any", "any")]
+#: What stays under a doubtful name, in an article or not.
+DOUBT_STAYS = [("prose", "any", "any"), ("short", "prose", "prose"), ("short", "prose", "short"), ("short", "short", "prose"), ("short", "short", "short"), ("short", "prose", "none"), ("short", "none", "prose")]
+
+
+def labelled() -> list[tuple]:
+    """Rows of words, links, density, words and density before, words and density after, in an article, name (0 plain, 1 doubtful, 2 boilerplate), heading, label."""
+    kept = lambda table, *kinds: int(any(all(t in ("any", k) for t, k in zip(row, kinds, strict=True)) for row in table))
+    out = []
+    for kind in ("prose", "short", "linked", "links"):
+        for before in EXAMPLES:
+            for after in EXAMPLES:
+                for i, (n, k, d) in enumerate(EXAMPLES[kind]):
+                    (bn, _, bd), (an, _, ad) = EXAMPLES[before][i % len(EXAMPLES[before])], EXAMPLES[after][(i + 1) % len(EXAMPLES[after])]
+                    for heading in (0, 1) if n < 20 else (0,):
+                        for article in (0, 1):
+                            plain = 1 if article else kept(HEADING_STAYS if heading else STAYS, kind, before, after)
+                            for name, label in ((0, plain), (1, kept(DOUBT_STAYS, kind, before, after)), (2, 0)):
+                                out.append((n, k, d, bn, bd, an, ad, article, name, heading, label))
+    return out
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 14):
     """A binary tree by Gini impurity: a leaf is its label, a node (feature, cut, below, above)."""
     if depth == 0 or len(set(y)) == 1:
         return int(y.mean() >= 0.5)
@@ -106,7 +109,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
 
 
 def train():
-    table = np.array(LABELLED, dtype=float)
+    table = np.array(labelled(), dtype=float)
     return grow(table[:, :-1], table[:, -1])
 
 
@@ -116,16 +119,21 @@ def decide(tree, row) -> int:
     return tree
 
 
-def bad_name(tag: str, attributes: str) -> bool:
-    """Whether a class, id or role names boilerplate: with all its words, of which one at least is of its kinds."""
+def name_level(name: str) -> int:
+    """0 for a name that says nothing of boilerplate, 1 for a doubtful one, 2 for one that is sure."""
+    words = [w.lower() for w in NAME_WORD.findall(name) if len(w) > 1]
+    if not any(w in STRONG or w in WEAK for w in words):
+        return 0
+    worth = lambda w: 2.0 if w in STRONG else 1.0 if w in WEAK else DENIED if w in DENYING else 0.0 if w in PLACES else UNKNOWN
+    score = sum(map(worth, words)) + LAST * (words[-1] in STRONG or words[-1] in WEAK)
+    return 2 if score >= SURE else int(score > 0)
+
+
+def level_of(tag: str, attributes: str) -> int:
+    """The highest level of a tag's class, id and role."""
     if not attributes or tag in ("body", "html", "main"):
-        return False
-    for m in CLASSES.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").split():
-            words = {w.lower() for w in NAME_WORD.findall(name)}
-            if words & BAD_NAMES and words <= BAD_NAMES | PLACES:
-                return True
-    return False
+        return 0
+    return max((name_level(name) for m in CLASSES.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split()), default=0)
 
 
 def self_closed(attributes: str) -> bool:
@@ -133,19 +141,19 @@ def self_closed(attributes: str) -> bool:
     return attributes.endswith("/") and "=" not in attributes[max(attributes.rfind(c) for c in " \t\r\n\f\"'") + 1 :]
 
 
-def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
-    """(text, words, link density, in article, in boilerplate, heading) of each block with text."""
-    out: list[tuple[str, int, float, int, bool, int, int]] = []
+def blocks(html: str) -> list[tuple[str, int, int, float, int, int, int]]:
+    """(text, words, links, link density, in article, name, heading) of each block with text."""
+    out: list[tuple[str, int, int, float, int, bool, int, int]] = []
     text: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, int, int]] = []  # open elements: name, boilerplate by a tag here or above, the nearest mark by a name, the main or article
-    marks = [0]  # of each mark by a name, the one above
+    marks, levels = [0], [0]  # of each mark by a name, the one above, and what the name says
     bodies = [("", 0, 0)]  # mains and articles that may be the page's: tag, the mark above, words
     is_open: dict[str, int] = {}
-    links = 0
+    links = anchors = 0
     formula = False
 
     def flush():
-        nonlocal text
+        nonlocal text, anchors
         if text:
             whole = " ".join(unescape("".join(t for t, _ in text)).split())
             if whole:
@@ -153,9 +161,10 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
                 linked = len(unescape(" ".join(t for t, a in text if a)).split())
                 article = is_open.get("article", 0) > 0 or is_open.get("main", 0) > 0
                 _, bad, mark, body = stack[-1] if stack else ("", False, 0, 0)
-                out.append((whole, n, min(1.0, linked / n), int(article), bad, mark, int(any(is_open.get(h) for h in HEADINGS))))
+                out.append((whole, n, anchors if linked else 0, min(1.0, linked / n), int(article), bad, mark, int(any(is_open.get(h) for h in HEADINGS))))
                 bodies[body] = (*bodies[body][:2], bodies[body][2] + n)
             text = []
+        anchors = 0
 
     at = 0
     while True:
@@ -177,6 +186,7 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
             continue
         if tag == "a":
             links = 0 if m[1] else 1
+            anchors += links
         if tag == "math":
             formula = not m[1] and not self_closed(m[3])
         if tag in INLINE or formula or tag == "math":
@@ -199,10 +209,12 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
             is_open[stack.pop()[0]] -= 1  # its end tag may be left out
         _, bad, mark, body = stack[-1] if stack else ("", False, 0, 0)
         bad = bad or tag in BAD_TAGS
-        if bad_name(tag, m[3]):
+        level = level_of(tag, m[3])
+        if level:
             marks.append(mark)
+            levels.append(level)
             mark = len(marks) - 1
-        elif not bad and (tag == "main" or tag == "article" and not body):
+        if level < 2 and not bad and (tag == "main" or tag == "article" and not body):
             bodies.append((tag, mark, 0))
             body = len(bodies) - 1
         stack.append((tag, bad, mark, body))
@@ -216,14 +228,17 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
         while mark not in excused:
             excused.add(mark)
             mark = marks[mark]
-    return [(*x[:4], int(x[4] or x[5] not in excused), x[6]) for x in out]
+    said = [0]  # of each mark, the most that it and those above say
+    for k in range(1, len(marks)):
+        said.append(max(said[marks[k]], 0 if k in excused else levels[k]))
+    return [(*x[:5], 2 if x[5] else said[x[6]], x[7]) for x in out]
 
 
-def rows_of(found: list[tuple[str, int, float, int, int, int]]) -> list[tuple]:
+def rows_of(found: list[tuple]) -> list[tuple]:
     """The features of each block, as in the labelled table."""
-    none = ("", 0, 0.0, 0, 0, 0)
+    none = ("", 0, 0, 0.0, 0, 0, 0)
     sides = zip([none, *found], found, [*found[1:], none], strict=False)
-    return [(n, d, before[1], before[2], after[1], after[2], article, bad, heading) for before, (_, n, d, article, bad, heading), after in sides]
+    return [(n, k, d, before[1], before[3], after[1], after[3], article, name, heading) for before, (_, n, k, d, article, name, heading), after in sides]
 
 
 def main_text(html: str | None, tree) -> str:
