@@ -163,15 +163,19 @@ def meetings(lists: DataFrame, percent: int) -> DataFrame:
     The first value that two similar sets have in common leaves them ``share`` values each, so the smaller set, which lacks
     less of it, meets others only in the lists of its very first values. A pair whose first meeting is cut is not similar.
     """
-    one = lists.where(F.col("left") >= share(F.col("n"), F.col("n"), percent)).select("v", F.col("doc_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "left", "group")])
-    other = lists.select("v", F.col("doc_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "left", "group")])
+    # Of two similar sets the larger is in the size band of the smaller or the next one, so bands and values are the key.
+    band = F.floor(F.log("n") / math.log(1.0001 * 100 / percent)).cast("int") if percent < 100 else F.col("n")
+    lists = lists.withColumn("band", band)
+    one = lists.where(F.col("left") >= share(F.col("n"), F.col("n"), percent)).withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    one = one.select("v", "band", F.col("doc_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "left", "group")])
+    other = lists.select("v", "band", F.col("doc_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "left", "group")])
     n_a, n_b, left = F.col("n_a"), F.col("n_b"), F.least("left_a", "left_b")
     fit = (F.struct("n_a", "a") < F.struct("n_b", "b")) & (F.col("group_a") != F.col("group_b")) & sized(n_a, n_b, percent) & (left >= share(n_a, n_b, percent))
-    return one.join(other, "v").where(fit).select("a", "b", "n_a", "n_b", left.alias("left"))
+    return one.join(other, ["v", "band"]).where(fit).select("a", "b", "n_a", "n_b", left.alias("left"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, k: int = K) -> DataFrame:
-    """Of pairs (a, b), those that the union sketch does not rule out and the full sets confirm."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, k: int = K, estimate: bool = True) -> DataFrame:
+    """Of pairs (a, b), those that the union sketch (unless estimate is false) does not rule out and the full sets confirm."""
     full = lambda x: sets.select(F.col("doc_id").alias(x), F.col("hashes").alias(f"h{x}"))
     both = pairs.join(full("a"), "a").join(full("b"), "b")
     sa, sb = F.slice("ha", 1, k), F.slice("hb", 1, k)
@@ -179,7 +183,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, k: int = K) -> Dat
     likely = F.size(F.array_intersect(F.array_intersect(sa, sb), union)) >= F.floor(F.size(union) * binomial_floor(k, percent / 100) / F.lit(float(k)))
     inter = F.size(F.array_intersect("ha", "hb"))
     exact = inter * 100 >= (F.size("ha") + F.size("hb") - inter) * percent
-    return both.where(F.when(likely, exact).otherwise(False)).select("a", "b").distinct()
+    return both.where(F.when(likely, exact).otherwise(False) if estimate else exact).select("a", "b").distinct()
 
 
 def two_ways(edges: DataFrame) -> DataFrame:
@@ -218,8 +222,11 @@ def with_components(every: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.where("hot is not null").select("doc_id", "n", F.col("hot").alias("component")).unionByName(cold.select("doc_id", "n", "component"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; a row for each row of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; a row for each row of docs (doc_id, text).
+
+    With `exact` no class drops out by its sketch and no pair by its estimate: then inverted lists, whose bounds are certain, and full sets alone decide.
+    """
     spark = docs.sparkSession
     tn.small_batches(spark)
     folder = f"{shared_folder(spark)}/near-dup-{uuid.uuid4().hex}"
@@ -227,7 +234,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     every = written(sketch_sets(docs, K, words), f"{folder}/every")  # tables, not caches of caches: else every plan holds all plans before it
     linkable = every.where("n > 0 and doc_id is not null")
     classes = linkable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x")).select("x.*").persist()
-    live = written(survivors(classes, percent), f"{folder}/work/live")
+    live = written(classes.select("doc_id") if exact else survivors(classes, percent), f"{folder}/work/live")
     classes.unpersist()
     sets = full_sets(docs, live, words).persist()
     lists = written(inverted_lists(sets, percent), f"{folder}/work/lists")
@@ -237,14 +244,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     fit = sized(F.col("n"), F.col("h.n"), percent) & (F.least("left", "h.left") >= share(F.col("n"), F.col("h.n"), percent))
     star = lists.join(hub, "v").where((F.col("doc_id") != F.col("h.doc_id")) & fit)
     star = star.select(F.col("h.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    near = verified(star, sets, percent).checkpoint()
+    near = verified(star, sets, percent, estimate=not exact).checkpoint()
 
     label = two_ways(near).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("doc_id"), F.least("u", "m").alias("group"))
     label = label.join(label.select(F.col("doc_id").alias("group"), F.col("group").alias("above")), "group", "left").select("doc_id", F.coalesce("above", "group").alias("group"))
     marked = written(lists.join(label, "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id")).drop("centre"), f"{folder}/work/marked")
     apart = marked.groupBy("v").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 <> g2").select("v")
     apart = written(marked.join(apart, "v"), f"{folder}/work/apart")
-    links = near.union(verified(candidates(meetings(apart, percent), percent), sets, percent))
+    links = near.union(verified(candidates(meetings(apart, percent), percent), sets, percent, estimate=not exact))
 
     found = components(links)
     sets.unpersist()  # what is found lies in a checkpoint
