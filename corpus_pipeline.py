@@ -1,58 +1,5 @@
-"""A corpus pipeline of five stages, each written as Parquet and read again.
+"""The corpus pipeline: STAGES, ORACLE_SQL and run(spark, sf_dir); see tidewick.llm.pipeline."""
 
-Every stage takes (spark, docs, sf_dir) and works on all rows that the stage
-before it kept; all but the last return the columns of documents.
-"""
+from tidewick.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidewick.llm import decontaminate, line_dedup, mixing, near_dup, quality_classifier
-from tidewick.llm.folders import shared_folder
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for bad go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_classifier.keep_good(docs, labels).select(*COLUMNS)
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sites share go from all documents but one; a document that has no other lines goes."""
-    out = line_dedup.dedup_lines(docs).where("lines_removed = 0 or lines_removed < line_count")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one document stays."""
-    return near_dup.drop_near_duplicates(docs).select(*COLUMNS)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontaminate.clean_documents(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn to the target weights, with the copies to take of each."""
-    return mixing.mix_sources(docs)
-
-
-STAGES = [("quality classifier", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixture)]
-
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
