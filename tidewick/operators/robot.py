@@ -1,9 +1,11 @@
-"""Order rules as column expressions, and the bar-by-bar simulation as a fold."""
+"""Order rules as column expressions, and the plain bar-by-bar simulation; tidewick.operators.orders has resting orders, stops and refusals."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,13 +60,18 @@ def exit_price(price: Column, position: Column, tick: float) -> Column:
     return to_grid(price, tick, -position) - position * F.lit(float(tick))
 
 
+def nullable(t: pa.DataType) -> pa.DataType:
+    """The type with fields that may be null, as a result's schema has them."""
+    return pa.struct([pa.field(f.name, nullable(f.type)) for f in t]) if pa.types.is_struct(t) else t
+
+
 def simulate(bars: DataFrame, warmup: int, limits: Limits = Limits(), threshold: float = 1.5, direction: int = 1, equity: float = 5000.0, max_holding: int = 30) -> DataFrame:
     """series, ts, signal, decision, position, fill_price, guard_blocked, points, gross: a row for each bar of bars (series, ts, close, signal, pos).
 
     Where a position closes, points is what it made after a tick given up and prices rounded against us, gross what it made
     from close to close. Once the day's points have fallen to the daily loss, openings are held back until the next day.
     Every order is filled, so rejections stay 0. A position ends at the cutoff, so a chain of days begins wherever the day before reached it; chains are independent and
-    run in parallel, each as one fold over its bars in order.
+    run in parallel, each as one walk over its bars in order, whose rows its task holds; orders.simulate bounds that to days.
     """
     x = bars.withColumns({"_tod": minute_of_day(F.col("ts")), "_day": F.to_date("ts")})
     days = x.groupBy("series", "_day").agg(F.max("_tod").alias("_last"))
@@ -77,28 +84,42 @@ def simulate(bars: DataFrame, warmup: int, limits: Limits = Limits(), threshold:
     x = x.withColumns({"_want": F.when(F.col("pos") >= warmup, wanted).otherwise("NONE"), "_side": side}).withColumn("_px", to_grid(F.col("close"), limits.tick_size, F.col("_side")))
     x = x.withColumn("_guard", F.when(F.col("_want") != "NONE", guard_order(limits, F.col("_tod"), F.lit(1), F.lit(equity), F.col("_px"), F.lit(0.0), F.lit(0))))
     x = x.withColumn("_m", F.unix_timestamp(F.col("ts").cast("timestamp")) / 60)
-    step = F.struct("ts", F.col("_m").cast("long").alias("m"), F.col("_tod").alias("tod"), F.col("_want").alias("want"), F.col("_side").alias("side"), F.col("_px").alias("px"), F.col("_guard").alias("guard"), "signal", F.col("_day").alias("day"), "close")
-    chains = x.groupBy("series", "chain").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    row = "struct<ts:timestamp_ntz,signal:double,decision:string,position:int,fill_price:double,guard_blocked:string,points:double,gross:double>"
-    start = F.struct(F.lit(0).alias("p"), F.lit(0).cast("long").alias("m"), F.lit(0.0).alias("px"), F.lit(0.0).alias("close"), F.lit(0.0).alias("pnl"), F.lit(None).cast("date").alias("day"), F.expr(f"cast(array() as array<{row}>)").alias("out"))
-
-    def one(acc, s):
-        pnl = F.when(acc["day"] == s["day"], acc["pnl"]).otherwise(0.0)
-        guard = F.when((s["want"] != "NONE") & (pnl <= -limits.daily_loss_points), "DAILY_LOSS").otherwise(s["guard"])
-        close = (acc["p"] != 0) & must_flatten(s["tod"], s["m"] - acc["m"], limits, max_holding)
-        enter = (acc["p"] == 0) & (s["want"] != "NONE") & guard.isNull()
-        p = F.when(close, 0).when(enter, s["side"]).otherwise(acc["p"])
-        what = F.when(close, "CLOSE").when(enter, s["want"]).otherwise("NONE")
-        points = (exit_price(s["close"], acc["p"], limits.tick_size) - acc["px"]) * acc["p"]
-        r = F.struct(
-            s["ts"].alias("ts"), s["signal"].alias("signal"), what.alias("decision"), p.alias("position"), F.when(enter, s["px"]).alias("fill_price"), F.when(acc["p"] == 0, guard).alias("guard_blocked"),
-            F.when(close, points).alias("points"), F.when(close, (s["close"] - acc["close"]) * acc["p"]).alias("gross"),
-        )
-        return F.struct(
-            p.alias("p"), *[F.when(enter, s[c]).otherwise(acc[c]).alias(c) for c in ("m", "px", "close")], (pnl + F.when(close, points).otherwise(0.0)).alias("pnl"), s["day"].alias("day"), F.concat(acc["out"], F.array(r)).alias("out")
-        )
-
-    return chains.select("series", F.explode(F.aggregate("steps", start, one)["out"]).alias("r")).select("series", "r.*")
+    x = x.select("series", "chain", "ts", F.col("_m").cast("long").alias("m"), F.col("_tod").alias("tod"), F.col("_want").alias("want"), F.col("_side").alias("side"), F.col("_px").alias("px"), F.col("_guard").alias("guard"), "signal", F.col("_day").alias("day"), "close")
+    tick = limits.tick_size
+
+    def left(price: float, p: int) -> float:
+        q = price / tick
+        return (math.floor(q + 1e-9) if p > 0 else math.ceil(q - 1e-9)) * tick - p * tick
+
+    def fold(table: pa.Table) -> pa.Table:
+        """The chain's bars in order; what is kept from bar to bar is the position, its entry and the day's points."""
+        table = table.sort_by("ts")
+        p, since, px, entry, pnl, day = 0, 0, 0.0, 0.0, 0.0, None
+        rows = []
+        for s in zip(*[table[c].to_pylist() for c in ("m", "tod", "want", "side", "px", "guard", "day", "close")], strict=True):
+            m, tod, want, side, price, guard, on, close = s
+            if on != day:
+                pnl, day = 0.0, on
+            if want != "NONE" and pnl <= -limits.daily_loss_points:
+                guard = "DAILY_LOSS"
+            if p and (tod >= limits.cutoff_min or m - since >= max_holding):
+                points = (left(close, p) - px) * p
+                rows.append(("CLOSE", 0, None, None, points, (close - entry) * p))
+                pnl, p = pnl + points, 0
+            elif not p and want != "NONE" and guard is None:
+                p, since, px, entry = side, m, price, close
+                rows.append((want, p, price, None, None, None))
+            else:
+                rows.append(("NONE", p, None, guard if not p else None, None, None))
+        kinds = [pa.string(), pa.int32(), pa.float64(), pa.string(), pa.float64(), pa.float64()]
+        out = table.select(["series", "ts", "signal"])
+        out = out.set_column(0, "series", out["series"].cast(nullable(out["series"].type)))
+        for name, kind, values in zip(("decision", "position", "fill_price", "guard_blocked", "points", "gross"), kinds, zip(*rows, strict=True), strict=True):
+            out = out.append_column(name, pa.array(values, kind))
+        return out
+
+    kind = bars.schema["series"].dataType.simpleString()
+    return x.groupBy("series", "chain").applyInArrow(fold, f"series {kind}, ts timestamp_ntz, signal double, decision string, position int, fill_price double, guard_blocked string, points double, gross double")
 
 
 def round_trips(sim: DataFrame, bars: DataFrame, tick: float) -> DataFrame:

@@ -200,18 +200,8 @@ BOOK = ("seq", "kind", "trial_id", "hypothesis_id", "structural_sig", "verdict",
 
 
 def chained(spark, d):
-    """Each book's rows with their hashes; a chain is a fold, in order, over one customer's orders."""
-    fields = [c for c in BOOK if c != "prev_hash"]
-    rows = book_rows(spark, d).groupBy("book").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
-    row = "struct<seq:bigint,kind:string,trial_id:string,hypothesis_id:string,structural_sig:string,verdict:string,crashed:int,prev_hash:string,row_hash:string>"
-    start = F.struct(F.lit(ledger.ZERO).alias("prev"), F.expr(f"cast(array() as array<{row}>)").alias("out"))
-
-    def add(acc, r):
-        body = F.struct(*[(acc["prev"] if c == "prev_hash" else r[c]).alias(c) for c in sorted(BOOK)])
-        h = F.sha2(F.to_json(body, {"ignoreNullFields": "false"}), 256)
-        return F.struct(h.alias("prev"), F.concat(acc["out"], F.array(F.struct(*[r[c].alias(c) for c in fields], acc["prev"].alias("prev_hash"), h.alias("row_hash")))).alias("out"))
-
-    return rows.select("book", F.explode(F.aggregate("rows", start, add)["out"]).alias("r")).select("book", "r.*")
+    """Each book's rows with their hashes."""
+    return ledger.chained(book_rows(spark, d), "book", BOOK)
 
 
 def ledger_chain(spark, d):
