@@ -8,12 +8,12 @@ words, as many as a match can't all avoid, give the places where the template ma
 start; around those, all of the template's words vote. A template is a candidate
 where ``SHARE`` of its words agree on a place within ``SLACK`` words, and counts if
 its mandatory phrases stand in the window. A label of a family (gpl) stands beside
-that of the version (gpl-3) where the notice gives one. Base phrases are found by
+that of the version (gpl-3) where the notice gives one. SPDX expressions are read whole. Base phrases are found by
 exact word match and keep their labels.
 
 Defined results: null and empty texts have no words, no labels and score 0; an
 empty table gives no rows; ties between places go to the first; repeated rows are
-each scanned; extra columns are ignored. Score: 1 where a base phrase stands, else
+each scanned; extra columns are ignored. Score: 1 where a base phrase or an SPDX expression stands, else
 the matched share of the best candidate's words.
 """
 
@@ -87,15 +87,43 @@ NAMES = {
     "epl-2": ("eclipse public license 2 0", "eclipse public license version 2 0", "epl 2 0"),
     "bsd-2": ("bsd 2 clause", "2 clause bsd", "simplified bsd license"),
     "bsd-3": ("bsd 3 clause", "3 clause bsd", "new bsd license", "revised bsd license"),
+    "bsd": ("bsd license", "bsd licence", "bsd style license"),
+    "mpl-1.1": ("mozilla public license version 1 1", "mozilla public license 1 1", "mpl 1 1"),
+    "artistic": ("artistic license 2 0", "perl artistic license", "the artistic license", "artistic license version"),
+    "eupl": ("european union public licence", "eupl 1 2"),
+    "cddl": ("common development and distribution license", "cddl 1 0"),
+    "psf": ("python software foundation license", "psf license"),
+    "cc-by-nc-sa": ("attribution noncommercial sharealike", "cc by nc sa"),
+    "cc-by-nc-nd": ("attribution noncommercial noderivatives", "cc by nc nd"),
     "cc-by": ("cc by 4 0", "cc by 3 0"),
     "cc-by-sa": ("cc by sa",),
     "cc-by-nd": ("cc by nd",),
-    "cc0": ("cc0 1 0", "cc0 universal"),
+    "cc0": ("cc0 1 0", "cc0 universal", "cc0 public domain", "cc0 license", "under cc0"),
 }
 #: Labels of SPDX identifiers that give no name of the table above.
 SPDX = {"MIT": "mit", "Apache-2.0": "apache-2", "ISC": "isc", "Unlicense": "unlicense", "Zlib": "zlib", "BSL-1.0": "boost", "OFL-1.1": "ofl", "WTFPL": "wtfpl", "CC-BY-NC-4.0": "cc-by-nc"}
 
 
+#: An SPDX line and its expression, which ends with the line or a comment.
+EXPRESSION = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n*#<>\"']{1,2000})", re.I)
+OPERANDS = re.compile(r"[A-Za-z0-9.+-]+")
+
+
+def expression_labels(text: str | None) -> set[str]:
+    """The labels of all licenses of the SPDX expressions in a text, also of those after AND, OR and in parentheses; an exception after WITH is none."""
+    out: set[str] = set()
+    for m in EXPRESSION.finditer(text or ""):
+        before = ""
+        for x in OPERANDS.findall(m[1]):
+            if before.upper() != "WITH" and x.upper() not in ("AND", "OR", "WITH"):
+                label = IDENTIFIERS.get(re.sub(r"(?:-only|-or-later|\+)$", "", x, flags=re.I).lower())
+                if label is None and (before or m[1].strip() != x) and before.upper() not in ("AND", "OR", ""):
+                    break  # prose follows
+                out |= families(label) if label else set()
+            before = x
+    return out
+
+
 def templates() -> list[tuple[str, list[str], list[list[str]]]]:
     """Label, words and mandatory phrases of every notice, name and identifier; a version's name gives its family's label too."""
     out = [(label, text, must) for label, text, must in NOTICES]
@@ -112,6 +140,13 @@ def families(label: str) -> set[str]:
     return {label, head} if head in ("gpl", "lgpl", "agpl", "bsd") else {label}
 
 
+#: Labels of SPDX identifiers, in lower case.
+IDENTIFIERS = {k.lower(): v for k, v in SPDX.items()} | {
+    "gpl-2.0": "gpl-2", "gpl-3.0": "gpl-3", "lgpl-2.1": "lgpl-2.1", "lgpl-3.0": "lgpl-3", "agpl-3.0": "agpl-3", "mpl-1.1": "mpl-1.1", "mpl-2.0": "mpl-2", "epl-1.0": "epl-1", "epl-2.0": "epl-2", "bsd-2-clause": "bsd-2", "bsd-3-clause": "bsd-3",
+    "artistic-2.0": "artistic", "eupl-1.2": "eupl", "cddl-1.0": "cddl", "psf-2.0": "psf", "cc0-1.0": "cc0", "cc-by-3.0": "cc-by", "cc-by-4.0": "cc-by", "cc-by-sa-4.0": "cc-by-sa", "cc-by-nd-4.0": "cc-by-nd", "cc-by-nc-sa-4.0": "cc-by-nc-sa", "cc-by-nc-nd-4.0": "cc-by-nc-nd",
+}
+
+
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").translate(LOWER))
 
@@ -210,7 +245,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             rows = []
             for text in b.column("text").to_pylist():
                 words = words_of(text)
-                rows.append((len(words), *index.scan(words)))
+                found = index.scan(words)
+                if more := expression_labels(text):
+                    found = (*found[:4], ",".join(sorted({*filter(None, found[4].split(",")), *more})), 1.0)
+                rows.append((len(words), *found))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
