@@ -7,8 +7,9 @@ estimate is too near the threshold to be trusted, the sites are counted exactly.
 A line on ``min_sites`` sites or more is removed from every document but the one
 with the smallest doc_id. DataFrame operations only.
 
-Lines of so many rows that at most ``HOT_LINES`` can have as many are looked up by
-broadcast, so their rows stay where they are; the others are joined by a shuffle.
+Of suspect lines ``HOT_LINES`` at most are looked up by broadcast, so their rows stay where
+they are: all, where there are no more, else those of so many rows that at most so many
+can have as many; the others are joined by a shuffle.
 
 Defined results: blank lines never count and always stay; a null text stays null,
 an empty one empty; a null source counts as a site of its own; rows with a null
@@ -41,8 +42,10 @@ def line_rows(docs: DataFrame) -> DataFrame:
 KEY = ["h1", "h2"]
 
 
-def looked_up(rows: DataFrame, lines: DataFrame, hot: DataFrame) -> DataFrame:
-    """rows joined with lines by KEY; lines has a column hot, and those that are, HOT_LINES at most, are among hot (KEY)."""
+def looked_up(rows: DataFrame, lines: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows joined with lines by KEY; lines has a column hot, and those that are, HOT_LINES at most, are among hot (KEY). None: all lines are, and no row is shuffled."""
+    if hot is None:
+        return rows.join(F.broadcast(lines.drop("hot")), KEY)
     marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), KEY, "left")
     some = marked.where("_hot").drop("_hot").join(F.broadcast(lines.where("hot").drop("hot")), KEY)
     return some.unionByName(marked.where("_hot is null").drop("_hot").join(lines.where("not hot").drop("hot"), KEY))
@@ -59,9 +62,10 @@ def spread_hits(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         .select(*KEY, "n", "keeper")
         .checkpoint()
     )
-    bound = (suspects.agg(F.sum("n")).first()[0] or 0) // HOT_LINES
-    suspects = suspects.withColumn("hot", F.col("n") > bound).drop("n")
-    hot = suspects.where("hot").select(*KEY)
+    count, total = suspects.agg(F.count(F.lit(1)), F.sum("n")).first()
+    few = count <= HOT_LINES
+    suspects = suspects.withColumn("hot", F.lit(True) if few else F.col("n") > (total or 0) // HOT_LINES).drop("n")
+    hot = None if few else suspects.where("hot").select(*KEY)
     hits = looked_up(rows, suspects, hot).checkpoint()
     sketched = hits.groupBy(*KEY).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
     sure, doubt = min_sites * (1 + MARGIN) + 1, min_sites * (1 - MARGIN) - 1
