@@ -36,6 +36,18 @@ def test_identity_of_a_table_of_trees(spark):
     assert all(got[i].verdict == "INVALID_AST" and got[i].reason and got[i].canonical is None for i in range(90, 96))
 
 
+def test_identity_is_dealt_out(spark):
+    """The trees of one small split are read by several tasks, and those too long to be remembered have the same columns."""
+    long = json.dumps(as_json(fl.parse("zscore(close(),5)"))) + " " * 3000
+    df = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, F.lit(long)).otherwise(F.lit(long.strip())).alias("tree")).coalesce(1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = tables.identified(df).select("canonical", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 400 and {r.canonical for r in got} == {"(zscore (close) 5)"} and len({r.task for r in got}) > 1
+
+
 def test_novel_trees(spark):
     rows = [(1, "a", None), (2, "a", None), (3, "b", None), (4, "c", None), (5, None, "INVALID_AST"), (6, "c", "TOO_COMPLEX")]
     found = spark.createDataFrame(rows, "id int, structural_signature string, verdict string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidewick.plans.formula import Constraints, FormulaError, canonical, digest, from_json, nearest, validate, with_windows
 
+#: Trees that a task remembers, and the length up to which it does.
+REMEMBERED, SHORT = 10_000, 2_000
 IDENTITY = "canonical string, exact_signature string, structural_signature string, verdict string, reason string"
 
 
@@ -27,16 +30,20 @@ def identity(text: str | None, c: Constraints) -> tuple:
 
 
 def identified(trees: DataFrame, column: str = "tree", constraints: Constraints = Constraints()) -> DataFrame:
-    """trees with the columns of IDENTITY, from a column of JSON objects {"op": name, "args": [..]}. Null is no tree."""
+    """trees with the columns of IDENTITY, from a column of JSON objects {"op": name, "args": [..]}. Null is no tree.
+
+    Rows are dealt out first, since a table of keys of few megabytes is read by one task or two, however many trees it stands for.
+    """
 
     def run(batches):
+        known = lru_cache(REMEMBERED)(lambda x: identity(x, constraints))
         for b in batches:
-            found = [identity(x, constraints) for x in b.column(column).to_pylist()]
+            found = [identity(x, constraints) if x and len(x) > SHORT else known(x) for x in b.column(column).to_pylist()]
             more = [pa.array([f[k] for f in found], pa.string()) for k in range(5)]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *(x.split(" ")[0] for x in IDENTITY.split(", "))])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trees.schema)
-    return trees.mapInArrow(run, f"{types}, {IDENTITY}")
+    return trees.hint("rebalance").mapInArrow(run, f"{types}, {IDENTITY}")
 
 
 def novel(found: DataFrame, ledger: DataFrame, order: str) -> DataFrame:
