@@ -13,6 +13,7 @@ from tidewick.operators import cross_validation as cv
 from tidewick.operators import monitor, texts
 from tidewick.plans import formula as fl
 from tidewick.plans import tables
+from tidewick.queries import identity
 from tidewick.sources import files
 
 
@@ -55,6 +56,13 @@ def test_novel_trees(spark):
     assert {r.id: r.status for r in tables.novel(found, ledger, "id").collect()} == {1: "NEW", 2: "REPEATED", 3: "SEEN", 4: "NEW", 5: "INVALID", 6: "INVALID"}
 
 
+def test_dedup_finds_identities_once(spark, sf):
+    """The result reads what the one pass over the trees wrote."""
+    x = identity.formula_dedup(spark, sf)
+    assert "MapInArrow" not in x._jdf.queryExecution().toString()
+    assert {r.status for r in x.collect()} == {"NEW", "SEEN", "REPEATED", "INVALID"} and x.count() == identity.trees(spark, sf).count()
+
+
 def test_removed_equals_all_pairs(spark):
     rng = random.Random(5)
     t0 = dt.datetime(2026, 1, 1)

@@ -11,6 +11,7 @@ from tidewick.plans.formula import Constraints
 from tidewick.queries.bars_sql import E
 from tidewick.queries.operations import bucket_sql
 from tidewick.queries.preparation import frame_e, stamp
+from tidewick.sources.shared import new_folder, written
 
 
 FOUR = Constraints(max_free_params=4)
@@ -36,8 +37,9 @@ def formula_signatures(spark, d):
 
 
 def formula_dedup(spark, d):
-    """The ledger holds the signatures of the parts whose key 3 divides; those that 15 divides crashed."""
-    x = tables.identified(trees(spark, d), constraints=FOUR)
+    """The ledger holds the signatures of the parts whose key 3 divides; those that 15 divides crashed. The table is read three times, so its identities are written once."""
+    x = tables.identified(trees(spark, d), constraints=FOUR).select("p_partkey", "structural_signature", "verdict")
+    x = written(x, new_folder(spark, "formulas"))
     ledger = x.where("p_partkey % 3 = 0").select(F.col("structural_signature").alias("structural_sig"), (F.col("p_partkey") % 15 == 0).cast("int").alias("crashed"))
     return tables.novel(x, ledger, "p_partkey").select("p_partkey", "status")
 
