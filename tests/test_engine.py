@@ -1,6 +1,8 @@
 """Operators on hand vectors, properties of the compiler, and the library beside the queries."""
 
 import datetime as dt
+import hashlib
+import json
 import math
 import random
 
@@ -256,6 +258,24 @@ def test_ledger(spark, tmp_path):
         assert ledger.verify_chain(broken).first().first_bad == 3
 
 
+def test_chains_of_long_and_many_books(spark):
+    """A book may be longer than a batch and a batch hold many books; no book is a group of its own in Python."""
+    rows = [("long", i, f"x{i}") for i in range(1, 25_001)] + [(f"b{k}", i, None if i == 2 else f"é{k}") for k in range(60) for i in (3, 1, 2)] + [(None, 1, "z")]
+    df = spark.createDataFrame(rows, "book string, seq long, kind string").repartition(5, "kind")
+    x = ledger.chained(df, "book", ("seq", "kind", "prev_hash"), ("book", "seq"))
+    assert x.columns == ["book", "seq", "prev_hash", "row_hash"] and "FlatMapGroups" not in x._jdf.queryExecution().toString()
+    got = {(r.book, r.seq): (r.prev_hash, r.row_hash) for r in x.collect()}
+    want, before = {}, {}
+    for b, i, kind in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        p = before.get(b, ledger.ZERO)
+        text = json.dumps({"kind": kind, "prev_hash": p, "seq": i}, separators=(",", ":"), ensure_ascii=False)
+        before[b] = hashlib.sha256(text.encode()).hexdigest()
+        want[b, i] = p, before[b]
+    assert got == want
+    full = ledger.chained(df, "book", ("seq", "kind", "prev_hash"))
+    assert full.columns == ["book", "seq", "kind", "prev_hash", "row_hash"] and ledger.verify_chain(full.where("book like 'b%'").withColumn("kind", F.when(F.col("seq") == 1, "genesis").otherwise("x")), ("book",), ("seq", "kind", "prev_hash")).where("first_bad = 1").count() == 60
+
+
 def test_bandit(spark):
     fam = spark.createDataFrame([("A", 0, True), ("B", 1, True), ("C", 2, False)], "name string, place int, available boolean")
     history = spark.createDataFrame([("A", "ACCEPTED"), ("A", "COST_DOMINATED"), ("A", "INSUFFICIENT_SAMPLE"), ("B", "INVALID_AST")], "family string, verdict string")

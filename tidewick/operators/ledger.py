@@ -33,26 +33,29 @@ def row_hash(columns: tuple[str, ...] = COLUMNS) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
-def chained(rows: DataFrame, book: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """rows (book, seq and columns but prev_hash) with prev_hash and row_hash: each book is a chain in the order of seq.
+def chained(rows: DataFrame, book: str, columns: tuple[str, ...] = COLUMNS, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """rows (book, seq and columns but prev_hash) with prev_hash and row_hash: each book is a chain in the order of seq. Of rows' columns only `keep` come back, if given.
 
-    The JSON of all rows is made in parallel, with a mark where the hash before goes; a book's task goes through its rows once and keeps one hash.
+    The JSON of all rows is made in parallel, with a mark where the hash before goes; a task goes through the rows of its books once, in their order, and keeps one hash.
     """
     mark = uuid.uuid4().hex
     body = F.to_json(F.struct(*[F.lit(mark).alias(c) if c == "prev_hash" else F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
-    x = rows.withColumn("_body", body)
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("seq")
-        before, old, new = ZERO, [], []
-        for text in table["_body"].to_pylist():
-            old.append(before)
-            before = hashlib.sha256(text.replace(mark, before).encode()).hexdigest()
-            new.append(before)
-        return table.drop_columns("_body").append_column("prev_hash", pa.array(old, pa.string())).append_column("row_hash", pa.array(new, pa.string()))
-
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return x.groupBy(book).applyInArrow(run, f"{types}, prev_hash string, row_hash string")
+    x = rows.select(*(keep or rows.columns), body.alias("_body"), F.row_number().over(Window.partitionBy(book).orderBy(F.col("seq").asc_nulls_last())).alias("_place"))
+    kept = x.drop("_body", "_place").schema
+
+    def run(batches):
+        before = ZERO
+        for b in batches:
+            old, new = [], []
+            for text, place in zip(b.column("_body").to_pylist(), b.column("_place").to_pylist(), strict=True):
+                before = ZERO if place == 1 else before
+                old.append(before)
+                before = hashlib.sha256(text.replace(mark, before).encode()).hexdigest()
+                new.append(before)
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(old, pa.string()), pa.array(new, pa.string())], [*kept.names, "prev_hash", "row_hash"])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return x.mapInArrow(run, f"{types}, prev_hash string, row_hash string")
 
 
 def config_hash(prereg: Column, catalog: Column) -> Column:

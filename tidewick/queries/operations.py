@@ -199,13 +199,13 @@ def book_rows(spark, d):
 BOOK = ("seq", "kind", "trial_id", "hypothesis_id", "structural_sig", "verdict", "crashed", "prev_hash")
 
 
-def chained(spark, d):
+def chained(spark, d, keep=None):
     """Each book's rows with their hashes."""
-    return ledger.chained(book_rows(spark, d), "book", BOOK)
+    return ledger.chained(book_rows(spark, d), "book", BOOK, keep)
 
 
 def ledger_chain(spark, d):
-    return chained(spark, d).select("book", "seq", "row_hash")
+    return chained(spark, d, ("book", "seq")).select("book", "seq", "row_hash")
 
 
 def ledger_verify_chain(spark, d):
@@ -219,7 +219,7 @@ def ledger_count(spark, d):
 
 
 def ledger_head(spark, d):
-    return chained(spark, d).groupBy("book").agg(F.max("seq").alias("seq"), F.max_by("row_hash", "seq").alias("row_hash"))
+    return chained(spark, d, ("book", "seq")).groupBy("book").agg(F.max("seq").alias("seq"), F.max_by("row_hash", "seq").alias("row_hash"))
 
 
 def ledger_seen_structural(spark, d):
