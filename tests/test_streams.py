@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewick.plans.compiler import evaluate
+from tidewick.queries import streams
 from tidewick.queries.streams import NODES, finished
 from tidewick.streaming import signals
 
@@ -106,6 +107,29 @@ def test_frame_waits_for_all_references(spark, tmp_path):
     assert got == want and 20 < len(got) < 96
 
 
+def test_state_is_kept_in_no_more_parts_than_cores(spark, tmp_path):
+    """Bars are found once for all files, and a session with many shuffle partitions has no more stores for it."""
+    rows = [(s, dt.datetime(2026, 1, d, 9, m), float(m), 1.0) for d in range(5, 9) for m in range(10) for s in ("WIN", "ES", "WDO")]
+    found = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            found.add(b.num_rows)
+            yield b
+
+    schema = "symbol string, ts timestamp, close double, volume double"
+    df = spark.createDataFrame(rows, schema).mapInArrow(run, schema)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = finished(signals.stream_frame(streams.streamed(spark, df, str(tmp_path)), "WIN", ("ES", "WDO")), str(tmp_path / "run")).count()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "24"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    stores = [p for p in (tmp_path / "run/state/state/0").iterdir() if p.name.isdigit()]
+    assert got == 40 and found.value == len(rows) and 1 < len(stores) <= spark.sparkContext.defaultParallelism
+
+
 def test_a_single_window(spark, bars, tmp_path):
     files(bars, str(tmp_path / "in"), (5, 6))
     one = {"lag": "lag(close(),1)", "rank": "rank_ts(close(),1)", "std": "rolling_std(close(),1)", "ema": "ema(close(),1)", "max": "rolling_max(close(),1)"}

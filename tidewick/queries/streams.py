@@ -10,16 +10,21 @@ from tidewick.queries.operations import COSTS, KILL_SQL, expected_bars, telemetr
 from tidewick.queries.preparation import frame_e, stamp
 from tidewick.sources import files
 from tidewick.sources.bars import REFS, event_bars
-from tidewick.sources.shared import new_folder
+from tidewick.sources.shared import new_folder, written
 from tidewick.streaming import signals
 from tidewick.streaming.collector import Collector
 
 
 def finished(out, where: str, mode: str = "append"):
-    """Runs a stream over what is there and returns what it wrote."""
+    """Runs a stream over what is there and returns what it wrote.
+
+    Each stateful step keeps its stores in as many parts as there are cores, however many partitions the session's shuffles have: every micro-batch opens and commits them all.
+    """
     spark = out.sparkSession
-    before = {k: spark.conf.get(k, None) for k in signals.STORE}
-    for k, v in signals.STORE.items():
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    conf = {**signals.STORE, "spark.sql.shuffle.partitions": str(parts)}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
         spark.conf.set(k, v)
     try:
         q = out.writeStream.outputMode(mode).format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
@@ -31,7 +36,8 @@ def finished(out, where: str, mode: str = "append"):
 
 
 def in_order(bars, where: str, files: int = 4) -> str:
-    """Writes bars as files of slices of time, the earliest first, and returns their folder. Ranges of time are sorted each on its own."""
+    """Writes bars as files of slices of time, the earliest first, and returns their folder. Bars are found once; ranges of time are sorted each on its own."""
+    bars = written(bars, f"{where}/bars")
     lo, hi = bars.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts"))).first()
     width = ((hi or 0) - (lo or 0)) // files + 1
     for k in range(files):
